@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _B = 0x9E3779B97F4A7C15
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -34,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def chunks(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch with their texts as UTF-8 bytes (null: empty), each of about ``most_bytes`` or one row."""
     col = batch.column(batch.schema.get_field_index(column))
-    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+    sizes = np.array(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     parts = np.cumsum(sizes) // most_bytes
     cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(sizes)]
     for lo, hi in zip(cuts, cuts[1:]):
