@@ -1,14 +1,15 @@
 """N-gram Jaccard join with several global token orders.
 
 A document's set is its distinct shingles of ``SHINGLE`` words. Two sets that are similar enough share a token in their
-prefixes under every global order of all tokens; candidates must do so under ``ORDERS`` + 1 orders.
+prefixes under every global order of all tokens; candidates must do so under ``ORDERS`` + 2 orders.
 
 1. The first order is rarity, counted over all documents on a hashed share of the token universe (which comes before
    the rest; a set with too few such tokens goes on in hash order, so its prefix is always whole). A token that only
    one set has cannot be shared, so most sets drop out here. Sets with equal tokens are one class.
-2. Classes that share a prefix token, with fitting lengths and positions, are candidates. In rounds of stars every class
-   is held against the leader that most of its tokens name, found by aggregation: no pairs inside a group. Classes that
-   are linked by then need no more pairs among themselves; a last round takes all candidates across components.
+2. The second order is rarity over the whole universe, counted over the classes that are left. Classes that share a
+   prefix token, with fitting lengths and positions, are candidates. In rounds of stars every class is held against the
+   leader that most of its tokens name, found by aggregation: no pairs inside a group. Classes that are linked by then
+   need no more pairs among themselves; a last round takes all candidates across components.
 3. The further orders are different hash orders; a candidate without a common token in both prefixes under each of them
    falls. What is left is verified on the whole sets.
 4. Components grow by minimum labels with pointer jumping, in written tables.
@@ -39,7 +40,7 @@ PERCENT = 75
 #: Hashed share of the token universe whose rarity is counted; above 1 - PERCENT / 100.
 COUNTED = 0.3
 #: Hash orders that candidates must also pass.
-ORDERS = 2
+ORDERS = 1
 STAR_ROUNDS = 2
 #: A token with more rows than this in a task is passed on as it streams, with this as its count.
 LONG_RUN = 1 << 20
@@ -85,7 +86,7 @@ def row_sets(docs: DataFrame, shingle: int) -> DataFrame:
 def counted_tokens(docs: DataFrame, shingle: int, percent: int, counted: float) -> DataFrame:
     """(token, sig, n, m, tail): the tokens of each set in the counted share (m of them), and, with ``tail``, as many of
     the others in hash order as its prefix still needs. A task sends equal sets once."""
-    limit = np.uint64(int(counted * 2**64))
+    limit = np.uint64(int(min(counted, 0.999) * 2**64))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -99,7 +100,7 @@ def counted_tokens(docs: DataFrame, shingle: int, percent: int, counted: float)
                     if len(seen) < 100_000:
                         seen.add(sig)
                     place = _order(mine, 0)
-                    first = mine[place < limit]
+                    first = mine if counted >= 1 else mine[place < limit]
                     out.append((first, sig, n, len(first), 0))
                     if (more := prefix_length(n, percent) - len(first)) > 0:
                         rest = mine[np.argsort(place, kind="stable")[len(first) : len(first) + more]]
@@ -155,12 +156,26 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """(token, sig, n, pos): the shared tokens in each set's prefix under the order of rarity."""
+    """(token, sig, n, alone, pos): the shared tokens in each set's prefix under the order of rarity, their places in
+    that order, and how many tokens of the set stand first because no other set has them."""
     own = Window.partitionBy("sig")
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     rows = shared.withColumns({"alone": F.col("m") - F.count_if(~F.col("tail")).over(own), "rank": F.row_number().over(own.orderBy("tail", "df", "token"))})
     rows = rows.withColumn("pos", F.when(F.col("tail"), F.col("m")).otherwise(F.col("alone") + F.col("rank") - 1).cast("int"))
-    return rows.filter(F.col("tail") | (F.col("pos") < length)).select("token", "sig", "n", "pos")
+    return rows.filter(F.col("tail") | (F.col("pos") < length)).select("token", "sig", "n", F.col("alone").cast("int").alias("alone"), "pos")
+
+
+def fitting(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(sig): the classes that can have a partner by the places of their shared tokens.
+
+    With r = 1 - pos / n, lengths n and c n fit only if c <= k r - 1 for the one side and 1 / c <= k r - 1 for the other
+    (k = 1 + 100 / percent), so the product of both sides' k r - 1 is 1 at least.
+    """
+    k = 1 + 100 / percent
+    room = (k * (1 - F.col("pos") / F.col("n")) - 1).alias("room")
+    rows = prefixes.select("token", "sig", room)
+    best = rows.groupBy("token").agg(F.max("room").alias("best"), F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low != high")
+    return rows.join(best, "token").filter(F.col("room") * F.col("best") >= 1 - 1e-9).select("sig").distinct()
 
 
 def fits(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
@@ -173,7 +188,8 @@ def fits(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
 def star_pairs(prefixes: DataFrame, labels: DataFrame, number: int, percent: int) -> DataFrame:
     """(a, b): each class with the leader that most of its prefix tokens name, if not yet of one component."""
     rows = prefixes.join(labels, "sig")
-    leader = F.min_by(F.struct("sig", "n", "pos", "label"), F.xxhash64("sig", F.lit(number)))
+    first = F.col("alone") / F.col("n") if number == 0 else F.lit(0.0)  # those with the least of their own are near to most
+    leader = F.min_by(F.struct("sig", "n", "pos", "label"), F.struct(first, F.xxhash64("sig", F.lit(number))))
     leaders = rows.groupBy("token").agg(leader.alias("to"))
     ends = lambda x: {k: F.col(f"{x}{k}") for k in ("n", "pos")}
     named = rows.join(leaders, "token").filter((F.col("label") != F.col("to.label")) & fits(ends(""), ends("to."), percent))
@@ -245,10 +261,12 @@ def linked_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     sets = materialise(row_sets(rows, shingle), "sets")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "row_key", "text_key")).alias("winner")
     classes = sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), first)
-    prefixes = materialise(rare_prefixes(shared_tokens(counted_tokens(rows, shingle, percent, counted)), percent), "prefixes")
-    labels = materialise(prefixes.select("sig").distinct().withColumn("label", F.col("sig")), "labels")
-    wanted = labels.select("sig").join(classes, "sig").select("sig", "winner.row_key", "winner.text_key")
+    rare = lambda of, share, name: materialise(rare_prefixes(shared_tokens(counted_tokens(of, shingle, percent, share)), percent), name)
+    left = fitting(rare(rows, counted, "first-prefixes"), percent)
+    wanted = left.join(classes, "sig").select("sig", "winner.row_key", "winner.text_key")
     texts = materialise(rows.select("row_key", "text_key", "text").join(wanted, ["row_key", "text_key"]).select("sig", "text").dropDuplicates(["sig"]), "texts")
+    prefixes = rare(texts, 1.0, "prefixes")
+    labels = materialise(prefixes.select("sig").distinct().withColumn("label", F.col("sig")), "labels")
     for number in range(star_rounds + 1):
         pairs = star_pairs(prefixes, labels, number, percent) if number < star_rounds else crossing_pairs(prefixes, labels, percent)
         links = materialise(verified(pairs, texts, shingle, percent, orders), "links")
