@@ -98,6 +98,10 @@ def and_more(items: Column, most: int) -> Column:
 
 def glob_regex(pattern: str, strict: bool) -> str:
     """A glob as an anchored regex. ``strict``: ``*`` and ``?`` stop at ``/``, only ``**`` crosses it."""
+    return f"(?s)^{_glob_body(pattern, strict)}$"
+
+
+def _glob_body(pattern: str, strict: bool) -> str:
     out, i = "", 0
     step = "[^/]" if strict else "."
     while i < len(pattern):
@@ -114,10 +118,10 @@ def glob_regex(pattern: str, strict: bool) -> str:
             inside = pattern[i + 1 : end]
             out, i = out + "[" + ("^" + inside[1:] if inside[0] == "!" else inside).replace("\\", "\\\\") + "]", end + 1
         elif c == "{" and (end := pattern.find("}", i)) > 0:
-            out, i = out + "(?:" + "|".join(glob_regex(p, strict)[2:-1].removesuffix("$") for p in pattern[i + 1 : end].split(",")) + ")", end + 1
+            out, i = out + "(?:" + "|".join(_glob_body(p, strict) for p in pattern[i + 1 : end].split(",")) + ")", end + 1
         else:
             out, i = out + re.escape(c), i + 1
-    return f"(?s)^{out}$"
+    return out
 
 
 def matches_any(path: Column, patterns: list[str], strict: bool) -> Column:
