@@ -1,0 +1,285 @@
+"""Operators against brute force, exact round trips and held-out accuracy."""
+
+import itertools
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import SMALL, rows_of
+from pyspark.sql import functions as F
+
+from loomwright.llm import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, substrings, urls
+from loomwright.llm.tables import table
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, SMALL, "documents").persist()
+
+
+# 1: chat formatting
+
+
+def test_escape_round_trip():
+    for n in range(6):
+        for t in map("".join, itertools.product("<\\|a", repeat=n)):
+            assert "<|" not in chat.escape(t) and chat.unescape(chat.escape(t)) == t
+
+
+def test_parts_become_ordered_placeholders(spark):
+    part = lambda **x: {k: x.get(k) for k in chat.PART.names}
+    turns = [(1, 0, "user", [part(kind="text", text="see "), part(kind="image", ref="i.png", width=60, height=29), part(kind="audio", ref="a.wav", seconds=1.01)]), (1, 1, "assistant", [part(kind="text", text="ok"), part(kind="document", ref="d.pdf", pages=3), part(kind="odd", ref="o")]), (2, 0, "user", None)]
+    schema = chat.T.StructType([chat.T.StructField("conv_id", chat.T.LongType()), chat.T.StructField("turn", chat.T.LongType()), chat.T.StructField("role", chat.T.StringType()), chat.T.StructField("parts", chat.T.ArrayType(chat.PART))])
+    rows = {(r["conv_id"], r["position"]): r for r in chat.format_turns(spark.createDataFrame(turns, schema)).collect()}
+    first, second = rows[1, 0], rows[1, 1]
+    assert first["segment"] == "<|im_start|>user\nsee <|image:0|><|audio:1|><|im_end|>\n" and first["loss_start"] is None
+    assert [(a["ordinal"], a["ref"], a["tokens"]) for a in first["attachments"]] == [(0, "i.png", 6), (1, "a.wav", 26)]
+    assert [(a["kind"], a["tokens"]) for a in second["attachments"]] == [("document", 768), ("document", 256)]
+    whole = first["segment"] + second["segment"]
+    assert whole[second["loss_start"] : second["loss_end"]] == "ok<|document:2|><|document:3|>"
+    assert all(whole[a["at"] :].startswith("<|") for r in (first, second) for a in r["attachments"])
+    assert rows[2, 0]["segment"] == "<|im_start|>user\n<|im_end|>\n"
+
+
+# 2: quality rules
+
+
+def base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = {w for w, n in Counter(windows).items() if n > 1}
+    covered = {i + k for i, w in enumerate(windows) if w in often for k in range(3)}
+    lines = [s for s in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", s)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_base_statistics(spark, docs):
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    odd = spark.createDataFrame([(None,), ("",), ("a a a a a",), ("a b c a b c",), ("x\n\nx\n \n \nx",), ("a\x0bb\x1cc",)], "text string")
+    for r in quality.text_statistics(docs.select("text").union(odd)).collect():
+        assert tuple(r[c] for c in columns) == base(r["text"])
+
+
+def test_rules_find_a_planted_conjunction(spark):
+    rng = random.Random(1)
+    rows = []
+    for n in range(1_500):
+        marks, digits = rng.random() * 0.4, rng.random() * 0.4
+        rows.append((n % 3, int(marks > 0.2 and digits > 0.2), 100, 1000, 0, 0, 0, 80, 0, int(100 * marks), int(1000 * digits)))
+    fitted = spark.createDataFrame(rows, "_fold int, bad int, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    rules = quality.learn_rules(fitted, F.col("bad") == 1, min_precision=0.9)
+    assert rules and all(isinstance(c, quality.Condition) for r in rules for c in r)
+    kept, _ = quality.verdict(rules)
+    wrong = fitted.filter(kept == (F.col("bad") == 1)).count()
+    assert wrong < 75
+
+
+def test_query_2_keeps_what_passes(spark):
+    found = quality.op2_quality_rules(spark, SMALL)
+    assert found.filter("base_failed AND kept").isEmpty()
+    good = table(spark, SMALL, "labels").filter("quality = 1").join(found.filter("NOT base_failed"), "doc_id")
+    assert good.filter("NOT kept").count() <= 0.1 * good.count()
+
+
+# 3: decontamination
+
+
+def test_blocks_do_not_change_the_result(spark, docs):
+    bench = table(spark, SMALL, "benchmark")
+    one = decontaminate.contamination(docs.select("doc_id", "text"), bench, into="x").selectExpr("doc_id", "to_json(x) AS x")
+    many = decontaminate.contamination(docs.select("doc_id", "text"), bench, into="x", max_block=150).selectExpr("doc_id", "to_json(x) AS x")
+    assert rows_of(one) == rows_of(many)
+
+
+def test_clashing_columns_stay(spark):
+    rows = spark.createDataFrame([(1, "a b", "mine"), (2, "c", None)], "doc_id long, text string, contamination string")
+    bench = spark.createDataFrame([(1, "A b")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.decontaminate(rows, bench).collect()] == [(2, "c", None)]
+
+
+# 4: repeated passages
+
+
+def test_small_shards_do_not_change_the_result(spark, docs):
+    one, many = substrings.remove_repeated(docs), substrings.remove_repeated(docs, shard_windows=40)
+    assert one.filter("n_removed > 0").count() > 0 and rows_of(one) == rows_of(many)
+
+
+def test_null_and_repeated_ids_stay_whole(spark):
+    text = " ".join(f"w{n}" for n in range(70))
+    rows = spark.createDataFrame([(None, text), (3, text), (3, text), (5, "x " + text)], "doc_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substrings.remove_repeated(rows).collect())
+    assert found == [(0, 0), (3, 0), (3, 0), (5, 70)]
+
+
+# 5: secrets
+
+
+def test_candidates_by_brute_force(docs):
+    found = sorted((r["key"], r["at"], r["candidate"]) for r in secrets.candidates(docs).collect())
+    want = []
+    for r in docs.collect():
+        for at, w in enumerate(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")):
+            if len(w) >= secrets.MIN_LENGTH and re.search("[0-9]", w) and (m := re.search(secrets.CANDIDATE, w)):
+                want.append((r["doc_id"], at, m[0]))
+    assert found == sorted(want) and found
+
+
+def test_forest_on_held_out_findings(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in range(600):
+        secret = n % 2
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40)) if secret else rng.choice(["release", "version", "chapter", "january"]) + f"-{rng.randrange(10_000)}-" + rng.choice(["notes", "final", "draft"])
+        before = "token =" if secret else "see the"
+        rows.append((n, f"{before} {value} here", secret))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    found = secrets.with_features(secrets.candidates(docs), ["release", "version", "chapter", "january", "notes", "final", "draft"]).join(docs.select(F.col("doc_id").alias("key"), "label"), "key")
+    model = secrets.fit(found.filter("key % 3 > 0"))
+    scored = secrets.score(found.filter("key % 3 = 0"), model)
+    assert scored.count() > 150
+    assert scored.filter((F.col("probability") >= 0.5) != (F.col("label") == 1)).count() <= 0.02 * scored.count()
+
+
+def test_one_class_removes_nothing(spark):
+    docs = spark.createDataFrame([(1, "key = 0123456789abcdef0123"), (2, None), (3, "")], "doc_id long, text string")
+    found = secrets.with_features(secrets.candidates(docs), []).withColumn("label", F.lit(1))
+    assert secrets.fit(found) is None and [r["probability"] for r in secrets.score(found, None).collect()] == [1.0]
+
+
+# 6: language
+
+
+def test_forward_sums_all_segmentations():
+    lattice = langid.Lattice(["▁a", "▁ab", "b", "c", "bc", "▁"])
+    rng = np.random.default_rng(0)
+    p = rng.random((len(lattice.ids) + 2, 3))
+    p[0] = 0
+
+    def brute(word, k):
+        n, total = len(word), 0.0
+        for cuts in itertools.product([0, 1], repeat=n - 1):
+            ends = [i + 1 for i, c in enumerate(cuts) if c] + [n]
+            pieces = [word[a:b] for a, b in zip([0, *ends], ends)]
+            ids = [lattice.ids.get(x, 1 if len(x) == 1 else 0) for x in pieces]
+            total += math.prod(p[i, k] for i in ids)
+        return math.log(total)
+
+    for word in ["a", "abc", "bcab", "zzb"]:
+        got = langid.word_likelihoods([word], lattice, p)[0]
+        assert np.allclose(got, [brute("▁" + word, k) for k in range(3)])
+
+
+def test_held_out_accuracy(spark):
+    known = table(spark, SMALL, "documents").filter("lang IS NOT NULL").select("doc_id", "lang")
+    found = langid.op6_language_id(spark, SMALL).filter("held_out AND lang_pred <> 'und'").join(known, "doc_id")
+    assert found.count() > 20 and found.filter("lang = lang_pred").count() >= 0.9 * found.count()
+
+
+def test_undetermined(spark, docs):
+    model = langid.fit(docs)
+    rows = spark.createDataFrame([(1, None), (2, "12 34 !"), (3, "")], "doc_id long, text string")
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(rows, model).collect()} == {("und", 0.0)}
+
+
+# 7: sharding
+
+
+def jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * sharding.MULTIPLIER + 1) % sharding.RANGE
+        j = math.floor((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
+def test_jump_by_brute_force(spark):
+    rows = spark.range(500).select("id", sharding.key_hash(F.col("id")).alias("h"), *(sharding.jump_shard(sharding.key_hash(F.col("id")), n).alias(f"s{n}") for n in (1, 2, 24, 25)))
+    for r in rows.collect():
+        assert [r[f"s{n}"] for n in (1, 2, 24, 25)] == [jump(int(r["h"]), n) for n in (1, 2, 24, 25)]
+
+
+def test_slots_have_no_gaps_and_growth_moves_into_the_new_shard(spark):
+    rows = spark.range(3_000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("shard"), F.lit("kept").alias("_slot_name"))
+    found = sharding.assign_shards(rows, "doc_id", 24).collect()
+    by = Counter(r["shard"] for r in found)
+    assert sorted((r["shard"], r["slot"]) for r in found) == sorted((s, k) for s, n in by.items() for k in range(n))
+    assert all(r["grown_shard"] in (r["shard"], 24) for r in found)
+
+
+# 8: mixing
+
+
+def test_mean_repetition_follows_the_weights(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source"))
+    counts = {r["source"]: r["count"] for r in mixing.mix_sources(rows, {"a": 3.0, "b": 1.0}, default_weight=0.0).groupBy("source").count().collect()}
+    assert None not in counts and abs(counts["a"] / 15_000 - 1) < 0.05 and abs(counts["b"] / 5_000 - 1) < 0.05
+
+
+def test_large_rates_and_many_sources(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, f"s{n % 4}") for n in range(40)], "doc_id long, source string")
+    plain = mixing.mix_sources(rows, {}, target_rows=60_000)
+    assert abs(plain.count() / 60_000 - 1) < 0.03
+    few = mixing.mix_sources(rows, {"s1": 2.0})
+    want = rows_of(few)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 2)
+    assert rows_of(mixing.mix_sources(rows, {"s1": 2.0})) == want
+
+
+# 9: URLs
+
+
+def test_trie_and_join_agree(spark):
+    pages = table(spark, SMALL, "pages").unionByName(spark.createDataFrame([(-1, None, None), (-2, "http://a.example.org/en/1/x", None)], "page_id long, url string, html string"))
+    assert rows_of(urls.filter_urls(pages, urls.RULES)) == rows_of(urls.filter_urls(pages, urls.RULES, max_broadcast_rules=0))
+
+
+# 10: Jaccard join
+
+
+def brute_components(texts, shingle=5, percent=75):
+    sets = {}
+    for k, t in texts.items():
+        ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        n = min(shingle, len(ws))
+        sets[k] = {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if ws else set()
+    label = {k: k for k in texts}
+    changed = True
+    links = [(a, b) for a, b in itertools.combinations(texts, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{n}" for n in range(60)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 9, 40, 90]))]
+        for _ in range(rng.choice([1, 2, 8])):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randrange(2)] = [rng.choice(words)]
+            texts.append(" ".join(copy))
+    texts += [None, "", "a b", "A  b"]
+    rng.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(rows).collect()}
+    assert found == brute_components(dict(enumerate(texts)))
+
+
+def test_keep_one_keeps_the_first(spark):
+    long = " ".join(f"w{n}" for n in range(60))
+    rows = spark.createDataFrame([(4, long, "x"), (2, long + " more", None), (2, long + " more", None), (7, None, "n"), (8, None, "n"), (9, "alone here", "y")], "doc_id long, text string, sig string")
+    assert sorted((r["doc_id"], r["sig"]) for r in jaccard.keep_one(rows).fillna("-").collect()) == [(2, "-"), (7, "n"), (8, "n"), (9, "y")]
