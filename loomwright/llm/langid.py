@@ -36,6 +36,8 @@ ROUNDS = 2
 SMOOTHING = 0.1
 CACHE_WORDS = 300_000
 SPACE = "▁"
+#: Multiplier of the hashes that pieces are looked up by.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -54,26 +56,41 @@ def load_pieces(path: str) -> list[str]:
 
 
 class Lattice:
-    """Piece ids of all substrings of words: id 0 is no piece, id 1 an unknown character, then the pieces."""
+    """Piece ids of all substrings of words: id 0 is no piece, id 1 an unknown character, then the pieces.
+
+    Substrings are looked up by 64-bit polynomial hashes, for many words at once; one that no piece begins with is not
+    made longer.
+    """
 
     def __init__(self, pieces: list[str]):
         self.ids = {p: n + 2 for n, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
+        begins: dict[int, int] = {0: 0}
+        for p, number in self.ids.items():
+            h = 1
+            for k, c in enumerate(p, 1):
+                h = (h * int(_BASE) + ord(c) + 1) % 2**64
+                begins[h] = number if k == len(p) else begins.get(h, 0)
+        self.keys = np.array(sorted(begins), dtype=np.uint64)
+        self.values = np.array([begins[h] for h in self.keys.tolist()], dtype=np.int32)
 
     def edges(self, words: list[str]) -> np.ndarray:
         """ids[word, begin, length - 1] for words of one length (with the mark in front)."""
         n = len(words[0]) + 1
         width = min(n, self.longest)
-        get = self.ids.get
-        flat = []
-        for w in words:
-            w = SPACE + w
-            for i in range(n):
-                row = [get(w[i:j], 0) for j in range(i + 1, min(n, i + width) + 1)]
-                row[0] = row[0] or 1
-                flat += row
-                flat += [0] * (width - len(row))
-        return np.array(flat, dtype=np.int32).reshape(len(words), n, width)
+        codes = np.frombuffer("".join(SPACE + w for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        out = np.zeros((len(codes), width), dtype=np.int32)
+        start, room = np.arange(len(codes)), np.tile(np.arange(n, 0, -1), len(words))
+        h = np.ones(len(codes), dtype=np.uint64)
+        for k in range(width):
+            inside = room > k
+            start, room, h = start[inside], room[inside], h[inside] * _BASE + codes[start[inside] + k]
+            place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            known = self.keys[place] == h
+            start, room, h = start[known], room[known], h[known]
+            out[start, k] = self.values[place[known]]
+        out[:, 0] = np.maximum(out[:, 0], 1)
+        return out.reshape(len(words), n, width)
 
 
 def forward(edges: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
