@@ -292,11 +292,11 @@ def u5_filter_algebra(spark, sf):
     return rows.select("o_orderkey", policy.keep_expression(F.col("o_orderstatus") == "O", F.col("o_orderpriority") == "5-LOW", F.col("o_orderkey") % 9 == 0).alias("run"))
 
 
-@query("SELECT DISTINCT p_name AS name FROM part WHERE p_size < 25 EXCEPT SELECT p_name FROM part WHERE p_size < 8")
+@query("SELECT DISTINCT p_name AS name FROM part WHERE p_size = 24 EXCEPT SELECT p_name FROM part WHERE p_size = 8")
 def u3_difference(spark, sf):
     part = t(spark, sf, "part")
-    names = part.filter("p_size < 25").select(F.col("p_name").alias("name")).distinct()
-    return names.join(part.filter("p_size < 8").select(F.col("p_name").alias("name")).distinct(), "name", "left_anti")
+    names = part.filter("p_size = 24").select(F.col("p_name").alias("name")).distinct()
+    return names.join(part.filter("p_size = 8").select(F.col("p_name").alias("name")).distinct(), "name", "left_anti")
 
 
 @query(r"SELECT c_custkey, sha256(encode(c_name) || '\x00'::BLOB || encode(c_mktsegment) || '\x00'::BLOB) AS key FROM customer")
