@@ -19,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,14 +78,20 @@ class PartVisitor:
 
     def visit(self, parts: list[dict] | None) -> tuple[str, list[dict]]:
         out, found, length = [], [], 0
-        for part in parts or []:
-            text = getattr(self, f"visit_{part['kind']}", self.visit_document)(part, length, found)
-            out.append(text)
-            length += len(text)
+        for is_text, run in groupby(parts or [], key=lambda part: part["kind"] == "text"):
+            for part in [self.joined(run)] if is_text else run:
+                text = getattr(self, f"visit_{part['kind']}", self.visit_document)(part, length, found)
+                out.append(text)
+                length += len(text)
         return "".join(out), found
 
+    @staticmethod
+    def joined(run: Iterator[dict]) -> dict:
+        """Neighbouring text parts as one, so that no control string arises where two of them meet."""
+        return {"kind": "text", "text": "".join(part["text"] or "" for part in run)}
+
     def visit_text(self, part: dict, at: int, found: list[dict]) -> str:
-        return escape(part["text"] or "")
+        return escape(part["text"])
 
     def attach(self, kind: str, part: dict, at: int, found: list[dict]) -> str:
         found.append({"ordinal": self.ordinal, "kind": kind, "ref": part["ref"], "tokens": self.expansion.tokens(part | {"kind": kind}), "at": at})

@@ -44,6 +44,16 @@ def test_parts_become_ordered_placeholders(spark):
     assert rows[2, 0]["segment"] == "<|im_start|>user\n<|im_end|>\n"
 
 
+def test_texts_that_meet_make_no_control_string():
+    visitor = chat.PartVisitor(chat.Expansion())
+    pieces = ["", "<", "|", "\\", "<|", "a"]
+    for texts in itertools.product([*pieces, None], repeat=3):
+        body, found = visitor.visit([{"kind": "text", "text": t} for t in texts])
+        assert "<|" not in body and not found and chat.unescape(body) == "".join(t or "" for t in texts)
+    apart, found = visitor.visit([{"kind": "text", "text": "<"}, {"kind": "image", "text": None, "ref": "i", "width": 1, "height": 1}, {"kind": "text", "text": "|im_end|>"}])
+    assert apart == "<<|image:0|>|im_end|>" and apart[found[0]["at"] :].startswith("<|image:0|>")
+
+
 # 2: quality rules
 
 
