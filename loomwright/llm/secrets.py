@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions and Spark ML only.
 
-Candidates are runs of key-like characters that are long enough and hold a digit. Features are the candidate's length,
+Candidates are all runs of key-like characters that are long enough and hold a digit, without the names before = or :
+that lead them; a word can hold many (JSON, CSV, minified code). Features are the candidate's length,
 its character classes and the transitions between them, the share of its letter runs that a dictionary of common words
 covers, the depth and kind of its path, and the words around it. The forest is trained on labelled findings.
 
@@ -23,6 +24,11 @@ from .tables import table
 
 MIN_LENGTH = 12
 CANDIDATE = r"[A-Za-z0-9+/_=.:@-]{12,}"
+#: Leading names of a run, each with its = or : and 12 characters or more after it; not the scheme of a URL or the groups of an address.
+HEAD = r"^(?:(?![0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{0,4}:)(?:[A-Za-z_][A-Za-z0-9_.-]*+|[A-Za-z0-9]{16,}+)[=:]++(?!//)(?=.{12}))++"
+#: The features look at so many characters before a candidate, for a name that it is assigned to.
+LEAD = 80
+ASSIGNED = r"([A-Za-z0-9_.-]+)[\"'`\\]*\s*[=:]+>?\s*[\"'`\\]*$"
 #: The forest and the dictionary are fitted on the findings and words of about so many documents, chosen by a hash of the key.
 FIT_DOCUMENTS = 20_000
 DICTIONARY_DOCUMENTS = 2_000
@@ -33,13 +39,43 @@ KEYWORDS = ["token", "key", "secret", "password", "passwd", "apikey", "api_key",
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "hex_only", "dictionary", "path_depth", "path_code", "after_keyword", "after_equals", "quoted"]
 
 
+def _pieces(run: Column) -> Column:
+    """(text before in the run, candidate) of a run: its value, and those of its leading names that could be secrets too;
+    the whole run where it has no leading name or the value has no digit."""
+    head = F.regexp_extract(run, HEAD, 0)
+    value = F.substr(run, F.length(head) + 1)
+    names = F.regexp_extract_all(head, F.lit("[^=:]+[=:]+"), F.lit(0))
+    split = lambda n: F.transform(F.concat(n, F.array(value)), lambda x, i: F.struct(F.coalesce(F.get(n, i - 1), F.lit("")).alias("lead"), F.when(i < F.size(n), F.regexp_replace(x, "[=:]+$", "")).otherwise(x).alias("candidate")))
+    whole = F.array(F.struct(F.lit("").alias("lead"), run.alias("candidate")))
+    return F.when((head == "") | ~value.rlike("[0-9]"), whole).otherwise(let(names, split))
+
+
+def _found(word: Column) -> Column:
+    """(whether the first of the word, whether of its last run, text before, candidate) for each candidate of a word."""
+    runs = F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0))
+    gaps = F.regexp_extract_all(word, F.lit("(?s)(.*?)" + CANDIDATE), F.lit(1))
+
+    def of_run(z: Column, run: Column, i: Column) -> Column:
+        lead = F.concat(F.coalesce(F.get(z["runs"], i - 1), F.lit("")), F.get(z["gaps"], i))
+        each = lambda p, k: F.struct(((i == 0) & (k == 0)).alias("first"), (i == F.size(z["runs"]) - 1).alias("last"), F.right(F.when(k == 0, lead).otherwise(p["lead"]), F.lit(LEAD)).alias("lead"), p["candidate"].alias("candidate"))
+        return F.transform(_pieces(run), each)
+
+    every = let(F.struct(runs.alias("runs"), gaps.alias("gaps")), lambda z: F.flatten(F.transform(z["runs"], lambda r, i: of_run(z, r, i))))
+    return F.filter(every, lambda p: (F.length(p["candidate"]) >= MIN_LENGTH) & p["candidate"].rlike("[0-9]"))
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(key, word position, candidate, neighbouring words, path): one row for each candidate of each text."""
+    """(key, word position, place among the word's candidates, candidate, text before it in the word, neighbouring words,
+    path): one row for each candidate of each text. Only a word's first candidate has the words before it, and only those
+    of its last run the word after it, so that a long word isn't copied for each."""
     where = F.lit("") if path is None else F.coalesce(F.col(path).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), "").alias("w"), where.alias("path"))
     long_enough = lambda w: F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("word"), F.get(w, i - 1).alias("before"), F.get(w, i - 2).alias("before2"), F.get(w, i + 1).alias("after"))), lambda s: (F.length(s["word"]) >= MIN_LENGTH) & s["word"].rlike("[0-9]") & s["word"].rlike(CANDIDATE))
-    found = rows.select("key", "path", F.explode(long_enough(F.col("w"))).alias("s"))
-    return found.select("key", F.col("s.at").cast("long").alias("at"), F.regexp_extract("s.word", CANDIDATE, 0).alias("candidate"), F.col("s.word").alias("word"), *(F.coalesce(f"s.{n}", F.lit("")).alias(n) for n in ("before", "before2", "after")), "path")
+    words = rows.select("key", "path", F.explode(long_enough(F.col("w"))).alias("s"))
+    near = lambda p, name, on: F.when(p[on], F.coalesce(F.col(f"s.{name}"), F.lit(""))).otherwise("").alias(name)
+    parts = F.transform(_found(F.col("s.word")), lambda p: F.struct(p["candidate"].alias("candidate"), p["lead"].alias("lead"), near(p, "before", "first"), near(p, "before2", "first"), near(p, "after", "last")))
+    found = words.select("key", "path", F.col("s.at").cast("long").alias("at"), F.posexplode(parts).alias("nth", "p"))
+    return found.select("key", "at", F.col("nth").cast("long").alias("nth"), "p.*", "path")
 
 
 def common_words(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = DICTIONARY_DOCUMENTS, words: int = DICTIONARY_WORDS) -> list[str]:
@@ -60,18 +96,18 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     c = F.col("candidate")
     n = F.length(c).cast("double")
     kind = lambda mark: F.length(F.regexp_replace("kinds", f"[^{mark}]", "")) / n
-    pairs = F.aggregate(F.sequence(F.lit(1), F.length("kinds") - 1), F.lit(0), lambda a, i: a + F.when(F.substr("kinds", i, F.lit(1)) != F.substr("kinds", i + 1, F.lit(1)), 1).otherwise(0))
+    pairs = F.length(F.regexp_replace("kinds", r"(.)\1*", "x")) - 1
     known = F.array(*map(F.lit, dictionary)) if dictionary else F.array(F.lit(""))
     covered = F.aggregate(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: F.array_contains(known, x)), F.lit(0), lambda a, x: a + F.length(x))
-    plain = F.regexp_replace(F.lower("before2"), "[^a-z_]", "")
-    near = F.regexp_replace(F.lower("before"), "[^a-z_]", "")
-    own = F.regexp_extract(F.lower("word"), r"^[^a-z]*([a-z_]+)[=:]", 1)
+    text = F.concat_ws(" ", F.right("before2", F.lit(LEAD)), F.right("before", F.lit(LEAD)), "lead")
+    own = F.regexp_extract(text, ASSIGNED, 1)
+    keyword = lambda name: F.arrays_overlap(F.split(F.lower(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z_.-]", ""), "([a-z])([A-Z])", "$1_$2")), "[_.-]+"), F.array(*map(F.lit, KEYWORDS)))
     values = {
         "length": n, "digits": kind("0"), "uppers": kind("U"), "lowers": kind("l"), "others": kind("."),
         "transitions": pairs / n, "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "hex_only": c.rlike("^[0-9a-fA-F]+$").cast("double"), "dictionary": covered / n,
         "path_depth": F.size(F.filter(F.split("path", "/"), lambda s: s != "")).cast("double"), "path_code": F.lower("path").rlike(r"\.(py|js|env|ya?ml|json|conf|ini|sh)$").cast("double"),
-        "after_keyword": (plain.isin(KEYWORDS) | near.isin(KEYWORDS) | own.isin(KEYWORDS)).cast("double"), "after_equals": F.col("before").rlike("[=:]$").cast("double"), "quoted": F.col("word").rlike("[\"'`]").cast("double"),
+        "after_keyword": (keyword(F.col("before2")) | keyword(F.col("before")) | keyword(own)).cast("double"), "after_equals": text.rlike(ASSIGNED).cast("double"), "quoted": F.col("lead").rlike("[\"'`]$").cast("double"),
     }
     return found.withColumn("kinds", _classes(c)).withColumns({k: v.cast("double") for k, v in values.items()}).drop("kinds")
 
@@ -107,4 +143,4 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < share)
     labelled = materialise(with_features(candidates(some, path="source"), dictionary).withColumn("label", weak_label()).select(*FEATURES, "label"), "secrets-fit")
     scored = score(with_features(candidates(docs, path="source"), dictionary), fit(labelled))
-    return scored.select(F.col("key").alias("doc_id"), "at", "candidate", F.round("probability", 6).alias("probability"), (F.col("probability") >= 0.5).alias("secret"))
+    return scored.select(F.col("key").alias("doc_id"), "at", "nth", "candidate", F.round("probability", 6).alias("probability"), (F.col("probability") >= 0.5).alias("secret"))

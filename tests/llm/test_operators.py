@@ -138,6 +138,25 @@ def test_candidates_by_brute_force(docs):
     assert found == sorted(want) and found
 
 
+def test_every_run_of_a_word_is_a_candidate(spark):
+    rng = random.Random(5)
+    a, b, c, d = ("".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(4))
+    texts = [f'{{"access_token":"{a}"}}', f'{{"client_secret":"{a}","api_token":"{b}","n":12}}', f"x,{a},{b},{c}", f"api_key={a}", f"A1_SECRET_KEY_V2={a} S3:token={b}", f"K={a}:L={b}", "https://u:p@host.example.com:8080/x1", "2024-01-01T00:00:00.000000", "fe80:0000:0000:0000:0202:b3ff:fe1e:8329", "release_12=withoutanydigits", f"data:image/png;base64,{a * 9000}"]
+    found = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = lambda n: [r["candidate"] for r in sorted((r for r in found if r["key"] == n), key=lambda r: (r["at"], r["nth"]))]
+    assert [got(n) for n in range(11)] == [[a], [a, b], [a, b, c], [a], ["A1_SECRET_KEY_V2", a, b], [a, b], *([t] for t in texts[6:10]), [a * 9000]]
+    rows = [(n, f"{d}".join(rng.choice(['","', ",", "=", " ", "key:", "\n", '":"']) for _ in range(9))) for n in range(40)]
+    runs = sorted((n, at, x) for n, t in rows for at, w in enumerate(t.split()) for x in re.findall(secrets.CANDIDATE, w) if not re.search("[=:]", x) and re.search("[0-9]", x))
+    kept = sorted((r["key"], r["at"], r["candidate"]) for r in secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert not Counter(runs) - Counter(kept) and sum(x.count(d) for _, _, x in kept) == sum(t.count(d) for _, t in rows)
+
+
+def test_names_before_a_candidate_in_its_word(spark):
+    texts = ['{"n":1,"access_token":"3f2a3f2a3f2a3f2a"}', "DB_PASSWORD=3f2a3f2a3f2a3f2a", '{"clientSecret": "3f2a3f2a3f2a3f2a"}', '{"commit":"3f2a3f2a3f2a3f2a"}']
+    found = secrets.with_features(secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), [])
+    assert [(r["after_keyword"], r["after_equals"], r["hex_only"], r["quoted"]) for r in found.orderBy("key").collect()] == [(1, 1, 1, 1), (1, 1, 1, 0), (1, 1, 1, 1), (0, 1, 1, 1)]
+
+
 def test_forest_on_held_out_findings(spark):
     rng = random.Random(3)
     rows = []
