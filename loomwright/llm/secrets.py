@@ -29,9 +29,9 @@ HEAD = r"^(?:(?![0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{0,4}:)(?:[A-Za-z_][A-Za-z0-9_.-]*+|
 #: The features look at so many characters before a candidate, for a name that it is assigned to.
 LEAD = 80
 ASSIGNED = r"([A-Za-z0-9_.-]+)[\"'`\\]*\s*[=:]+>?\s*[\"'`\\]*$"
-#: The forest and the dictionary are fitted on the findings and words of about so many documents, chosen by a hash of the key.
+#: The forest is fitted on the findings of about so many documents, chosen by a hash of the key.
 FIT_DOCUMENTS = 20_000
-DICTIONARY_DOCUMENTS = 2_000
+#: The dictionary has so many words; all documents are counted.
 DICTIONARY_WORDS = 2_000
 TREES, DEPTH = 20, 6
 #: Words that name a secret when they stand before it.
@@ -78,11 +78,9 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     return found.select("key", "at", F.col("nth").cast("long").alias("nth"), "p.*", "path")
 
 
-def common_words(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = DICTIONARY_DOCUMENTS, words: int = DICTIONARY_WORDS) -> list[str]:
-    """The words of 3 letters or more that most of about ``documents`` documents have."""
-    share = int(min(1.0, documents / max(1, docs.count())) * 1_000_000)
-    some = docs.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < share)
-    each = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("word"))
+def common_words(docs: DataFrame, text: str = "text", words: int = DICTIONARY_WORDS) -> list[str]:
+    """The words of 3 letters or more that most documents have; of equal counts the first in order."""
+    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("word"))
     return [r["word"] for r in each.groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).collect()]
 
 

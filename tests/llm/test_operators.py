@@ -157,6 +157,14 @@ def test_names_before_a_candidate_in_its_word(spark):
     assert [(r["after_keyword"], r["after_equals"], r["hex_only"], r["quoted"]) for r in found.orderBy("key").collect()] == [(1, 1, 1, 1), (1, 1, 1, 0), (1, 1, 1, 1), (0, 1, 1, 1)]
 
 
+def test_dictionary_counts_all_documents(spark):
+    rng = random.Random(1)
+    rows = [(n, " ".join(w for k in range(60) for w in ["w" + "abcdefghij"[k // 10] + "abcdefghij"[k % 10]] * 2 if rng.random() < 0.5 - k / 600)) for n in range(6_000)] + [(6_000, None)]
+    often = Counter(w for _, text in rows for w in set((text or "").split()))
+    want = [w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))]
+    assert secrets.common_words(spark.createDataFrame(rows, "doc_id long, text string"), words=40) == want[:40]
+
+
 def test_forest_on_held_out_findings(spark):
     rng = random.Random(3)
     rows = []
