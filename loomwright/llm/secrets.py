@@ -3,7 +3,8 @@
 Candidates are all runs of key-like characters that are long enough and hold a digit, without the names before = or :
 that lead them; a word can hold many (JSON, CSV, minified code). Features are the candidate's length,
 its character classes and the transitions between them, the share of its letter runs that a dictionary of common words
-covers, the depth and kind of its path, and the words around it. The forest is trained on labelled findings.
+covers, the depth and kind of its path, the words around it, and whether it parses as a harmless value or has the form
+of a known kind of secret. The forest is trained on labelled findings.
 
 Defined cases: a null or empty text has no candidates; a null path has depth 0; labelled findings of one class only, or
 none, leave every candidate with probability 1 (nothing is removed); repeated rows give repeated findings; an empty
@@ -29,14 +30,24 @@ HEAD = r"^(?:(?![0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{0,4}:)(?:[A-Za-z_][A-Za-z0-9_.-]*+|
 #: The features look at so many characters before a candidate, for a name that it is assigned to.
 LEAD = 80
 ASSIGNED = r"([A-Za-z0-9_.-]+)[\"'`\\]*\s*[=:]+>?\s*[\"'`\\]*$"
-#: The forest is fitted on the findings of about so many documents, chosen by a hash of the key.
-FIT_DOCUMENTS = 20_000
+#: The forest is fitted on about so many labelled findings of each class, chosen among those of all documents by a hash.
+FIT_ROWS = 20_000
 #: The dictionary has so many words; all documents are counted.
 DICTIONARY_WORDS = 2_000
 TREES, DEPTH = 20, 6
+_ADDRESS = r"\d{1,3}(?:\.\d{1,3}){3}(?:[:/]\d{1,5})?|(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}|[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}"
+_DATE = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[T_:-]?\d{1,2}[:.]?\d{2}(?:[:.]?\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
+_MAIL = r"(?:mailto:)?[A-Za-z0-9_.+=-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_PLAIN = r"(?:[A-Z]?[a-z]{2,20}|[A-Z]{2,12}|\d{1,6}|[A-Za-z](?![A-Za-z]))"
+_NAME = r"[._-]*" + _PLAIN + r"(?:[._@-]*" + _PLAIN + r"){0,7}+"
+_URL = r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[A-Za-z0-9.-]+(?::\d+)?(?:/(?:" + _NAME + r")?)*+"
+_PATH = r"(?:[A-Za-z]:)?[.]{0,2}/?(?:" + _NAME + r")(?:/(?:" + _NAME + r"))++/?"
+_NUMBER = r"[+-]?[\d.-]+(?:[eE][+-]?\d+)?|v?\d+(?:\.\d+)+(?:[-+.][A-Za-z]+[.-]?\d*)?"
+HARMLESS = "^(?:" + "|".join((_ADDRESS, _DATE, _MAIL, _URL, _PATH, _NUMBER)) + ")$"
+SHAPED = r"^eyJ[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_=-]{8,}\.|//[^/@:]*:[^/@]{6,}@|^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^xox[abeprs]-[A-Za-z0-9-]{10,}|^[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|^AIza[A-Za-z0-9_-]{35}"
 #: Words that name a secret when they stand before it.
 KEYWORDS = ["token", "key", "secret", "password", "passwd", "apikey", "api_key", "credential", "auth"]
-FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "hex_only", "dictionary", "path_depth", "path_code", "after_keyword", "after_equals", "quoted"]
+FEATURES = ["shaped", "harmless", "length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "hex_only", "dictionary", "path_depth", "path_code", "after_keyword", "after_equals", "quoted"]
 
 
 def _pieces(run: Column) -> Column:
@@ -101,7 +112,7 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     own = F.regexp_extract(text, ASSIGNED, 1)
     keyword = lambda name: F.arrays_overlap(F.split(F.lower(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z_.-]", ""), "([a-z])([A-Z])", "$1_$2")), "[_.-]+"), F.array(*map(F.lit, KEYWORDS)))
     values = {
-        "length": n, "digits": kind("0"), "uppers": kind("U"), "lowers": kind("l"), "others": kind("."),
+        "shaped": shaped(c), "harmless": harmless(c), "length": n, "digits": kind("0"), "uppers": kind("U"), "lowers": kind("l"), "others": kind("."),
         "transitions": pairs / n, "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "hex_only": c.rlike("^[0-9a-fA-F]+$").cast("double"), "dictionary": covered / n,
         "path_depth": F.size(F.filter(F.split("path", "/"), lambda s: s != "")).cast("double"), "path_code": F.lower("path").rlike(r"\.(py|js|env|ya?ml|json|conf|ini|sh)$").cast("double"),
@@ -128,17 +139,38 @@ def score(found: DataFrame, model: RandomForestClassificationModel | None) -> Da
     return scored.drop("features", "rawPrediction", "probability", "prediction").withColumnRenamed("probability_", "probability")
 
 
+def harmless(c: Column) -> Column:
+    """Whether a candidate parses as a number, an IP or hardware address, a date or time, a mail address, a URL without
+    user information, a version, or a path of plain names."""
+    return F.coalesce(F.rtrim(c, F.lit(".:,=-")).rlike(HARMLESS), F.lit(False))
+
+
+def shaped(c: Column) -> Column:
+    """Whether a candidate has the form of a known kind of secret: a signed token, a URL or address with a password, or
+    a prefix of well-known issuers."""
+    return F.coalesce(c.rlike(SHAPED), F.lit(False))
+
+
 def weak_label() -> Column:
-    """Labels where the tables have none: 1 for 32 or more hex digits, quoted behind ``keyword =``; 0 for candidates
-    with a dot, colon, slash or at sign (addresses, paths, dates) or with digits only; else null."""
-    return F.when((F.col("hex_only") == 1) & (F.col("length") >= 32) & (F.col("after_keyword") == 1), 1).when(F.col("candidate").rlike("[.:/@]") | F.col("candidate").rlike("^[0-9-]+$"), 0)
+    """Labels where the tables have none. 0: what parses as ``harmless``. 1: what is ``shaped`` as a secret, or is
+    assigned to a keyword, has 16 characters or more, digits and letters, and hardly a word of the dictionary. Else
+    null. The characters of a candidate alone decide nothing."""
+    c = F.col("candidate")
+    assigned = (F.col("after_keyword") == 1) & (F.col("after_equals") == 1) & (F.col("length") >= 16) & c.rlike("[A-Za-z]") & (F.col("dictionary") < 0.3)
+    return F.when(shaped(c), 1).when(harmless(c), 0).when(assigned, 1)
+
+
+def training_rows(labelled: DataFrame, most: int = FIT_ROWS, place: tuple[str, ...] = ("key", "at", "nth")) -> DataFrame:
+    """About ``most`` rows of each label, those of the lowest hashes of their place; all of a label that has no more.
+    The lowest hash of a label is always in, so no label that any row has is lost."""
+    hashed = labelled.filter(F.col("label").isNotNull()).withColumn("_h", F.shiftrightunsigned(F.xxhash64(*place, "candidate"), 1))
+    bounds = hashed.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least"))
+    limit = F.greatest(F.col("_least"), F.when(F.col("_n") <= most, F.lit(2**63 - 1)).otherwise((F.lit(float(2**63 - 1024)) * most / F.col("_n")).cast("long")))
+    return hashed.join(F.broadcast(bounds.select("label", limit.alias("_limit"))), "label").filter("_h <= _limit").drop("_h", "_limit")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    dictionary = common_words(docs)
-    share = int(min(1.0, FIT_DOCUMENTS / max(1, docs.count())) * 1_000_000)
-    some = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < share)
-    labelled = materialise(with_features(candidates(some, path="source"), dictionary).withColumn("label", weak_label()).select(*FEATURES, "label"), "secrets-fit")
-    scored = score(with_features(candidates(docs, path="source"), dictionary), fit(labelled))
+    found = materialise(with_features(candidates(docs, path="source"), common_words(docs)).select("key", "at", "nth", "candidate", *FEATURES), "secrets-found")
+    scored = score(found, fit(training_rows(found.withColumn("label", weak_label()))))
     return scored.select(F.col("key").alias("doc_id"), "at", "nth", "candidate", F.round("probability", 6).alias("probability"), (F.col("probability") >= 0.5).alias("secret"))
