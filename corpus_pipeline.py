@@ -39,13 +39,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the sources' target weights, in a global hashed order."""
+    """Documents repeated to the sources' target weights; the sharding stage orders the copies."""
     return mix_sources(docs, WEIGHTS).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shards and slots."""
-    return assign_shards(docs, "doc_id", N_SHARDS, tuple(c for c in docs.columns if c != "doc_id"))
+    """Documents with their shards and slots; copies of a document stand apart in their shard."""
+    return assign_shards(docs, "doc_id", N_SHARDS, tuple(c for c in docs.columns if c != "doc_id"), apart=True)
 
 
 STAGES = [

@@ -52,14 +52,19 @@ def jump_shard(hashed: Column, n_shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n_shards)), start, jump)["b"].cast("int")
 
 
-def assign_shards(docs: DataFrame, key: str, n_shards: int, order: tuple[str, ...] = ()) -> DataFrame:
+def assign_shards(docs: DataFrame, key: str, n_shards: int, order: tuple[str, ...] = (), apart: bool = False) -> DataFrame:
     """``docs`` with shard, slot (from 0, without gaps in each shard) and grown_shard (with one shard more).
 
-    Rows of a shard are in the order of a hash of the key, then the key, then ``order``.
+    Rows of a shard are in the order of a hash of the key, then the key, then ``order``. With ``apart`` the hash is of
+    the key and the row's number among the rows of that key, so that copies of a row don't stand together.
     """
-    rows = docs.drop("shard", "slot", "grown_shard", "_chunk", "_place")
+    rows = docs.drop("shard", "slot", "grown_shard", "_chunk", "_place", "_nth")
     chunks = max(1, math.ceil(docs.count() / (n_shards * CHUNK_ROWS)))
-    place = F.conv(F.substring(_digest(F.col(key)), 16, 12), 16, 10).cast("long")
+    digest = _digest(F.col(key))
+    if apart:
+        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*(order or (key,)))))
+        digest = F.md5(F.concat_ws(":", digest, F.col("_nth").cast("string")))
+    place = F.conv(F.substring(digest, 16, 12), 16, 10).cast("long")
     rows = rows.withColumns({"shard": jump_shard(key_hash(F.col(key)), n_shards), "grown_shard": jump_shard(key_hash(F.col(key)), n_shards + 1), "_place": place})
     rows = rows.withColumn("_chunk", F.floor(F.col("_place") / F.lit(2.0**48) * chunks).cast("int"))
     running = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +73,7 @@ def assign_shards(docs: DataFrame, key: str, n_shards: int, order: tuple[str, ..
     inside = Window.partitionBy("shard", "_chunk").orderBy("_place", key, *order)
     numbered = rows.withColumn("_slot", F.row_number().over(inside).cast("long"))
     placed = numbered.join(offsets, ["shard", "_chunk"]).withColumn("slot", F.col("_slot") - 1 + F.col("_offset"))
-    return placed.select(*(c for c in docs.columns if c not in ("shard", "slot", "grown_shard", "_chunk", "_place")), "shard", "slot", "grown_shard")
+    return placed.select(*(c for c in docs.columns if c not in ("shard", "slot", "grown_shard", "_chunk", "_place", "_nth")), "shard", "slot", "grown_shard")
 
 
 N_SHARDS = 24

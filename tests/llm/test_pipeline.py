@@ -35,3 +35,12 @@ def test_pipeline_by_brute_force(spark):
     assert all(r["shard"] == jump(hashed[r["doc_id"]], 24) for r in found)
     kept = {r["doc_id"]: r["text"] for r in left}
     assert all(r["text"] == kept[r["doc_id"]] for r in found)
+
+
+def test_copies_stand_apart(spark):
+    docs = spark.createDataFrame([(n, f"text {n}", "src1") for n in range(1_000) for _ in range(6)] + [(None, "a", "src1"), (None, "b", None)], "doc_id long, text string, source string")
+    found = corpus_pipeline.sharding(spark, docs, SMALL).collect()
+    slots = {(r["shard"], r["slot"]): r["doc_id"] for r in found}
+    assert len(slots) == len(found) == 6_002 and all(slot == 0 or (shard, slot - 1) in slots for shard, slot in slots)
+    together = sum(key is not None and slots.get((shard, slot + 1)) == key for (shard, slot), key in slots.items())
+    assert together < 300  # of 5,000 that could be; chance gives about 1 in 40 of the rows
