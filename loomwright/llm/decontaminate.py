@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import table
+from .tables import free_name, table
 from .wordhash import chunks
 
 #: Windows in a block: at 10 words and some 200 bytes each, a block's broadcast stays under about 60 MB.
@@ -149,13 +149,6 @@ def item_windows(benchmark: DataFrame, item: str, text: str, size: int) -> DataF
     return ids.mapInArrow(cut, "item string, window binary").groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores behind it until no column has it."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_block: int = MAX_BLOCK, into: str = "contamination") -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, spans (merged word ranges that are hit: start, end, start,
     ...) and items (ids of items with occurring windows, sorted as strings)."""

@@ -4,22 +4,25 @@ A window of consecutive words is removed from a document if the same words also
 
 1. Candidates: every window is named by its smallest phrase hash (a phrase is ``PHRASE`` words), so equal windows
    have equal names and only about one word in twenty gives a row. Names that two documents share recur.
-2. Confirmation: the stretches of text under recurring names are cut out, and their windows are counted exactly by
-   word-sequence hash. A window of two documents is confirmed, with the first document that has it.
+2. Confirmation: the stretches of text under recurring names are cut out, and their windows are counted by 128 bits of
+   BLAKE2b of their words, joined by single spaces. A window of two documents is confirmed, with the first that has it.
 3. Automata: the phrases of confirmed windows are sharded by the document they first stand in, so a copy meets few
-   shards. Each shard compiles an Aho-Corasick automaton over word numbers; the stretches stream through the shards
-   that hold their phrases, every occurrence is located, and the windows around it are compared with the confirmed ones.
+   shards; a document of many windows is dealt to several. Each shard compiles an Aho-Corasick automaton over word
+   numbers; the stretches stream through the shards that hold their phrases, every occurrence is located, and the windows
+   around it are compared with the confirmed ones.
 4. The located windows are merged and taken out of their documents.
 
-Nothing is broadcast or collected: shards, stretches and documents meet in shuffles. A shard's size is bounded by the
-number of shards; a shard that many documents need (a hot passage) is dealt to as many copies as its words ask for.
+Stretches and documents meet in shuffles; names of a hot passage, of which there can be only few, are broadcast to the
+rows that have them, so no task gets all of them. A shard holds about ``SHARD_WINDOWS`` windows, and a shard that many
+documents need is dealt to as many copies as its words ask for. Nothing else is broadcast or collected but counts.
 
-Windows and words are compared by 64-bit hashes of their bytes: two different windows would have to agree in the hash
-of the window and in that of its naming phrase. Words are runs without space, tab and the other ASCII line blanks.
+Words are runs without space, tab and the other ASCII line blanks. 64-bit hashes of words and phrases only lead to
+candidates; that two windows are equal is decided by the digest of all their bytes.
 
 Defined cases: a null text has no words; texts shorter than a window stay whole; a null id is neither smaller nor larger
 than any other, so such a row stays whole; rows that repeat an id are judged each by its own text and do not remove each
-other; an empty table gives an empty result. Other columns are never read.
+other; a key that is no integer is refused with a TypeError; an empty table gives an empty result. Other columns are
+never read.
 """
 
 from __future__ import annotations
@@ -29,16 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import spread_join
 from .storage import materialise
-from .tables import table
-from .wordhash import chunks, grams, sliding_min, words
+from .tables import integer_key, table
+from .wordhash import chunks, digests, grams, sliding_min, words
 
 WINDOW = 50
 PHRASE = 8
-#: Confirmed windows in a shard (some 30 MB with its automaton), and words of the stretches in a copy of a shard.
+#: Confirmed windows in a shard (some 40 MB with its automaton), and words of the stretches in a copy of a shard.
 SHARD_WINDOWS = 500_000
 COPY_WORDS = 4_000_000
 
@@ -69,10 +73,10 @@ def recurring_names(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(rows))], names=["name", "id"])
 
-    each = docs.filter("id IS NOT NULL").select("id", "text").mapInArrow(names, "name long, id long")
-    same = Window.partitionBy("name")
-    both = each.withColumns({"first": F.min("id").over(same), "last": F.max("id").over(same)}).filter("first < last")
-    return both.groupBy("id").agg(F.collect_set("name").alias("names"))
+    each = materialise(docs.filter("id IS NOT NULL").select("id", "text").mapInArrow(names, "name long, id long"), "names")
+    seen = each.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members"))
+    both = materialise(seen.filter("first < last").select("name", "members"), "recurring")
+    return spread_join(each, both, ["name"]).groupBy("id").agg(F.collect_set("name").alias("names"))
 
 
 def stretches(docs: DataFrame, recurring: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -99,33 +103,38 @@ def stretches(docs: DataFrame, recurring: DataFrame, window: int, phrase: int) -
 
 
 def confirmed_windows(pieces: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(name, hash, first): windows that two documents have, with the smallest id; one task row for each name and text."""
+    """(name, hash, hash2, first): windows that two documents have, with the smallest id; a task adds up its own."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, begins, hashes, *_ in _texts(batch):
+            for part, begins, hashes, starts, ends, data in _texts(batch):
                 ids = part.column(0).to_numpy()
                 name, seen, who = [], [], []
                 for n in range(part.num_rows):
-                    mine = hashes[begins[n] : begins[n + 1]]
-                    name.append(_names(mine, window, phrase))
-                    seen.append(grams(mine, window))
+                    lo, hi = begins[n], begins[n + 1]
+                    name.append(_names(hashes[lo:hi], window, phrase))
+                    seen.append(window_digests(starts[lo:hi], ends[lo:hi], data, window))
                     who.append(np.full(len(seen[-1]), ids[n]))
                 name, seen, who = map(np.concatenate, (name, seen, who))
-                order = np.lexsort((who, seen, name))
+                order = np.lexsort((who, seen[:, 1], seen[:, 0], name))
                 name, seen, who = name[order], seen[order], who[order]
-                new = np.concatenate([[True], (np.diff(seen) != 0) | (np.diff(name) != 0)])
+                new = np.concatenate([[True], (np.diff(seen, axis=0) != 0).any(axis=1) | (np.diff(name) != 0)])[: len(name)]
                 begin = np.flatnonzero(new)
                 last = np.append(begin[1:], len(seen)) - 1
-                low, high, name, seen = who[begin], who[last], name[begin], seen[begin]
-                split = np.concatenate([[True], (np.diff(name) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)])
-                cuts = np.flatnonzero(split)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(name)), pa.int32()), pa.array(seen.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(name[cuts].view(np.int64)), pa.array(low[cuts]), pa.array(high[cuts]), lists], names=["name", "low", "high", "hashes"])
+                columns = [name[begin].view(np.int64), seen[begin, 0], seen[begin, 1], who[begin], who[last[: len(begin)]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "hash", "hash2", "low", "high"])
+
+    each = pieces.select("id", "text").mapInArrow(runs, "name long, hash long, hash2 long, low long, high long")
+    return each.groupBy("name", "hash", "hash2").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").drop("last")
+
 
-    dealt = pieces.select("id", "text").mapInArrow(runs, "name long, low long, high long, hashes array<long>").repartition("name")
-    each = dealt.select("name", "low", "high", F.explode("hashes").alias("hash"))
-    return each.groupBy("name", "hash").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").drop("last")
+def window_digests(starts: np.ndarray, ends: np.ndarray, data: bytes, window: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The digest of each window of a text's words (or those at some places), whatever stands between the words."""
+    joined = b" ".join(data[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+    stop = np.cumsum(ends - starts + 1) - 1
+    begin = stop - (ends - starts)
+    at = np.arange(max(0, len(starts) - window + 1)) if at is None else at
+    return digests(joined, begin[at], stop[at + window - 1])
 
 
 def phrases(pieces: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -157,7 +166,7 @@ class Shard:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows: list[tuple[np.ndarray, ...]] = []
         self.ready = False
 
     def add_phrases(self, names: list[int], numbers: list[list[int]]) -> None:
@@ -168,17 +177,31 @@ class Shard:
             else:
                 self.automaton.add_word(key, [name])
 
-    def add_windows(self, names: np.ndarray, hashes: np.ndarray, firsts: np.ndarray) -> None:
-        self.rows.append((names, hashes, firsts))
+    def add_windows(self, hashes: np.ndarray, hashes2: np.ndarray, firsts: np.ndarray) -> None:
+        self.rows.append((hashes, hashes2, firsts))
 
     def compile(self) -> None:
         if not self.ready:
             self.automaton.make_automaton()
-            names, hashes, firsts = map(np.concatenate, zip(*self.rows)) if self.rows else (np.zeros(0, np.int64),) * 3
-            order = np.argsort(hashes, kind="stable")
-            self.names, self.hashes, self.firsts, self.rows, self.ready = names[order], hashes[order], firsts[order], [], True
+            hashes, hashes2, firsts = map(np.concatenate, zip(*self.rows)) if self.rows else (np.zeros(0, np.int64),) * 3
+            order = np.lexsort((hashes2, hashes))
+            self.hashes, self.hashes2, self.firsts, self.rows, self.ready = hashes[order], hashes2[order], firsts[order], [], True
+
+    def first_of(self, seen: np.ndarray) -> np.ndarray:
+        """The first document of each window, the largest number where it is not confirmed."""
+        out = np.full(len(seen), np.iinfo(np.int64).max)
+        place = np.searchsorted(self.hashes, seen[:, 0])
+        left = np.arange(len(seen))
+        while len(left):  # once more only where two windows share the first half of their digests
+            left = left[place[left] < len(self.hashes)]
+            left = left[self.hashes[place[left]] == seen[left, 0]]
+            same = self.hashes2[place[left]] == seen[left, 1]
+            out[left[same]] = self.firsts[place[left[same]]]
+            left = left[~same]
+            place[left] += 1
+        return out
 
-    def locate(self, hashes: np.ndarray, id: int, window: int, phrase: int) -> list[int]:
+    def locate(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes, id: int, window: int, phrase: int) -> list[int]:
         """Word ranges [start, end, ...] of confirmed windows whose first document is before ``id``."""
         found: set[int] = set()
         for _, names in self.automaton.iter(tuple((hashes >> np.uint64(33)).tolist())):
@@ -186,10 +209,8 @@ class Shard:
         if not found or not len(self.hashes):
             return []
         name = _names(hashes, window, phrase).view(np.int64)
-        seen = grams(hashes, window).view(np.int64)
         at = np.flatnonzero(np.isin(name, np.fromiter(found, dtype=np.int64, count=len(found))))
-        place = np.minimum(np.searchsorted(self.hashes, seen[at]), len(self.hashes) - 1)
-        at = at[(self.hashes[place] == seen[at]) & (self.names[place] == name[at]) & (self.firsts[place] < id)]
+        at = at[self.first_of(window_digests(starts, ends, data, window, at)) < id]
         out: list[int] = []
         for run in np.split(at, np.flatnonzero(np.diff(at) > window) + 1):
             if len(run):
@@ -197,17 +218,24 @@ class Shard:
         return out
 
 
-def occurrences(pieces: DataFrame, confirmed: DataFrame, n_shards: int, window: int, phrase: int) -> DataFrame:
+def occurrences(pieces: DataFrame, confirmed: DataFrame, shard_windows: int, window: int, phrase: int) -> DataFrame:
     """(id, text_key, spans): word ranges of each document to remove, from the automata of the shards."""
-    homes = confirmed.groupBy("name").agg(F.min("first").alias("home")).withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(n_shards)).cast("int"))
-    each = materialise(phrases(pieces, window, phrase).join(homes, "name"), "phrases")
+    n_shards = max(1, math.ceil(confirmed.count() / shard_windows))
+    names = confirmed.groupBy("name").agg(F.min("first").alias("home"), F.count(F.lit(1)).alias("n"))
+    deals = names.groupBy("home").agg(F.ceil(F.sum("n") / shard_windows).alias("deals"))
+    shard = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("name"), F.col("deals"))), F.lit(n_shards)).cast("int")
+    homes = names.join(deals, "home").select("name", "home", shard.alias("shard"))
+    found = materialise(phrases(pieces, window, phrase), "phrases")
+    counts = found.groupBy("name").agg(F.count(F.lit(1)).alias("members"))
+    homes = materialise(homes.join(counts, "name"), "homes")
+    each = spread_join(found, homes, ["name"])
     routed = each.filter("id > home").groupBy("id", "text_key", "start", "shard").agg(F.first("n_words").alias("n_words"))
     copies = routed.groupBy("shard").agg(F.ceil(F.sum("n_words") / COPY_WORDS).cast("int").alias("copies"))
     unit = lambda salt: F.concat_ws("/", "shard", salt)
     every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
-    empty = {"id": "long", "text_key": "long", "start": "long", "name": "long", "hash": "long", "phrase": "array<int>", "text": "string"}
+    empty = {"id": "long", "text_key": "long", "start": "long", "name": "long", "hash": "long", "hash2": "long", "phrase": "array<int>", "text": "string"}
     shape = lambda df, kind: df.select("unit", F.lit(kind).alias("kind"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
-    seeds = each.groupBy("name").agg(F.first("phrase").alias("phrase"), F.first("shard").alias("shard")).join(copies, "shard").select("*", every).withColumn("unit", unit("salt"))
+    seeds = found.groupBy("name").agg(F.first("phrase").alias("phrase")).join(homes, "name").join(copies, "shard").select("*", every).withColumn("unit", unit("salt"))
     windows = confirmed.join(homes.select("name", "shard"), "name").join(copies, "shard").select("*", every).withColumn("unit", unit("salt")).withColumnRenamed("first", "id")
     hay = pieces.join(routed.drop("n_words"), ["id", "text_key", "start"]).join(copies, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.col("copies"))).withColumn("unit", unit("salt"))
     rows = shape(seeds, 0).unionByName(shape(windows, 1)).unionByName(shape(hay, 2)).repartition("unit").sortWithinPartitions("unit", "kind")
@@ -226,40 +254,39 @@ def occurrences(pieces: DataFrame, confirmed: DataFrame, n_shards: int, window:
                 if kind == 0:
                     shard.add_phrases(part.column("name").to_pylist(), part.column("phrase").to_pylist())
                 elif kind == 1:
-                    shard.add_windows(part.column("name").to_numpy(), part.column("hash").to_numpy(), part.column("id").to_numpy())
+                    shard.add_windows(*(part.column(c).to_numpy() for c in ("hash", "hash2", "id")))
                 else:
                     shard.compile()
                     yield from search(part, shard)
 
     def search(batch: pa.RecordBatch, shard: Shard) -> Iterator[pa.RecordBatch]:
-        for part, begins, hashes, *_ in _texts(batch):
+        for part, begins, hashes, starts, ends, data in _texts(batch):
             ids, out = part.column("id").to_pylist(), []
             shift = part.column("start").to_pylist()
-            for n in range(part.num_rows):
-                spans = shard.locate(hashes[begins[n] : begins[n + 1]], ids[n], window, phrase)
+            for n, (lo, hi) in enumerate(zip(begins, begins[1:])):
+                spans = shard.locate(hashes[lo:hi], starts[lo:hi], ends[lo:hi], data, ids[n], window, phrase)
                 out.append([x + shift[n] for x in spans])
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(out, pa.list_(pa.int64()))], names=["id", "text_key", "spans"])
 
-    found = rows.mapInArrow(stream, "id long, text_key long, spans array<long>").filter(F.size("spans") > 0)
-    return found.groupBy("id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    located = rows.mapInArrow(stream, "id long, text_key long, spans array<long>").filter(F.size("spans") > 0)
+    return located.groupBy("id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """(key, n_words, n_removed, kept): each document's words without those under windows that an earlier document
     has, joined by single spaces. Windows are judged on the input."""
+    integer_key(docs, key)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     pieces = materialise(stretches(rows, recurring_names(rows, window, phrase), window, phrase), "stretches")
     confirmed = materialise(confirmed_windows(pieces, window, phrase), "windows")
-    n_shards = max(1, math.ceil(confirmed.count() / shard_windows))
-    spans = occurrences(pieces, confirmed, n_shards, window, phrase)
-    marked = rows.join(spans, ["id", "text_key"], "left")
+    marked = rows.join(occurrences(pieces, confirmed, shard_windows, window, phrase), ["id", "text_key"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 counts, removed, kept = [], [], []
                 for t, spans in zip(texts, part.column("spans").to_pylist()):
-                    ws = t.split() if not (b"\x1c" in t or b"\x1d" in t or b"\x1e" in t or b"\x1f" in t) else _split(t)
+                    ws = t.split()  # of bytes: at the same blanks
                     counts.append(len(ws))
                     if spans:
                         keep = np.ones(len(ws), dtype=bool)
@@ -273,11 +300,6 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return marked.select("id", "text", "spans").mapInArrow(cut, f"`{key}` long, n_words long, n_removed long, kept string")
 
 
-def _split(text: bytes) -> list[bytes]:
-    _, _, starts, ends, data = words([text])
-    return [data[a:b] for a, b in zip(starts, ends)]
-
-
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

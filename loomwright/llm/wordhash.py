@@ -1,10 +1,13 @@
 """Vectorised word splitting and n-gram hashing for Arrow batches (small per-task helpers).
 
-Words are maximal runs of bytes that do not separate; a hash of a word or of a run of words has 64 bits.
+Words are maximal runs of bytes that do not separate. A word's hash has 64 bits and is not linear in its bytes: lanes of
+eight bytes are mixed one after another, and a word of more than ``MOST_LANES`` of them is hashed by BLAKE2b. Hashes find
+candidates; what decides compares the words (``exact_ids``) or 128 bits of BLAKE2b of their bytes (``digests``).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +16,10 @@ import pyarrow.compute as pc
 
 _B = 0x9E3779B97F4A7C15
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE, _STEP = np.uint64(0x100000001B3), np.uint64(_B | 1)
-_INV = np.uint64(pow(_B | 1, -1, 1 << 64))
+_STEP = np.uint64(_B | 1)
+MOST_LANES = 16
+#: The lowest n bytes of a lane, n = 0 to 8.
+_MASKS = np.array([2 ** (8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 #: Bytes between words: space and \t \n \v \f \r.
 SPACES = np.zeros(256, dtype=bool)
@@ -55,14 +60,79 @@ def words(texts: list[bytes], separators: np.ndarray = SPACES) -> tuple[np.ndarr
         none = np.zeros(0, dtype=np.int64)
         return none, none.astype(np.uint64), none, none, data
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    limits = np.cumsum(lengths + 1)
-    doc = np.searchsorted(limits, starts, side="right")
-    span = a[starts[0] : ends[-1]]
-    place = np.arange(len(span)) - np.repeat(starts - starts[0], np.diff(np.append(starts, ends[-1])))
-    power = np.cumprod(np.full(int(place.max()) + 1, _BASE, dtype=np.uint64))
-    terms = (span.astype(np.uint64) + np.uint64(1)) * power[place]
-    terms[inside[1:-1][starts[0] : ends[-1]] == 0] = 0
-    return doc, mix(np.add.reduceat(terms, starts - starts[0])), starts, ends, data
+    doc = np.searchsorted(np.cumsum(lengths + 1), starts, side="right")
+    return doc, _hashes(data, starts, ends), starts, ends, data
+
+
+def _lanes(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    padded = data + bytes(8)
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+
+def _hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    lanes, lengths = _lanes(data), ends - starts
+    out = mix(lengths.astype(np.uint64) * _STEP)
+    left = np.flatnonzero(lengths <= 8 * MOST_LANES)
+    for k in range(MOST_LANES):
+        if not len(left):
+            break
+        rest = lengths[left] - 8 * k
+        out[left] = mix(out[left] * _STEP ^ (lanes[starts[left] + 8 * k] & _MASKS[np.minimum(rest, 8)]))
+        left = left[rest > 8]
+    for n in np.flatnonzero(lengths > 8 * MOST_LANES).tolist():
+        out[n] = int.from_bytes(hashlib.blake2b(data[starts[n] : ends[n]], digest_size=8).digest(), "little")
+    return out
+
+
+def distinct_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> bool:
+    """Whether equal hashes are equal words throughout, so that hashes can stand for these words."""
+    if not len(hashes):
+        return True
+    _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    other, lengths = first[place], ends - starts
+    if (lengths[other] != lengths).any():
+        return False
+    lanes, left = _lanes(data), np.flatnonzero(other != np.arange(len(other)))
+    for k in range(MOST_LANES):
+        rest = lengths[left] - 8 * k
+        if ((lanes[starts[left] + 8 * k] ^ lanes[starts[other[left]] + 8 * k]) & _MASKS[np.minimum(rest, 8)]).any():
+            return False
+        left = left[rest > 8]
+        if not len(left):
+            return True
+    return all(data[starts[n] : ends[n]] == data[starts[m] : ends[m]] for n, m in zip(left.tolist(), other[left].tolist()))
+
+
+def exact_ids(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
+    """A number for each word, equal for equal words only: its hash, or its rank where two words share a hash."""
+    if distinct_hashes(hashes, starts, ends, data):
+        return hashes
+    number: dict[bytes, int] = {}
+    each = (number.setdefault(data[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist()))
+    return mix(np.fromiter(each, dtype=np.uint64, count=len(hashes)))
+
+
+def distinct_grams(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, place of one occurrence) of the distinct runs of k exact ids. A run whose hash another run has is
+    told apart by a hash of its own, which depends on its ids alone as long as no third one meets it."""
+    h = grams(ids, k)
+    found, first, place = np.unique(h, return_index=True, return_inverse=True)
+    if len(found) == len(h):
+        return found, first
+    runs = ids[np.arange(len(h))[:, None] + np.arange(k)]
+    if (runs[first[place]] == runs).all():
+        return found, first
+    first = np.unique(runs, axis=0, return_index=True)[1]
+    order = np.argsort(h[first], kind="stable")
+    return h[first][order], first[order]
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each slice of the bytes, as two signed numbers in a row."""
+    cut = memoryview(data)
+    joined = b"".join(hashlib.blake2b(cut[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist()))
+    return np.frombuffer(joined, dtype="<i8").reshape(-1, 2)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -70,15 +140,10 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    if k <= 10:
-        out = np.zeros(n, dtype=np.uint64)
-        for j in range(k):
-            out = out * _STEP + hashes[j : j + n]
-        return mix(out)
-    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes) - 1, _STEP)]))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up)])
-    down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INV)]))
-    return mix((total[k:] - total[:-k]) * down)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        out = out * _STEP + hashes[j : j + n]
+    return mix(out)
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:

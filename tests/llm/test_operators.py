@@ -11,7 +11,7 @@ import pytest
 from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 
-from loomwright.llm import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, substrings, urls
+from loomwright.llm import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, substrings, urls, wordhash
 from loomwright.llm.tables import table
 
 
@@ -125,6 +125,49 @@ def test_null_and_repeated_ids_stay_whole(spark):
     assert found == [(0, 0), (3, 0), (3, 0), (5, 70)]
 
 
+def alternating(n):
+    """A word of n letters, and its complement, whose polynomial hashes with any odd base are equal modulo 2**64."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    one, other = alternating(2_048)
+    rows = spark.createDataFrame([(1, " ".join([one] * 60)), (2, " ".join([other] * 60)), (3, " ".join([one[:1024]] * 60)), (4, " ".join([other[:1024]] * 60))], "doc_id long, text string")
+    assert [r["n_removed"] for r in substrings.remove_repeated(rows).collect()] == [0] * 4
+    single = spark.createDataFrame([(1, one), (2, other), (3, one.upper())], "doc_id long, text string")
+    assert rows_of(jaccard.similar_components(single))[1] == [("1", "1", "1"), ("1", "3", "1"), ("2", "2", "1")]
+
+
+def test_words_are_told_apart_where_hashes_meet():
+    texts = [b"a bb ccc bb a longer-than-eight-bytes longer-than-eight-bytez " + b"x" * 300 + b" " + b"x" * 299 + b"y"]
+    _, hashes, starts, ends, data = wordhash.words(texts)
+    assert wordhash.distinct_hashes(hashes, starts, ends, data) and len(set(hashes.tolist())) == 7
+    for bad in (hashes % np.uint64(2), hashes * np.uint64(0)):
+        assert not wordhash.distinct_hashes(bad, starts, ends, data)
+        ids = wordhash.exact_ids(bad, starts, ends, data).tolist()
+        assert len(set(ids)) == 7 and ids[0] == ids[4] and ids[1] == ids[3]
+
+
+def test_equal_shingle_hashes_do_not_count_as_equal_shingles(monkeypatch):
+    a, b = np.arange(20, dtype=np.uint64), np.arange(15, 40, dtype=np.uint64)
+    want = jaccard.common(a, b, 5)
+    assert want == (1, 16, 21)
+    plain = wordhash.grams
+    for size in (1, 3, 7):
+        monkeypatch.setattr(wordhash, "grams", lambda h, k, size=size: plain(h, k) % np.uint64(size))
+        assert jaccard.common(a, b, 5) == want
+
+
+def test_keys_must_be_integers(spark):
+    rows = spark.createDataFrame([("a1", "some text")], "doc_id string, text string")
+    for operator in (substrings.remove_repeated, jaccard.similar_components, jaccard.keep_one):
+        with pytest.raises(TypeError, match="integer"):
+            operator(rows)
+
+
 # 5: secrets
 
 
