@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.decontaminate import decontaminate, free_name
+from loomwright.llm.decontaminate import decontaminate
 from loomwright.llm.jaccard import keep_one
 from loomwright.llm.langid import UNDETERMINED, fit, held_out, identify
 from loomwright.llm.mixing import WEIGHTS, mix_sources
 from loomwright.llm.sharding import N_SHARDS, assign_shards
 from loomwright.llm.storage import materialise
-from loomwright.llm.tables import table
+from loomwright.llm.tables import free_name, table
 
 #: Documents whose best language is less sure than this are rejected.
 MIN_SCORE = 0.5
