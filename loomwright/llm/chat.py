@@ -8,8 +8,9 @@ one turn at a time. The formatted text of a conversation is the concatenation of
 conversation of any length needs no more memory than its longest turn.
 
 Defined cases: null text or no parts is an empty text; a null role is an empty role; turns that tie are ordered by
-role, then text; rows with a null conversation id form one conversation; an unknown part kind becomes a
-``document`` placeholder; an empty table gives an empty result. Other input columns are ignored.
+role, then text; rows with a null conversation id form one conversation; a null part is left out; an unknown or null part
+kind becomes a ``document`` placeholder; a size that is null, negative, infinite or no number counts as the least; an
+empty table gives an empty result. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ class Expansion:
             side = self.patch * self.merge
             return max(1, math.ceil((part["width"] or 0) / side)) * max(1, math.ceil((part["height"] or 0) / side))
         if part["kind"] == "audio":
-            return max(1, math.ceil((part["seconds"] or 0) * self.audio_per_second))
+            seconds = part["seconds"] or 0.0
+            return max(1, math.ceil(seconds * self.audio_per_second)) if math.isfinite(seconds) else 1
         return max(1, part["pages"] or 0) * self.document_page
 
 
@@ -78,7 +80,7 @@ class PartVisitor:
 
     def visit(self, parts: list[dict] | None) -> tuple[str, list[dict]]:
         out, found, length = [], [], 0
-        for is_text, run in groupby(parts or [], key=lambda part: part["kind"] == "text"):
+        for is_text, run in groupby((part for part in parts or [] if part is not None), key=lambda part: part["kind"] == "text"):
             for part in [self.joined(run)] if is_text else run:
                 text = getattr(self, f"visit_{part['kind']}", self.visit_document)(part, length, found)
                 out.append(text)

@@ -5,12 +5,18 @@ of its segmentations into pieces, by the forward algorithm; a text's likelihood
 probabilities are fitted by expectation maximisation (expected piece counts over all segmentations) on word counts of
 a bounded sample of labelled rows. The vocabulary's file is a parameter; nothing of it is in the repository.
 
-Words are maximal runs of letters, in lower case. Scoring is one map-only pass over whole texts; a task keeps a
-bounded cache of word likelihoods.
+Words are runs of letters, in lower case; a run of more than ``WORD_LETTERS`` (in a script without spaces, say) goes on as
+a new word, so a text of any kind costs time in proportion to its length. Scoring is one map-only pass over whole texts;
+a task keeps a bounded cache of word likelihoods.
+
+A score is the posterior of the language among those learned, times how typical the text is of it: 1 if a letter of the
+text is on average as likely as in the learned rows of that language or up to ``SLACK`` nats less, and falling
+exponentially beyond. A short text counts as having ``PRIOR_LETTERS`` typical letters more.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; with no labelled rows everything is
 ``und``; rows with a null language are not learned from; a null key counts as the empty string in the split; repeated
-rows are predicted alike; an empty table gives an empty result. Other columns are never read.
+rows are predicted alike; an empty table gives an empty result. Input columns named as the two results are replaced, all
+other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -30,8 +36,8 @@ from .tables import table
 from .wordhash import chunks
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: The fit takes about so many labelled rows, chosen by a hash of the key.
-FIT_ROWS = 6_000
+#: The fit takes about so many labelled rows of each language, chosen by a hash of the key.
+FIT_ROWS = 1_500
 ROUNDS = 2
 SMOOTHING = 0.1
 CACHE_WORDS = 300_000
@@ -39,7 +45,11 @@ SPACE = "▁"
 #: Multiplier of the hashes that pieces are looked up by.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+WORD_LETTERS = 64
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}")
+#: See the score above.
+SLACK = 0.7
+PRIOR_LETTERS = 50
 
 
 def words_of(text: str) -> list[str]:
@@ -116,12 +126,13 @@ def word_likelihoods(words: list[str], lattice: Lattice, probability: np.ndarray
     return out
 
 
-def expected_counts(words: list[str], counts: np.ndarray, lattice: Lattice, probability: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over all segmentations; probability has one language."""
-    out = np.zeros(len(probability))
+def expected_counts(words: list[str], counts: np.ndarray, lattice: Lattice, probability: np.ndarray) -> tuple[np.ndarray, float]:
+    """(expected uses of each piece over all segmentations, log-likelihood of all words); probability has one language."""
+    out, total = np.zeros(len(probability)), 0.0
     for some in _by_length(words):
         edges = lattice.edges([words[n] for n in some])
         _, logs = forward(edges, probability)
+        total += float(logs[-1][:, 0] @ counts[some])
         _, n, width = edges.shape
         back = [None] * n + [np.zeros_like(logs[0])]
         for i in range(n - 1, -1, -1):
@@ -132,7 +143,7 @@ def expected_counts(words: list[str], counts: np.ndarray, lattice: Lattice, prob
                 piece = edges[:, i, j - i - 1]
                 use = np.exp(logs[i] + np.log(np.maximum(probability[piece], 1e-300)) + back[j] - logs[-1])[:, 0]
                 np.add.at(out, piece, np.where(piece > 0, use * counts[some], 0.0))
-    return out
+    return out, total
 
 
 def _by_length(words: list[str], most: int = 4_000) -> Iterator[np.ndarray]:
@@ -150,16 +161,18 @@ class Model:
     languages: list[str]
     lattice: Lattice
     probability: np.ndarray  # piece id, language
+    typical: np.ndarray  # mean log-likelihood of a letter in the learned rows of each language
     cache: dict[str, int] = field(default_factory=dict)
     known: list[np.ndarray] = field(default_factory=list)
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         n = len(self.languages)
         words: list[str] = []
-        counts = []
+        counts, letters = [], []
         for t in texts:
             ws = words_of(t.decode(errors="replace"))
             counts.append(len(ws))
+            letters.append(sum(map(len, ws)))
             words += ws
         if not n or not words:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -175,12 +188,14 @@ class Model:
         each = self.known[0][np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))]
         ends = np.cumsum(counts)
         total = np.concatenate([np.zeros((1, n)), np.cumsum(each, axis=0)])
-        score = total[ends] - total[ends - counts]
-        score -= score.max(axis=1, keepdims=True)
-        share = np.exp(score)
+        likelihood = total[ends] - total[ends - counts]
+        share = np.exp(likelihood - likelihood.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
         best = share.argmax(axis=1)
-        return [self.languages[b] if c else UNDETERMINED for b, c in zip(best, counts)], [float(s[b]) if c else 0.0 for s, b, c in zip(share, best, counts)]
+        row = np.arange(len(texts))
+        mean = (likelihood[row, best] + PRIOR_LETTERS * self.typical[best]) / (np.array(letters) + PRIOR_LETTERS)
+        score = share[row, best] * np.exp(np.minimum(0.0, mean - self.typical[best] + SLACK))
+        return [self.languages[b] if c else UNDETERMINED for b, c in zip(best, counts)], np.where(np.array(counts) > 0, score, 0.0).tolist()
 
 
 def held_out(key: Column) -> Column:
@@ -188,10 +203,11 @@ def held_out(key: Column) -> Column:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
-    """Fit on about ``fit_rows`` of the rows with a language, chosen by a hash of the key."""
+    """Fit on about ``fit_rows`` of the rows of each language, chosen by a hash of the key; each language adds a column
+    to the model, so they are taken to be few."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    share = fit_rows / max(1, rows.count())
-    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)) if share < 1 else rows
+    shares = rows.groupBy("lang").agg((F.lit(1_000_000.0) * fit_rows / F.count(F.lit(1))).alias("share"))
+    sample = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,33 +223,41 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     lattice = Lattice(pieces)
     probability = np.full((len(pieces) + 2, len(languages)), 1.0 / (len(pieces) + 1))
     probability[0] = 0.0
+    typical = np.zeros(len(languages))
+    letters = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum(F.length("word") * F.col("n")).alias("n")).collect()}
     for _ in range(rounds):
         shared = words.sparkSession.sparkContext.broadcast((lattice, probability, languages))
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice, probability, languages = shared.value
-            sums = np.zeros_like(probability)
+            sums, likelihood = np.zeros_like(probability), np.zeros(len(languages))
             for batch in batches:
                 lang, word, n = (np.array(c.to_pylist(), dtype=object) for c in batch.columns)
                 for k, name in enumerate(languages):
                     some = np.flatnonzero(lang == name)
                     if len(some):
-                        sums[:, k] += expected_counts(word[some].tolist(), n[some].astype(np.float64), lattice, probability[:, k : k + 1])
+                        uses, total = expected_counts(word[some].tolist(), n[some].astype(np.float64), lattice, probability[:, k : k + 1])
+                        sums[:, k] += uses
+                        likelihood[k] += total
+            sums[0] = likelihood  # no piece has the number 0
             piece, k = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(k), pa.array(sums[piece, k])], names=["piece", "lang", "n"])
 
         counts = np.zeros_like(probability)
         for r in words.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect():
             counts[r["piece"], r["lang"]] = r["n"]
+        typical = np.array([counts[0, k] / letters[name] for k, name in enumerate(languages)])
+        counts[0] = 0.0
         probability = (counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * (len(pieces) + 1))
         probability[0] = 0.0
     words.unpersist()
-    return Model(languages, lattice, probability)
+    return Model(languages, lattice, probability, typical)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with two more columns, the language and its posterior probability."""
+    """``docs`` with two more columns, the language and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(*(c for c in docs.columns if c == text or c not in (lang_pred, score)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

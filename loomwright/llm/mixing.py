@@ -2,7 +2,8 @@
 
 Each source has a mean repetition rate, target rows over actual rows. A uniform number hashed from the seed and the
 document's key is put through the inverse of the Poisson distribution with that mean; the document is exploded by
-the resulting count, and all copies are dealt and sorted by a hashed order key. Counts cover all rows.
+the resulting count. All copies are dealt to partitions by the leading bits of a hashed order key and sorted by it, so the
+partitions hold them in one global order. Counts cover all rows.
 
 A rate above ``PIECE`` is split into equal Poisson parts that are drawn from separate hashes and added, so the
 distribution's table never underflows and stays short. The table of rates is broadcast while the number of sources is
@@ -10,7 +11,7 @@ below a bound; with more, it is joined on the source salted by the key's hash.
 
 Defined cases: a null source is a source of its own with the default weight; a null key hashes as the empty string;
 rows with the same key get the same count; a weight of 0 drops its source; an empty table, or weights that are all
-0, give an empty result; an input column that is named as a result column is replaced.
+0, give an empty result; an input column that is named as a result column is replaced, all others stay as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import free_name, table
 
 PIECE = 500.0
 #: A source's table has at most about 810 doubles, so the broadcast stays under about 13 MB.
@@ -63,18 +64,23 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], key: str = "doc_id",
     """The rows of ``docs`` by their counts, in a global hashed order, with copy (from 1), n_copies, shuffle_key."""
     rates = source_rates(docs, source, weights, default_weight, target_rows)
     kept = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
-    rows = docs.select(*kept).withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
+    keyed, salt = free_name(docs, "key"), free_name(docs, "salt")
+    rows = docs.select(*kept, F.coalesce(F.col(key).cast("string"), F.lit("")).alias(keyed))
+    own = {c: free_name(docs, c) for c in ("_source", "_parts", "_table", "_salt")}
+    rates = rates.withColumnsRenamed(own)
+    same = F.col(source).eqNullSafe(F.col(own["_source"]))
     if docs.select(source).distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        rated = rows.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("_source")))
+        rated = rows.join(F.broadcast(rates), same)
     else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_row_salt", F.pmod(F.hash("_key"), F.lit(SALTS)))
-        rated = rows.join(salted, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_row_salt") == F.col("_salt")))
-    draw = lambda i: F.size(F.filter("_table", lambda c: c <= _uniform(F.lit(seed), i.cast("string"), F.col("_key"))))
-    drawn = rated.withColumn("n_copies", F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, i: n + draw(i)))
+        salted = rates.withColumn(own["_salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = rows.withColumn(salt, F.pmod(F.hash(keyed), F.lit(SALTS))).join(salted, same & (F.col(salt) == F.col(own["_salt"])))
+    draw = lambda i: F.size(F.filter(own["_table"], lambda c: c <= _uniform(F.lit(seed), i.cast("string"), F.col(keyed))))
+    drawn = rated.withColumn("n_copies", F.aggregate(F.sequence(F.lit(1), F.col(own["_parts"])), F.lit(0), lambda n, i: n + draw(i)))
     copies = drawn.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    ordered = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("_key"), F.col("copy").cast("string"))))
-    return ordered.select(*kept, "copy", "n_copies", "shuffle_key").repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    ordered = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(keyed), F.col("copy").cast("string"))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
+    return ordered.select(*kept, "copy", "n_copies", "shuffle_key").repartitionById(parts, F.floor(place * parts / F.lit(2**32)).cast("int")).sortWithinPartitions("shuffle_key")
 
 
 #: Target weights of the query and the pipeline; other sources have weight 1.

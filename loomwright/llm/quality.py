@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import materialise
-from .tables import table
+from .tables import free_name, table
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -66,24 +66,26 @@ def repeat_words(words: Column) -> Column:
 
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the base counts and the ratios that rules are learned from."""
+    """``docs`` with the base counts and those of the ratios that rules are learned from; of the input columns only those
+    named as the counts are replaced."""
+    words = free_name(docs, "words")
     t = F.coalesce(F.col(text), F.lit(""))
     removed = lambda x, chars: F.length(x) - F.length(F.translate(x, chars, ""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     lines = lambda x: F.filter(F.split(x, "\n"), lambda s: F.length(F.translate(s, "\x20\x09\x0a\x0b\x0c\x0d", "")) > 0)
-    rows = docs.withColumn("_words", F.array_remove(F.split(t, SPACES), ""))
+    rows = docs.withColumn(words, F.array_remove(F.split(t, SPACES), ""))
     rows = rows.withColumns({
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.translate(t, "\x20\x09\x0a\x0b\x0c\x0d", "")).cast("long"),
         "n_symbols": removed(t, SYMBOLS).cast("long"),
         "n_dup_lines": let(lines(t), lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_words")),
-        "n_distinct": F.size(F.array_distinct("_words")).cast("long"),
+        "n_repeat_words": repeat_words(F.col(words)),
+        "n_distinct": F.size(F.array_distinct(words)).cast("long"),
         "n_upper": removed(t, upper).cast("long"),
         "n_marks": removed(t, "!?").cast("long"),
         "n_digits": removed(t, "0123456789").cast("long"),
     })
-    return rows.drop("_words")
+    return rows.drop(words)
 
 
 #: Ratios by name: numerator and denominator among the counts.

@@ -32,8 +32,9 @@ LEAD = 80
 ASSIGNED = r"([A-Za-z0-9_.-]+)[\"'`\\]*\s*[=:]+>?\s*[\"'`\\]*$"
 #: The forest is fitted on about so many labelled findings of each class, chosen among those of all documents by a hash.
 FIT_ROWS = 20_000
-#: The dictionary has so many words; all documents are counted.
-DICTIONARY_WORDS = 2_000
+#: The dictionary has the words that this share of all documents have, so it is no longer than the distinct words of a
+#: document on average, divided by the share.
+DICTIONARY_SHARE = 0.005
 TREES, DEPTH = 20, 6
 _ADDRESS = r"\d{1,3}(?:\.\d{1,3}){3}(?:[:/]\d{1,5})?|(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}|[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}"
 _DATE = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[T_:-]?\d{1,2}[:.]?\d{2}(?:[:.]?\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
@@ -89,10 +90,11 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     return found.select("key", "at", F.col("nth").cast("long").alias("nth"), "p.*", "path")
 
 
-def common_words(docs: DataFrame, text: str = "text", words: int = DICTIONARY_WORDS) -> list[str]:
-    """The words of 3 letters or more that most documents have; of equal counts the first in order."""
+def common_words(docs: DataFrame, text: str = "text", share: float = DICTIONARY_SHARE) -> list[str]:
+    """The words of 3 letters or more that a share of the documents have, in order."""
+    least = max(1.0, share * docs.count())
     each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("word"))
-    return [r["word"] for r in each.groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).collect()]
+    return sorted(r["word"] for r in each.groupBy("word").count().filter(F.col("count") >= least).select("word").collect())
 
 
 def _classes(x: Column) -> Column:
@@ -106,8 +108,7 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     n = F.length(c).cast("double")
     kind = lambda mark: F.length(F.regexp_replace("kinds", f"[^{mark}]", "")) / n
     pairs = F.length(F.regexp_replace("kinds", r"(.)\1*", "x")) - 1
-    known = F.array(*map(F.lit, dictionary)) if dictionary else F.array(F.lit(""))
-    covered = F.aggregate(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: F.array_contains(known, x)), F.lit(0), lambda a, x: a + F.length(x))
+    covered = F.aggregate(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: x.isin(dictionary)), F.lit(0), lambda a, x: a + F.length(x))
     text = F.concat_ws(" ", F.right("before2", F.lit(LEAD)), F.right("before", F.lit(LEAD)), "lead")
     own = F.regexp_extract(text, ASSIGNED, 1)
     keyword = lambda name: F.arrays_overlap(F.split(F.lower(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z_.-]", ""), "([a-z])([A-Z])", "$1_$2")), "[_.-]+"), F.array(*map(F.lit, KEYWORDS)))

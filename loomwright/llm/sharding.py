@@ -8,7 +8,7 @@ offsets are running sums of chunk counts, and rows are numbered inside their chu
 
 Defined cases: a null key hashes as a string of its own; a null text is empty and has checksum 0; rows with the same
 key get different slots in the same shard; an empty table gives an empty result; an input column that is named as a
-result column is replaced.
+result column is replaced, all others stay as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import free_name, table
 
 #: The multiplier of the 64-bit linear congruential generator that defines the method, and the generator's range.
 MULTIPLIER = 2862933555777941757
@@ -58,22 +58,24 @@ def assign_shards(docs: DataFrame, key: str, n_shards: int, order: tuple[str, ..
     Rows of a shard are in the order of a hash of the key, then the key, then ``order``. With ``apart`` the hash is of
     the key and the row's number among the rows of that key, so that copies of a row don't stand together.
     """
-    rows = docs.drop("shard", "slot", "grown_shard", "_chunk", "_place", "_nth")
+    kept = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
+    chunk, place, nth, row, offset = (free_name(docs, x) for x in ("chunk", "place", "nth", "row", "offset"))
+    rows = docs.select(*kept)
     chunks = max(1, math.ceil(docs.count() / (n_shards * CHUNK_ROWS)))
     digest = _digest(F.col(key))
     if apart:
-        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*(order or (key,)))))
-        digest = F.md5(F.concat_ws(":", digest, F.col("_nth").cast("string")))
-    place = F.conv(F.substring(digest, 16, 12), 16, 10).cast("long")
-    rows = rows.withColumns({"shard": jump_shard(key_hash(F.col(key)), n_shards), "grown_shard": jump_shard(key_hash(F.col(key)), n_shards + 1), "_place": place})
-    rows = rows.withColumn("_chunk", F.floor(F.col("_place") / F.lit(2.0**48) * chunks).cast("int"))
-    running = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("shard", "_chunk", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("shard", "_chunk").orderBy("_place", key, *order)
-    numbered = rows.withColumn("_slot", F.row_number().over(inside).cast("long"))
-    placed = numbered.join(offsets, ["shard", "_chunk"]).withColumn("slot", F.col("_slot") - 1 + F.col("_offset"))
-    return placed.select(*(c for c in docs.columns if c not in ("shard", "slot", "grown_shard", "_chunk", "_place", "_nth")), "shard", "slot", "grown_shard")
+        rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*(order or (key,)))))
+        digest = F.md5(F.concat_ws(":", digest, F.col(nth).cast("string")))
+    places = F.conv(F.substring(digest, 16, 12), 16, 10).cast("long")
+    rows = rows.withColumns({"shard": jump_shard(key_hash(F.col(key)), n_shards), "grown_shard": jump_shard(key_hash(F.col(key)), n_shards + 1), place: places})
+    rows = rows.withColumn(chunk, F.floor(F.col(place) / F.lit(2.0**48) * chunks).cast("int"))
+    running = Window.partitionBy("shard").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", chunk).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("shard", chunk, F.coalesce(F.sum("n").over(running), F.lit(0)).alias(offset))
+    inside = Window.partitionBy("shard", chunk).orderBy(place, key, *order)
+    numbered = rows.withColumn(row, F.row_number().over(inside).cast("long"))
+    placed = numbered.join(offsets, ["shard", chunk]).withColumn("slot", F.col(row) - 1 + F.col(offset))
+    return placed.select(*kept, "shard", "slot", "grown_shard")
 
 
 N_SHARDS = 24

@@ -1,12 +1,12 @@
 """URL filters: allow and block rules by host and path, the longest match wins.
 
 The rules are compiled into a trie over reversed host labels; each host node has a trie over path segments whose
-nodes keep the rules that end there by the start of the next segment. The trie is broadcast while the number of rules
-is below a bound; a longer list is joined by host suffix instead.
+nodes keep the rules that end there by the start of the next segment. A trie of at most ``BLOCK_RULES`` rules is
+broadcast; a longer list is cut into blocks that the urls pass one after another, and the longest match of all holds.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, and no rule fits an empty host; the
-host keeps a port or user part as written; of equal rules the first by action (allow before block) holds; an empty
-table gives an empty result. Other input columns are ignored.
+host keeps a port or user part as written; a rule without a host fits nothing; of equal rules the first by action (allow
+before block) holds; an empty table gives an empty result. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from .tables import table
 
 Rule = tuple[str, str, str]  # action, host, path
-#: A rule takes under 1 kB in the trie, so the broadcast stays under about 200 MB.
-MAX_BROADCAST_RULES = 200_000
+#: Rules of a block: at under 1 kB each in the trie, a broadcast stays under about 200 MB.
+BLOCK_RULES = 200_000
 
 
 class Trie:
@@ -30,7 +30,7 @@ class Trie:
 
     def __init__(self, rules: list[Rule]):
         self.root: dict = {}
-        for action, host, path in sorted(rules, reverse=True):
+        for action, host, path in sorted((rule for rule in rules if rule[1]), reverse=True):
             node = self.root
             for label in reversed(host.split(".")):
                 node = node.setdefault("labels", {}).setdefault(label, {})
@@ -38,10 +38,10 @@ class Trie:
             *whole, last = path.split("/")
             for segment in whole:
                 node = node.setdefault("segments", {}).setdefault(segment, {})
-            node.setdefault("ends", {})[last] = (action, f"{host}{path}")
+            node.setdefault("ends", {})[last] = (action, f"{host}{path}", len(host))
 
-    def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """Action and name of the rule with the longest host, then the longest path."""
+    def match(self, host: str, path: str) -> tuple[str, str, int] | None:
+        """Action, name and length of the host of the rule with the longest host, then the longest path."""
         best, node = None, self.root
         segments = path.split("/")
         for label in reversed(host.split(".")) if host else ():
@@ -52,7 +52,7 @@ class Trie:
         return best
 
     @staticmethod
-    def _path(node: dict | None, segments: list[str]) -> tuple[str, str] | None:
+    def _path(node: dict | None, segments: list[str]) -> tuple[str, str, int] | None:
         best = None
         for segment in segments:
             if node is None:
@@ -72,32 +72,34 @@ def _parsed(pages: DataFrame, url: str) -> DataFrame:
     return pages.withColumns({"host": F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "path": F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)})
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", default: str = "allow", max_broadcast_rules: int = MAX_BROADCAST_RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", default: str = "allow", block_rules: int = BLOCK_RULES) -> DataFrame:
     """(key, host, path, rule, verdict) for each row; ``default`` is the verdict where no rule fits."""
-    rows = _parsed(pages.select(F.col(key), F.col(url)), url).select(F.col(key), "host", "path")
-    if len(rules) > max_broadcast_rules:
-        return _joined(rows, rules, key, default)
-    trie = rows.sparkSession.sparkContext.broadcast(Trie(rules))
+    rows = _parsed(pages.select(F.col(key), F.col(url)), url).select(F.col(key).alias("key"), "host", "path", F.lit(None).cast(MATCH).alias("match"))
+    for n in range(0, len(rules), block_rules):
+        rows = _judged(rows, rows.sparkSession.sparkContext.broadcast(Trie(rules[n : n + block_rules])))
+    return rows.select(F.col("key").alias(key), "host", "path", F.col("match.rule").alias("rule"), F.coalesce("match.action", F.lit(default)).alias("verdict"))
+
+
+MATCH = T.StructType([T.StructField("action", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("host_length", T.IntegerType())])
+_MATCH = pa.struct([("action", pa.string()), ("rule", pa.string()), ("host_length", pa.int32())])
+
+
+def _longer(found: tuple[str, str, int] | None, before: dict | None) -> dict | None:
+    """The longer of a trie's match and that of the blocks before: by host, then path; of equal ones allow."""
+    mine = found and {"action": found[0], "rule": found[1], "host_length": found[2]}
+    return max((x for x in (before, mine) if x), key=lambda x: (x["host_length"], len(x["rule"]), x["action"] == "allow"), default=None)
+
+
+def _judged(rows: DataFrame, trie) -> DataFrame:  # noqa: ANN001
+    """One pass of all urls over one block of rules."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [trie.value.match(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x and x[1] for x in found], pa.string()), pa.array([x[0] if x else default for x in found], pa.string())], names=[*batch.schema.names, "rule", "verdict"])
-
-    return rows.mapInArrow(judge, T.StructType([*rows.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]))
-
-
-def _joined(rows: DataFrame, rules: list[Rule], key: str, default: str) -> DataFrame:
-    """The same verdicts by an equi-join on the host's suffixes: hosts are judged once, so no host is hot."""
-    spark = rows.sparkSession
-    known = spark.createDataFrame([(h, p, a) for a, h, p in rules], "rule_host string, rule_path string, action string")
-    targets = rows.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = targets.withColumn("rule_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    hits = suffixes.join(known, "rule_host").filter(F.col("path").startswith(F.col("rule_path")))
-    rank = F.struct(F.length("rule_host"), F.length("rule_path"), F.when(F.col("action") == "allow", 1).otherwise(0))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "action"), rank).alias("x"))
-    return rows.join(best, ["host", "path"], "left").select(key, "host", "path", F.col("x.rule").alias("rule"), F.coalesce("x.action", F.lit(default)).alias("verdict"))
+            host, path, before = (batch.column(n).to_pylist() for n in (1, 2, 3))
+            found = [_longer(trie.value.match(h, p), b) for h, p, b in zip(host, path, before)]
+            yield batch.set_column(3, pa.field("match", _MATCH), pa.array(found, _MATCH))
+
+    return rows.mapInArrow(judge, rows.schema)
 
 
 #: The rules of the query.

@@ -44,6 +44,15 @@ def test_parts_become_ordered_placeholders(spark):
     assert rows[2, 0]["segment"] == "<|im_start|>user\n<|im_end|>\n"
 
 
+def test_odd_parts_have_a_result(spark):
+    part = dict.fromkeys(("kind", "text", "ref", "width", "height", "seconds", "pages"))
+    parts = [None, part, part | {"kind": "text", "text": "a"}, *(part | {"kind": "audio", "seconds": x} for x in (math.nan, math.inf, -1.0, None))]
+    turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, None, None)], f"conv_id long, turn long, role string, parts {chat.PART.simpleString()}".replace("parts struct", "parts array<struct") + ">")
+    segments = chat.format_turns(turns).orderBy("position").collect()
+    assert segments[0]["segment"] == "<|im_start|>user\n<|document:0|>a<|audio:1|><|audio:2|><|audio:3|><|audio:4|><|im_end|>\n"
+    assert [x["tokens"] for x in segments[0]["attachments"]] == [256, 1, 1, 1, 1] and segments[1]["attachments"] == []
+
+
 def test_texts_that_meet_make_no_control_string():
     visitor = chat.PartVisitor(chat.Expansion())
     pieces = ["", "<", "|", "\\", "<|", "a"]
@@ -94,6 +103,21 @@ def test_query_2_keeps_what_passes(spark):
     assert good.filter("NOT kept").count() <= 0.1 * good.count()
 
 
+def test_rules_drop_held_out_bad_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    rules = quality.fit(docs, labels.filter("doc_id % 3 <> 0"))
+    rows = quality.text_statistics(docs.join(labels.filter("doc_id % 3 = 0 AND quality IS NOT NULL"), "doc_id"))
+    judged = rows.filter(~quality.base_failed()).withColumn("kept", quality.verdict(rules)[0]).groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = {r["quality"]: r["kept"] / r["n"] for r in judged.collect()}
+    assert rules and found[0] < 0.1 and found[1] > 0.97
+
+
+def test_statistics_keep_clashing_columns(spark):
+    found = quality.text_statistics(spark.createDataFrame([("a b", "mine", 1)], "text string, _words string, words int"))
+    assert found.select("_words", "words", "n_words").first()[:] == ("mine", 1, 2)
+
+
 # 3: decontamination
 
 
@@ -204,8 +228,8 @@ def test_dictionary_counts_all_documents(spark):
     rng = random.Random(1)
     rows = [(n, " ".join(w for k in range(60) for w in ["w" + "abcdefghij"[k // 10] + "abcdefghij"[k % 10]] * 2 if rng.random() < 0.5 - k / 600)) for n in range(6_000)] + [(6_000, None)]
     often = Counter(w for _, text in rows for w in set((text or "").split()))
-    want = [w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))]
-    assert secrets.common_words(spark.createDataFrame(rows, "doc_id long, text string"), words=40) == want[:40]
+    found = secrets.common_words(spark.createDataFrame(rows, "doc_id long, text string"), share=0.7)
+    assert found == sorted(w for w, n in often.items() if n >= 0.7 * 6_001) and 0 < len(found) < len(often)
 
 
 def test_forest_on_held_out_findings(spark):
@@ -256,7 +280,7 @@ def test_recall_of_held_out_shapes(spark):
     truth = {n: x for n, x in enumerate(x for _ in range(120) for x in planted_secrets(rng))}
     words = " ".join(["release summer index report north window example mail share html https"] * 3)
     docs = spark.createDataFrame([(n, f"{words} {text} {words}") for n, (_, text, _) in truth.items()], "doc_id long, text string")
-    found = secrets.with_features(secrets.candidates(docs), secrets.common_words(docs, words=20)).withColumn("label", secrets.weak_label()).persist()
+    found = secrets.with_features(secrets.candidates(docs), secrets.common_words(docs, share=0.5)).withColumn("label", secrets.weak_label()).persist()
     model = secrets.fit(secrets.training_rows(found.filter("key % 3 > 0")))
     said = {(r["key"], r["candidate"]) for r in secrets.score(found.filter("key % 3 = 0"), model).filter("probability >= 0.5").select("key", "candidate").collect()}
     of = lambda shape: [(n, v) in said for n, (s, _, v) in truth.items() if s == shape and n % 3 == 0]
@@ -313,6 +337,26 @@ def test_held_out_accuracy(spark):
     assert found.count() > 20 and found.filter("lang = lang_pred").count() >= 0.9 * found.count()
 
 
+def test_long_words_and_texts_that_no_language_explains(spark, docs):
+    model = langid.fit(docs)
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choice("bcdfghjkmpqvwxz") for _ in range(rng.randint(2, 9))) for _ in range(100))
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2_000_000))
+    rows = spark.createDataFrame([(1, noise), (2, "日本語の文章です。" * 30), (3, long)], "doc_id long, text string").unionByName(docs.filter("lang IS NOT NULL AND n_chars > 300").select("doc_id", "text").limit(50))
+    found = [r["score"] for r in langid.identify(rows, model).collect()]
+    assert max(found[:3]) < 0.3 and min(found[3:]) > 0.5
+
+
+def test_result_columns_replace_the_inputs(spark, docs):
+    rows = spark.createDataFrame([("12", "x", 7.0)], "text string, lang_pred string, score double")
+    assert langid.identify(rows, langid.fit(docs)).first()[:] == ("12", "und", 0.0)
+
+
+def test_languages_are_sampled_each(spark):
+    rows = spark.createDataFrame([(n, "the end of it" if n < 4_000 else "das ist gut", "en" if n < 4_000 else "de") for n in range(4_003)], "doc_id long, text string, lang string")
+    assert langid.fit(rows, fit_rows=100).languages == ["de", "en"]
+
+
 def test_undetermined(spark, docs):
     model = langid.fit(docs)
     rows = spark.createDataFrame([(1, None), (2, "12 34 !"), (3, "")], "doc_id long, text string")
@@ -354,6 +398,20 @@ def test_mean_repetition_follows_the_weights(spark):
     assert None not in counts and abs(counts["a"] / 15_000 - 1) < 0.05 and abs(counts["b"] / 5_000 - 1) < 0.05
 
 
+def test_weights_of_nothing_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a", "k", "p"), (2, None, None, "q")], "doc_id long, source string, _key string, _parts string")
+    assert mixing.mix_sources(rows, {}, default_weight=0.0).count() == 0
+    found = mixing.mix_sources(rows, {}, target_rows=40)
+    assert found.columns == [*rows.columns, "copy", "n_copies", "shuffle_key"]
+    assert {(r["doc_id"], r["_key"], r["_parts"]) for r in found.collect()} == {(1, "k", "p"), (2, None, "q")}
+
+
+def test_partitions_hold_one_global_order(spark):
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    keys = [r["shuffle_key"] for r in mixing.mix_sources(rows, {}).collect()]
+    assert keys == sorted(keys) and len(keys) > 300
+
+
 def test_large_rates_and_many_sources(spark, monkeypatch):
     rows = spark.createDataFrame([(n, f"s{n % 4}") for n in range(40)], "doc_id long, source string")
     plain = mixing.mix_sources(rows, {}, target_rows=60_000)
@@ -367,9 +425,22 @@ def test_large_rates_and_many_sources(spark, monkeypatch):
 # 9: URLs
 
 
-def test_trie_and_join_agree(spark):
-    pages = table(spark, SMALL, "pages").unionByName(spark.createDataFrame([(-1, None, None), (-2, "http://a.example.org/en/1/x", None)], "page_id long, url string, html string"))
-    assert rows_of(urls.filter_urls(pages, urls.RULES)) == rows_of(urls.filter_urls(pages, urls.RULES, max_broadcast_rules=0))
+def plain_verdict(host, path, rules):
+    fits = [(len(h), len(p), a == "allow", h + p, a) for a, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[3:] if fits else (None, "allow")
+
+
+def test_random_rules_and_blocks(spark):
+    rng = random.Random(3)
+    label = lambda: rng.choice(["a", "b", "org", ""])
+    name = lambda most: ".".join(label() for _ in range(rng.randint(1, most)))
+    path = lambda: "/" * rng.randint(0, 1) + "/".join(rng.choice(["x", "xy", "", "é"]) for _ in range(rng.randint(0, 3)))
+    rules = [(rng.choice(["allow", "block"]), name(3), path()) for _ in range(60)]
+    pages = spark.createDataFrame([(n, f"http://{name(4)}/{path()}") for n in range(400)] + [(-1, None), (-2, "http:///x")], "page_id long, url string")
+    found = {size: {r["page_id"]: r for r in urls.filter_urls(pages, rules, block_rules=size).collect()} for size in (1_000, 7)}
+    assert found[1_000] == found[7] and len({r["rule"] for r in found[7].values()}) > 10
+    for r in found[7].values():
+        assert (r["rule"], r["verdict"]) == plain_verdict(r["host"], r["path"], rules), r
 
 
 # 10: Jaccard join

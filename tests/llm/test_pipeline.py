@@ -37,6 +37,41 @@ def test_pipeline_by_brute_force(spark):
     assert all(r["text"] == kept[r["doc_id"]] for r in found)
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_language_stage_rejects_noise_and_keeps_the_rest(spark):
+    docs = table(spark, SMALL, "documents")
+    planted = spark.createDataFrame([(-1, "zqx vkj wqz xjq " * 40, None, None, 0), (-2, "日本語の文章です。" * 40, None, None, 0), (-3, None, None, None, 0), (-4, "12 34", None, None, 0)], COLUMNS)
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(planted), SMALL)
+    assert kept.columns == docs.columns and kept.filter("doc_id < 0").isEmpty()
+    assert kept.count() >= 0.98 * docs.filter("text RLIKE '[a-z]'").count()
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from test_against_sql import BENCHMARK, odd_texts, write
+
+    for name, texts in (("none", []), ("odd", odd_texts()[0] * 2)):
+        (tmp_path / name).mkdir()
+        rows = [{"doc_id": None if n == 3 else n % 40, "text": t, "lang": [None, "en", "de"][n % 3], "source": [None, "src0", "src1"][n % 3], "n_chars": None} for n, t in enumerate(texts)]
+        write(tmp_path / name, "documents", rows)
+        pq.write_table(BENCHMARK.empty_table(), tmp_path / name / "benchmark.parquet")
+        found = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot", "grown_shard"]
+        slots = sorted((r["shard"], r["slot"]) for r in found.collect())
+        assert len(set(slots)) == len(slots) and bool(slots) == bool(texts)
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = ["lang_pred", "score", "contamination", "key", "copy", "row_key", "once", "shard"]
+    docs = spark.createDataFrame([(n, "the end of the story and of the day", "en", "src1", 1, *(f"{c} {n}" for c in names)) for n in range(9)], COLUMNS + "".join(f", {c} string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, SMALL)
+        assert found.columns == docs.columns, name
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in found.collect() for c in names), name
+
+
 def test_copies_stand_apart(spark):
     docs = spark.createDataFrame([(n, f"text {n}", "src1") for n in range(1_000) for _ in range(6)] + [(None, "a", "src1"), (None, "b", None)], "doc_id long, text string, source string")
     found = corpus_pipeline.sharding(spark, docs, SMALL).collect()
