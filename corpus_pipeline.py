@@ -16,7 +16,8 @@ from loomwright.llm.sharding import N_SHARDS, assign_shards
 from loomwright.llm.storage import materialise
 from loomwright.llm.tables import free_name, table
 
-#: Documents whose best language is less sure than this are rejected.
+#: Documents whose score for their best language is lower are rejected: those in between languages, and those whose
+#: letters are over 1.4 nats less likely on average than the language's own (noise, scripts and languages not learned).
 MIN_SCORE = 0.5
 
 
@@ -40,7 +41,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target weights; the sharding stage orders the copies."""
-    return mix_sources(docs, WEIGHTS).select(*docs.columns)
+    own = {c: free_name(docs, c) for c in ("copy", "n_copies", "shuffle_key") if c in docs.columns}
+    mixed = mix_sources(docs.withColumnsRenamed(own), WEIGHTS)
+    return mixed.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
