@@ -40,7 +40,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         _FOLDERS[app] = f"{shared_folder(spark)}/loomwright-{app}-{uuid.uuid4().hex}"
         atexit.register(remove_tables, spark)
     path = f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

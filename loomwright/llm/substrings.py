@@ -4,8 +4,9 @@ A window of consecutive words is removed from a document if the same words also
 
 1. Candidates: every window is named by its smallest phrase hash (a phrase is ``PHRASE`` words), so equal windows
    have equal names and only about one word in twenty gives a row. Names that two documents share recur.
-2. Confirmation: the stretches of text under recurring names are cut out, and their windows are counted by 128 bits of
-   BLAKE2b of their words, joined by single spaces. A window of two documents is confirmed, with the first that has it.
+2. Confirmation: the stretches of text under recurring names are cut out, and their windows are counted by name and 96
+   bits of BLAKE2b of their words, joined by single spaces. A window of two documents is confirmed, with the first that
+   has it.
 3. Automata: the phrases of confirmed windows are sharded by the document they first stand in, so a copy meets few
    shards; a document of many windows is dealt to several. Each shard compiles an Aho-Corasick automaton over word
    numbers; the stretches stream through the shards that hold their phrases, every occurrence is located, and the windows
@@ -114,21 +115,21 @@ def confirmed_windows(pieces: DataFrame, window: int, phrase: int) -> DataFrame:
                     lo, hi = begins[n], begins[n + 1]
                     name.append(_names(hashes[lo:hi], window, phrase))
                     seen.append(window_digests(starts[lo:hi], ends[lo:hi], data, window))
-                    who.append(np.full(len(seen[-1]), ids[n]))
-                name, seen, who = map(np.concatenate, (name, seen, who))
-                order = np.lexsort((who, seen[:, 1], seen[:, 0], name))
-                name, seen, who = name[order], seen[order], who[order]
-                new = np.concatenate([[True], (np.diff(seen, axis=0) != 0).any(axis=1) | (np.diff(name) != 0)])[: len(name)]
+                    who.append(np.full(len(name[-1]), ids[n]))
+                name, who, hash, hash2 = map(np.concatenate, (name, who, *zip(*seen)))
+                order = np.lexsort((who, hash2, hash, name))
+                name, who, hash, hash2 = (x[order] for x in (name, who, hash, hash2))
+                new = np.concatenate([[True], (np.diff(name) != 0) | (np.diff(hash) != 0) | (np.diff(hash2) != 0)])[: len(name)]
                 begin = np.flatnonzero(new)
-                last = np.append(begin[1:], len(seen)) - 1
-                columns = [name[begin].view(np.int64), seen[begin, 0], seen[begin, 1], who[begin], who[last[: len(begin)]]]
+                last = np.append(begin[1:], len(name)) - 1
+                columns = [name[begin].view(np.int64), hash[begin], hash2[begin], who[begin], who[last[: len(begin)]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "hash", "hash2", "low", "high"])
 
-    each = pieces.select("id", "text").mapInArrow(runs, "name long, hash long, hash2 long, low long, high long")
+    each = pieces.select("id", "text").mapInArrow(runs, "name long, hash long, hash2 int, low long, high long")
     return each.groupBy("name", "hash", "hash2").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").drop("last")
 
 
-def window_digests(starts: np.ndarray, ends: np.ndarray, data: bytes, window: int, at: np.ndarray | None = None) -> np.ndarray:
+def window_digests(starts: np.ndarray, ends: np.ndarray, data: bytes, window: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The digest of each window of a text's words (or those at some places), whatever stands between the words."""
     joined = b" ".join(data[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
     stop = np.cumsum(ends - starts + 1) - 1
@@ -187,15 +188,15 @@ class Shard:
             order = np.lexsort((hashes2, hashes))
             self.hashes, self.hashes2, self.firsts, self.rows, self.ready = hashes[order], hashes2[order], firsts[order], [], True
 
-    def first_of(self, seen: np.ndarray) -> np.ndarray:
+    def first_of(self, hash: np.ndarray, hash2: np.ndarray) -> np.ndarray:
         """The first document of each window, the largest number where it is not confirmed."""
-        out = np.full(len(seen), np.iinfo(np.int64).max)
-        place = np.searchsorted(self.hashes, seen[:, 0])
-        left = np.arange(len(seen))
+        out = np.full(len(hash), np.iinfo(np.int64).max)
+        place = np.searchsorted(self.hashes, hash)
+        left = np.arange(len(hash))
         while len(left):  # once more only where two windows share the first half of their digests
             left = left[place[left] < len(self.hashes)]
-            left = left[self.hashes[place[left]] == seen[left, 0]]
-            same = self.hashes2[place[left]] == seen[left, 1]
+            left = left[self.hashes[place[left]] == hash[left]]
+            same = self.hashes2[place[left]] == hash2[left]
             out[left[same]] = self.firsts[place[left[same]]]
             left = left[~same]
             place[left] += 1
@@ -210,7 +211,7 @@ class Shard:
             return []
         name = _names(hashes, window, phrase).view(np.int64)
         at = np.flatnonzero(np.isin(name, np.fromiter(found, dtype=np.int64, count=len(found))))
-        at = at[self.first_of(window_digests(starts, ends, data, window, at)) < id]
+        at = at[self.first_of(*window_digests(starts, ends, data, window, at)) < id]
         out: list[int] = []
         for run in np.split(at, np.flatnonzero(np.diff(at) > window) + 1):
             if len(run):
@@ -233,10 +234,10 @@ def occurrences(pieces: DataFrame, confirmed: DataFrame, shard_windows: int, win
     copies = routed.groupBy("shard").agg(F.ceil(F.sum("n_words") / COPY_WORDS).cast("int").alias("copies"))
     unit = lambda salt: F.concat_ws("/", "shard", salt)
     every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
-    empty = {"id": "long", "text_key": "long", "start": "long", "name": "long", "hash": "long", "hash2": "long", "phrase": "array<int>", "text": "string"}
+    empty = {"id": "long", "text_key": "long", "start": "long", "name": "long", "hash": "long", "hash2": "int", "phrase": "array<int>", "text": "string"}
     shape = lambda df, kind: df.select("unit", F.lit(kind).alias("kind"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
     seeds = found.groupBy("name").agg(F.first("phrase").alias("phrase")).join(homes, "name").join(copies, "shard").select("*", every).withColumn("unit", unit("salt"))
-    windows = confirmed.join(homes.select("name", "shard"), "name").join(copies, "shard").select("*", every).withColumn("unit", unit("salt")).withColumnRenamed("first", "id")
+    windows = confirmed.join(homes.select("name", "shard"), "name").join(copies, "shard").select("*", every).withColumn("unit", unit("salt")).withColumnRenamed("first", "id").drop("name")
     hay = pieces.join(routed.drop("n_words"), ["id", "text_key", "start"]).join(copies, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.col("copies"))).withColumn("unit", unit("salt"))
     rows = shape(seeds, 0).unionByName(shape(windows, 1)).unionByName(shape(hay, 2)).repartition("unit").sortWithinPartitions("unit", "kind")
 

@@ -2,7 +2,7 @@
 
 Words are maximal runs of bytes that do not separate. A word's hash has 64 bits and is not linear in its bytes: lanes of
 eight bytes are mixed one after another, and a word of more than ``MOST_LANES`` of them is hashed by BLAKE2b. Hashes find
-candidates; what decides compares the words (``exact_ids``) or 128 bits of BLAKE2b of their bytes (``digests``).
+candidates; what decides compares the words (``exact_ids``) or a cryptographic digest of their bytes (``digests``).
 """
 
 from __future__ import annotations
@@ -128,11 +128,12 @@ def distinct_grams(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[first][order], first[order]
 
 
-def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """128 bits of BLAKE2b of each slice of the bytes, as two signed numbers in a row."""
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of BLAKE2b of each slice of the bytes, as numbers of 64 and of 32 bits."""
     cut = memoryview(data)
-    joined = b"".join(hashlib.blake2b(cut[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist()))
-    return np.frombuffer(joined, dtype="<i8").reshape(-1, 2)
+    joined = b"".join(hashlib.blake2b(cut[a:b], digest_size=12).digest() for a, b in zip(starts.tolist(), ends.tolist()))
+    both = np.frombuffer(joined, dtype=[("high", "<i8"), ("low", "<i4")])
+    return both["high"].copy(), both["low"].copy()
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
