@@ -97,28 +97,37 @@ def and_more(items: Column, most: int) -> Column:
 
 
 def glob_regex(pattern: str, strict: bool) -> str:
-    """A glob as an anchored regex. ``strict``: ``*`` and ``?`` stop at ``/``, only ``**`` crosses it."""
+    """A glob as an anchored regex. ``strict``: ``*`` and ``?`` stop at ``/``; only ``**`` as a whole component crosses it.
+    A backslash takes the next character as it is; braces may stand in braces."""
     return f"(?s)^{_glob_body(pattern, strict)}$"
 
 
 def _glob_body(pattern: str, strict: bool) -> str:
-    out, i = "", 0
+    out, i, depth = "", 0, 0
     step = "[^/]" if strict else "."
     while i < len(pattern):
-        c = pattern[i]
-        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+        c, first = pattern[i], i == 0 or pattern[i - 1] in "/{,"
+        if first and pattern.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
         elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
+            run = len(pattern) - i - len(pattern[i:].lstrip("*"))
+            whole = first and run == 2 and (i + 2 == len(pattern) or pattern[i + 2] in ",}")
+            out, i = out + ("." if whole else step) + "*", i + run
         elif c == "*":
             out, i = out + step + "*", i + 1
         elif c == "?":
             out, i = out + step, i + 1
         elif c == "[" and (end := pattern.find("]", i + 2)) > 0:
             inside = pattern[i + 1 : end]
-            out, i = out + "[" + ("^" + inside[1:] if inside[0] == "!" else inside).replace("\\", "\\\\") + "]", end + 1
-        elif c == "{" and (end := pattern.find("}", i)) > 0:
-            out, i = out + "(?:" + "|".join(_glob_body(p, strict) for p in pattern[i + 1 : end].split(",")) + ")", end + 1
+            out, i = out + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside).replace("\\", "\\\\") + "]", end + 1
+        elif c == "{":
+            out, i, depth = out + "(?:", i + 1, depth + 1
+        elif c == "}" and depth:
+            out, i, depth = out + ")", i + 1, depth - 1
+        elif c == "," and depth:
+            out, i = out + "|", i + 1
+        elif c == "\\" and i + 1 < len(pattern):
+            out, i = out + re.escape(pattern[i + 1]), i + 2
         else:
             out, i = out + re.escape(c), i + 1
     return out

@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` behind a reliable checkpoint; the session's folder is used, one is made only where none is set."""
+    """``df`` behind a reliable checkpoint in the session's folder; a local session without one gets its own."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomwright-"))
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomwright-"))
     return df.checkpoint()
 
 
 def reach(starts: DataFrame, edges: DataFrame, limit: int = 0) -> DataFrame:
     """(start, node, hops): all nodes that each start leads to, with the fewest hops.
 
-    starts(start, node); edges(src, dst). ``limit`` 0 is no limit. Only the last level is joined with the edges.
+    starts(start, node); edges(src, dst). ``limit`` 0 is no limit. Only the last level is joined with the edges, and each
+    level is written once.
     """
     seen = level = cut(starts.select("start", "node").distinct().withColumn("hops", F.lit(0)))
     hops = 0
@@ -29,10 +33,25 @@ def reach(starts: DataFrame, edges: DataFrame, limit: int = 0) -> DataFrame:
         level = cut(far.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)))
         if level.isEmpty():
             break
-        seen = cut(seen.unionByName(level))
+        seen = seen.unionByName(level)
     return seen
 
 
+def with_whole(reached: DataFrame, whole: DataFrame) -> DataFrame:
+    """(node, hops): what was reached, and the nodes of ``whole`` that were not, at 0 hops."""
+    near = reached.groupBy("node").agg(F.min("hops").alias("hops"))
+    return near.unionByName(whole.select("node").distinct().join(near, "node", "left_anti").withColumn("hops", F.lit(0)))
+
+
+def dependents_of(starts: DataFrame, users: DataFrame, members: DataFrame) -> DataFrame:
+    """(start, node): members that use each start, directly or through any nodes; the start itself is left out.
+
+    starts(node); users(src, dst): dst uses src; members(node).
+    """
+    found = reach(starts.select(F.col("node").alias("start"), "node"), users).filter("start != node").select("start", "node")
+    return found.join(members.select("node").distinct(), "node", "left_semi")
+
+
 def affected_by_level(nodes: DataFrame, refs: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
     """(node, depth): nodes that refer to changed ones within ``depth`` levels, all of a level at once.
 

@@ -9,8 +9,8 @@ from .graph import cut
 
 
 def view_ranks(rows: DataFrame, view: str, score: Column, position: str) -> DataFrame:
-    """``rows`` with unique ranks in each view: by score downwards, then position."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(view).orderBy(score.desc(), F.col(position))))
+    """``rows`` with unique ranks in each view: by score downwards, then position. A view of any size is dealt by ranges."""
+    return numbered(rows, score.desc(), F.col(position), within=view).withColumn("rank", F.col("number").cast("int")).drop("number")
 
 
 def capped_top(rows: DataFrame, view: str, score: Column, position: str, top_n: int, top_fraction: float) -> DataFrame:
@@ -19,7 +19,7 @@ def capped_top(rows: DataFrame, view: str, score: Column, position: str, top_n:
     The literal bound beside the counted one lets Spark cut each group before the exchange.
     """
     counts = rows.groupBy(view).agg(F.least(F.lit(top_n), F.ceil(F.lit(top_fraction) * F.count(F.lit(1)))).alias("cap"))
-    best = view_ranks(rows, view, score, position).filter(F.col("rank") <= top_n)
+    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy(view).orderBy(score.desc(), F.col(position)))).filter(F.col("rank") <= top_n)
     return best.join(counts, view).filter("rank <= cap").drop("cap")
 
 
@@ -28,13 +28,17 @@ def within_budget(rows: DataFrame, position: str, cost: int, budget: int) -> Dat
     return rows.orderBy(position).limit(budget // cost)
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with number from 1 in a global order: ranges are counted, and rows numbered inside their range."""
-    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_row", inside).join(starts, "_part").withColumn("number", (F.col("_start") + F.col("_row")).cast("long")).drop("_part", "_row", "_start")
+def numbered(rows: DataFrame, *order: str | Column, within: str | None = None) -> DataFrame:
+    """``rows`` with number from 1 in a global order, or in that of each group ``within``: ranges are counted, and rows
+    numbered inside their range, so no group is one task's."""
+    group = F.lit(0) if within is None else F.col(within)
+    ranged = cut(rows.withColumn("_group", group).repartitionByRange("_group", *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    counts = ranged.groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part", "_group").orderBy(*order))
+    joined = ranged.withColumn("_row", inside).join(starts, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return joined.select(*rows.columns, (F.col("_start") + F.col("_row")).cast("long").alias("number"))
 
 
 def batches(rows: DataFrame, size: int, *order: str) -> DataFrame:
@@ -44,22 +48,19 @@ def batches(rows: DataFrame, size: int, *order: str) -> DataFrame:
 
 def max_cap(rows: DataFrame, selected: str, forced: str, key: str, position: str, most: int) -> DataFrame:
     """``rows`` with selected cut down to ``most``: lowest keys go first, of equal keys later positions; forced rows stay."""
-    over = rows.filter(F.col(selected)).count() - most
-    if over <= 0:
-        return rows.withColumn("capped", F.lit(False))
-    drop = rows.filter(F.col(selected) & ~F.col(forced)).orderBy(F.col(key), F.col(position).desc()).limit(over).select(F.col(position).alias("_p"))
-    return _flag(rows, drop, position, "capped").withColumn(selected, F.col(selected) & ~F.col("capped"))
+    open_ = F.col(selected) & ~F.col(forced)
+    over = rows.agg((F.count_if(selected) - most).alias("_over"))  # one row
+    return _first(rows, open_, over, "capped", F.col(key), F.col(position).desc()).withColumn(selected, F.col(selected) & ~F.col("capped"))
 
 
 def min_pad(rows: DataFrame, selected: str, key: str, position: str, least: int) -> DataFrame:
     """``rows`` with selected filled up to ``least``: highest keys first, of equal keys earlier positions."""
-    short = least - rows.filter(F.col(selected)).count()
-    if short <= 0:
-        return rows.withColumn("padded", F.lit(False))
-    add = rows.filter(~F.col(selected)).orderBy(F.col(key).desc(), F.col(position)).limit(short).select(F.col(position).alias("_p"))
-    return _flag(rows, add, position, "padded").withColumn(selected, F.col(selected) | F.col("padded"))
+    short = rows.agg((least - F.count_if(selected)).alias("_over"))  # one row
+    return _first(rows, ~F.col(selected), short, "padded", F.col(key).desc(), F.col(position)).withColumn(selected, F.col(selected) | F.col("padded"))
 
 
-def _flag(rows: DataFrame, some: DataFrame, position: str, name: str) -> DataFrame:
-    marked = some.withColumn(name, F.lit(True))
-    return rows.join(marked, rows[position] == marked["_p"], "left").drop("_p").withColumn(name, F.coalesce(name, F.lit(False)))
+def _first(rows: DataFrame, some: Column, bound: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``rows`` with a flag on the first of ``some`` in an order, as many as the one row of ``bound`` says."""
+    known = F.coalesce(some, F.lit(False))
+    flagged = numbered(rows.filter(known), *order).crossJoin(F.broadcast(bound)).withColumn(name, F.col("number") <= F.col("_over"))
+    return flagged.drop("number", "_over").unionByName(rows.filter(~known).withColumn(name, F.lit(False)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import names_term, view_score
-from ..operators.ranking import max_cap, min_pad, view_ranks
+from ..operators.ranking import max_cap, min_pad, numbered
 
 
 @dataclass(frozen=True)
@@ -46,9 +46,10 @@ def rank_views(candidates: DataFrame, settings: Settings) -> DataFrame:
     """Candidates with score, rank_names, rank_body and the caps of both views, which count what the view ranked."""
     rows = candidates.withColumn("score", view_score(F.col("names"), F.col("body"), F.col("bonus")))
     for view in ("names", "body"):
-        ranked = view_ranks(rows.filter(F.col(view).isNotNull()).withColumn("_view", F.lit(view)), "_view", F.least(F.col(view) + F.col("bonus"), F.lit(1.0)), "test_id").select("test_id", F.col("rank").alias(f"rank_{view}"))
+        seen = F.col(view).isNotNull()
+        ranked = numbered(rows.filter(seen), F.least(F.col(view) + F.col("bonus"), F.lit(1.0)).desc(), F.col("test_id")).withColumnRenamed("number", f"rank_{view}")
         cap = rows.agg(F.least(F.lit(settings.top_n), F.ceil(F.lit(settings.top_fraction) * F.count(view))).alias(f"cap_{view}"))
-        rows = rows.join(ranked, "test_id", "left").crossJoin(F.broadcast(cap))  # the cap is one row
+        rows = ranked.unionByName(rows.filter(~seen).withColumn(f"rank_{view}", F.lit(None).cast("long"))).crossJoin(F.broadcast(cap))  # the cap is one row
     return rows
 
 
@@ -104,15 +105,41 @@ def plan_terms(selected: DataFrame, package: str, name: str) -> DataFrame:
 
 
 def summary(decided: DataFrame) -> DataFrame:
-    """One row of counts by layer."""
-    has = lambda text: F.count_if(F.array_contains("reasons", text))
-    return decided.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("must").isNotNull()).alias("forced"), F.count_if("gated").alias("gated"), has("screened-out").alias("screened_out"), F.count_if(F.col("judge") == "judged").alias("judged"), has("threshold").alias("by_threshold"), (has("top-n:names")).alias("by_names"), has("top-n:body").alias("by_body"), F.count_if("selected").alias("selected"))
+    """(layer, n): how many candidates each layer of the selection touched, and by which reason tests were picked; the
+    exclusive counts are of tests that only that reason picked."""
+    has = lambda text: F.array_contains("reasons", text)
+    top, sure = has("top-n:names") | has("top-n:body"), has("threshold")
+    layers = {
+        "candidates": F.lit(True), "forced": F.col("must").isNotNull(), "not covered": has("not-covered"), "screened out": has("screened-out"),
+        "judged": F.col("judge") == "judged", "top of a view": top, "threshold": sure, "only top of a view": top & ~sure, "only threshold": sure & ~top,
+        "unjudged": has("unjudged"), "selected": F.col("selected"),
+    }
+    counts = decided.agg(*(F.count_if(v).alias(k) for k, v in layers.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("layer"), F.col(f"`{k}`").alias("n")) for k in layers))).alias("x")).select("x.*")
 
 
 def explain(decided: DataFrame, name: str, part: str) -> DataFrame:
-    """(name, why) of the candidates whose name contains ``part``."""
-    why = F.concat(F.when(F.col("selected"), "selected: ").otherwise("skipped: "), F.array_join("reasons", ", "))
-    return decided.filter(F.col(name).contains(part)).select(name, why.alias("why"))
+    """(name, why) of the candidates whose name contains ``part``: verdict and reasons, and, where the columns are there,
+    coverage (n_hit), evidence and the ranks in both views."""
+    has = set(decided.columns)
+    parts = [F.concat(F.when(F.col("selected"), "selected: ").otherwise("skipped: "), F.array_join("reasons", ", "))]
+    if "n_hit" in has:
+        parts.append(F.when(F.col("n_hit").isNull(), "coverage unknown").when(F.col("n_hit") == 0, "covers no changed function").otherwise(F.format_string("covers %d changed", "n_hit")))
+    if "evidence_kind" in has:
+        parts.append(F.concat(F.lit("evidence "), F.col("evidence_kind")))
+    parts += [F.concat(F.lit(f"rank {v} "), F.col(f"rank_{v}").cast("string")) for v in ("names", "body") if f"rank_{v}" in has]
+    return decided.filter(F.col(name).contains(part)).select(name, F.concat_ws("; ", *parts).alias("why"))
+
+
+def report(decided: DataFrame, *columns: str) -> DataFrame:
+    """(value): each candidate as a JSON object of the columns, absent ones left out."""
+    return decided.select(F.to_json(F.struct(*columns)).alias("value"))
+
+
+def usage_cost(usage: DataFrame, per_million: float = 0.042) -> DataFrame:
+    """One row of sums over usage(requests, input_tokens, output_tokens), with the price of the input tokens."""
+    sums = usage.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("requests", "input_tokens", "output_tokens")))
+    return sums.withColumn("cost", F.col("input_tokens") * F.lit(per_million / 1_000_000))
 
 
 def report_lines(decided: DataFrame, package: str, name: str, place: str) -> DataFrame:

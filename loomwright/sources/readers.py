@@ -68,7 +68,8 @@ def change_size(ranges: DataFrame) -> DataFrame:
 
 def answer_log(spark: SparkSession, path: str) -> DataFrame:
     """(qkey, score): ``key score`` lines; malformed lines are skipped, of equal keys the last line holds."""
-    files = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    files = spark.read.text(path).select("value", place.alias("line_no"))  # files by name, and a file's blocks in order
     parts = files.select(F.split("value", " ", 2).alias("p"), "line_no").filter(F.size("p") == 2)
     rows = parts.select(F.col("p")[0].alias("qkey"), F.expr("try_cast(p[1] AS double)").alias("score"), "line_no").filter("score IS NOT NULL")
     return rows.groupBy("qkey").agg(F.max_by("score", "line_no").alias("score"))
@@ -77,18 +78,31 @@ def answer_log(spark: SparkSession, path: str) -> DataFrame:
 COVERAGE = "version int, commit string, functions array<struct<file:string,name:string,start:int,end:int>>, tests array<struct<package:string,binary_id:string,name:string,functions:array<int>>>"
 
 
+MAP_VERSION = 1
+
+
 def coverage_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(functions, tests, hits) of a JSON coverage map, gzipped or not."""
+    """(functions, tests, hits) of a JSON coverage map, gzipped or not. A map of another version fails the job that
+    reads it."""
     whole = spark.read.schema(COVERAGE).json(path)
+    wrong = F.raise_error(F.concat(F.lit(f"coverage map is not of version {MAP_VERSION}: "), F.coalesce(F.col("version").cast("string"), F.lit("none"))))
+    whole = whole.filter(F.when(F.col("version") == MAP_VERSION, True).otherwise(wrong.cast("boolean")))
     functions = whole.select(F.posexplode("functions").alias("fid", "f")).select("fid", "f.*")
     tests = whole.select(F.posexplode("tests").alias("tid", "t"))
     return functions, tests.select("tid", "t.package", "t.binary_id", "t.name"), tests.select("tid", F.explode("t.functions").alias("fid"))
 
 
 def executed_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol) of profile text whose entry counter is above 0: blocks between blank lines, counters behind the head."""
-    blocks = spark.read.text(path, lineSep="\n\n").select(F.filter(F.split("value", "\n"), lambda s: ~s.startswith("#") & ~s.startswith(":") & (s != "")).alias("l"))
-    return blocks.filter((F.size("l") > 3) & (F.expr("try_cast(get(l, 3) AS bigint)") > 0)).select(F.col("l")[0].alias("symbol")).distinct()
+    """(symbol) of profile text whose entry counter is above 0.
+
+    Records stand between blank lines. One that begins with a comment is left out; the first counter stands on the line
+    behind the marker. Lines that begin with a colon don't count.
+    """
+    rows = spark.read.text(path, lineSep="\n\n").select(F.filter(F.split("value", "\n"), lambda s: ~s.startswith(":") & (s != "")).alias("l"))
+    marker = F.array_position("l", "# Counter Values:").cast("int")  # from 1; 0 is none
+    counter = F.when(marker > 0, F.get("l", marker).try_cast("bigint"))
+    first = F.get("l", F.lit(0))
+    return rows.filter(~first.startswith("#") & (counter > 0)).select(first.alias("symbol")).distinct()
 
 
 def region_spans(functions: DataFrame) -> DataFrame:
@@ -96,3 +110,44 @@ def region_spans(functions: DataFrame) -> DataFrame:
     first = F.get(F.get("regions", F.lit(0)), F.lit(5)).cast("int")
     own = F.filter("regions", lambda r: F.get(r, F.lit(5)) == F.get(F.get("regions", F.lit(0)), F.lit(5)))
     return functions.select("symbol", F.get("files", first).alias("file"), F.array_min(F.transform(own, lambda r: F.get(r, F.lit(0)))).alias("start"), F.array_max(F.transform(own, lambda r: F.get(r, F.lit(2)))).alias("end"))
+
+
+def write_coverage_map(functions: DataFrame, tests: DataFrame, hits: DataFrame, commit: str, path: str) -> None:
+    """Write functions(file, name, start, end), tests(package, binary_id, name) and hits(test's three columns, file, name,
+    start) as one gzipped JSON map, numbered in order of (file, start, name) and (package, binary, name).
+
+    The map is one nested document, so this ends in one row; maps that are shared between jobs should stay tables.
+    """
+    from ..operators.ranking import numbered
+
+    key = ["package", "binary_id", "test"]
+    f = numbered(functions.select("file", "name", "start", "end").distinct(), "file", "start", "name", "end").withColumn("fid", (F.col("number") - 1).cast("int"))
+    t = tests.select("package", "binary_id", F.col("name").alias("test")).distinct()
+    own = hits.join(f, ["file", "name", "start"]).groupBy(*key).agg(F.array_sort(F.collect_set("fid")).alias("functions"))
+    rows = t.join(own, key, "left").select("package", "binary_id", F.col("test").alias("name"), F.coalesce("functions", F.array().cast("array<int>")).alias("functions"))
+    listed = lambda df, item, by: df.agg(F.array_sort(F.collect_list(F.struct(*by, item.alias("item")))).alias("x")).select(F.transform("x", lambda x: x["item"]).alias("x"))
+    fs = listed(f, F.struct("file", "name", "start", "end"), ["fid"]).withColumnRenamed("x", "functions")
+    ts = listed(rows, F.struct("package", "binary_id", "name", "functions"), ["package", "binary_id", "name"]).withColumnRenamed("x", "tests")
+    whole = fs.crossJoin(F.broadcast(ts)).select(F.lit(MAP_VERSION).alias("version"), F.lit(commit).alias("commit"), "functions", "tests")
+    whole.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def append_answers(answers: DataFrame, path: str) -> None:
+    """Append answers(qkey, score) to a log that ``answer_log`` reads; answers without a score are not written."""
+    lines = answers.filter(F.col("score").isNotNull() & F.col("qkey").isNotNull()).select(F.concat_ws(" ", "qkey", F.col("score").cast("string")))
+    lines.write.mode("append").text(path)
+
+
+def literal_index(spark: SparkSession, path: str) -> DataFrame:
+    """(blob, line, text) of an index of string literals; a blob that has been written twice counts once."""
+    return spark.read.schema("blob string, line int, text string").parquet(path).distinct()
+
+
+def append_literals(literals: DataFrame, path: str) -> None:
+    """Add (blob, line, text) to an index of literals."""
+    literals.select("blob", F.col("line").cast("int").alias("line"), "text").write.mode("append").parquet(path)
+
+
+def append_refusals(refusals: DataFrame, path: str) -> None:
+    """Remember (body, detail) of requests that were refused for their size, by the hash of their body."""
+    refusals.select(F.sha2("body", 256).alias("body_sha"), "detail").write.mode("append").parquet(path)

@@ -87,11 +87,12 @@ def test_coverage_map(spark, tmp_path):
 
 
 def test_profile_text(spark, tmp_path):
-    (tmp_path / "p.txt").write_text("# head\nf\n1\n2\n5\n0\n\ng\n1\n1\n0\n")
-    assert listed(readers.executed_symbols(spark, str(tmp_path / "p.txt")), "symbol") == [("f",)]
+    record = lambda name, count: f"{name}\n# Func Hash:\n7\n# Num Counters:\n1\n# Counter Values:\n{count}\n"
+    (tmp_path / "p.txt").write_text("\n".join([":ir\n" + record("f", 5), record("g", 0), "# head\n" + record("h", 9), "i\n1\n2\n3\n5\n", record("j", "x"), record("k", 1)]))
+    assert listed(readers.executed_symbols(spark, str(tmp_path / "p.txt")), "symbol") == [("f",), ("k",)]
 
 
-@pytest.mark.parametrize(("pattern", "path", "strict", "loose"), [("*.md", "a/b.md", False, True), ("**/*.md", "b.md", True, True), ("docs/**", "docs/x/y", True, True), ("a", "a/b", False, True), ("{a,b}/?.rs", "b/x.rs", True, True), ("[!a]x", "bx", True, True)])
+@pytest.mark.parametrize(("pattern", "path", "strict", "loose"), [("*.md", "a/b.md", False, True), ("**/*.md", "b.md", True, True), ("docs/**", "docs/x/y", True, True), ("a", "a/b", False, True), ("{a,b}/?.rs", "b/x.rs", True, True), ("[!a]x", "bx", True, True), ("src/a**", "src/ab/c.rs", False, True), ("src/**/c.rs", "src/a/b/c.rs", True, True), ("{a,b{c,d}}.rs", "bd.rs", True, True), (r"\*x", "*x", True, True), (r"\*x", "yx", False, False)])
 def test_glob_dialects(spark, pattern, path, strict, loose):
     row = spark.range(1).select(X.matches_any(F.lit(path), [pattern], True).alias("s"), X.matches_any(F.lit(path), [pattern], False).alias("l")).first()
     assert (row["s"], row["l"]) == (strict, loose)
