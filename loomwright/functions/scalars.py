@@ -80,9 +80,10 @@ def names_term(package: Column, names: Column) -> Column:
     return F.format_string("package(=%s) & test(/(^|::)(%s)($|::)/)", package, F.array_join(F.array_sort(F.array_distinct(names)), "|"))
 
 
-def snippet(text: Column) -> Column:
-    """Trimmed lines joined by spaces."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != ""), " ")
+def snippet(text: Column, start: Column, end: Column) -> Column:
+    """Lines start to end (from 1, inclusive) of a text, each trimmed, joined by spaces."""
+    lines = F.transform(F.split(line_slice(text, start, end), "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.array_join(lines, " ")
 
 
 def filter_packages(expression: Column) -> Column:
@@ -140,3 +141,52 @@ def matches_any(path: Column, patterns: list[str], strict: bool) -> Column:
     for p in every:
         out = out | path.rlike(glob_regex(p, strict))
     return out
+
+
+def qualified(*parts: Column) -> Column:
+    """Path segments joined by ``::``, without empty ones."""
+    return F.array_join(F.filter(F.array_compact(F.array(*parts)), lambda s: s != ""), "::")
+
+
+def test_key(binary: Column, name: Column) -> Column:
+    """A name for a test that a file may have, different for different tests: letters, digits and _ stay, other bytes
+    become ~ and their hex; a long one is cut and ends in a hash."""
+    raw = F.concat(binary, F.lit("$"), name)
+    octets = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.lower(F.hex(F.substring(F.encode(raw, "UTF-8"), i, F.lit(1)))))
+    plain = F.array_join(F.transform(octets, lambda h: F.when(F.decode(F.unhex(h), "ISO-8859-1").rlike("^[A-Za-z0-9_]$"), F.decode(F.unhex(h), "ISO-8859-1")).otherwise(F.concat(F.lit("~"), h))), "")
+    return F.when(F.length(plain) > 180, F.concat(F.substring(plain, 1, 100), F.lit("~"), F.substring(F.sha2(raw, 256), 1, 20))).otherwise(plain)
+
+
+def rfc3339(at: Column) -> Column:
+    """A time in UTC to the second."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def parse_rfc3339(text: Column) -> Column:
+    """The time of such a text; null for any other."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def counted(n: Column, word: str) -> Column:
+    """``1 word`` or ``n words``."""
+    return F.concat_ws(" ", n.cast("string"), F.when(n == 1, word).otherwise(f"{word}s"))
+
+
+def line_slice(text: Column, start: Column, end: Column) -> Column:
+    """Lines start to end (from 1, inclusive) of a text."""
+    return F.array_join(F.slice(F.split(text, "\n"), F.greatest(start, F.lit(1)), F.greatest(end - F.greatest(start, F.lit(1)) + 1, F.lit(0))), "\n")
+
+
+def captures(text: Column) -> Column:
+    """Names in braces of a format string; doubled braces are text."""
+    return F.regexp_extract_all(F.regexp_replace(text, r"\{\{", " "), F.lit(r"\{([A-Za-z_][A-Za-z0-9_]*)[}:]"), F.lit(1))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The first characters of a text."""
+    return F.substring(text, 1, most)
+
+
+def either_side(new: Column, old: Column) -> Column:
+    """The distinct paths of a change, the new one first."""
+    return F.array_distinct(F.array_compact(F.array(new, old)))

@@ -1,0 +1,3 @@
+"""Plans, and the queries that hold them against SQL."""
+
+from . import change_queries, queries  # noqa: F401  (both fill the list of queries)
