@@ -4,7 +4,7 @@ A window of consecutive words is removed from a document if the same words also
 
 1. Candidates: every window is named by its smallest phrase hash (a phrase is ``PHRASE`` words), so equal windows
    have equal names and only about one word in twenty gives a row. Names that two documents share recur.
-2. Confirmation: the stretches of text under recurring names are cut out, and their windows are counted by name and 96
+2. Confirmation: the stretches of text under recurring names are cut out, and their windows are counted by name and 80
    bits of BLAKE2b of their words, joined by single spaces. A window of two documents is confirmed, with the first that
    has it.
 3. Automata: the phrases of confirmed windows are sharded by the document they first stand in, so a copy meets few
@@ -18,7 +18,8 @@ rows that have them, so no task gets all of them. A shard holds about ``SHARD_WI
 documents need is dealt to as many copies as its words ask for. Nothing else is broadcast or collected but counts.
 
 Words are runs without space, tab and the other ASCII line blanks. 64-bit hashes of words and phrases only lead to
-candidates; that two windows are equal is decided by the digest of all their bytes.
+candidates; that two windows are equal is decided by the digest of all their bytes. Names have 48 bits, as they only deal
+windows, and shuffles carry many.
 
 Defined cases: a null text has no words; texts shorter than a window stay whole; a null id is neither smaller nor larger
 than any other, so such a row stays whole; rows that repeat an id are judged each by its own text and do not remove each
@@ -50,7 +51,11 @@ COPY_WORDS = 4_000_000
 
 def _names(hashes: np.ndarray, window: int, phrase: int) -> np.ndarray:
     """The smallest phrase hash of each window."""
-    return sliding_min(grams(hashes, phrase), window - phrase + 1)
+    return sliding_min(_phrases(hashes, phrase), window - phrase + 1)
+
+
+def _phrases(hashes: np.ndarray, phrase: int) -> np.ndarray:
+    return grams(hashes, phrase) >> np.uint64(16)
 
 
 def _texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
@@ -125,7 +130,7 @@ def confirmed_windows(pieces: DataFrame, window: int, phrase: int) -> DataFrame:
                 columns = [name[begin].view(np.int64), hash[begin], hash2[begin], who[begin], who[last[: len(begin)]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "hash", "hash2", "low", "high"])
 
-    each = pieces.select("id", "text").mapInArrow(runs, "name long, hash long, hash2 int, low long, high long")
+    each = pieces.select("id", "text").mapInArrow(runs, "name long, hash long, hash2 short, low long, high long")
     return each.groupBy("name", "hash", "hash2").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").drop("last")
 
 
@@ -147,7 +152,7 @@ def phrases(pieces: DataFrame, window: int, phrase: int) -> DataFrame:
                 rows, names, numbers = [], [], []
                 for n in range(part.num_rows):
                     mine = hashes[begins[n] : begins[n + 1]]
-                    each, at = np.unique(grams(mine, phrase), return_index=True)
+                    each, at = np.unique(_phrases(mine, phrase), return_index=True)
                     used = np.isin(each, _names(mine, window, phrase))
                     rows.append(np.full(int(used.sum()), n))
                     names.append(each[used])
@@ -230,15 +235,19 @@ def occurrences(pieces: DataFrame, confirmed: DataFrame, shard_windows: int, win
     counts = found.groupBy("name").agg(F.count(F.lit(1)).alias("members"))
     homes = materialise(homes.join(counts, "name"), "homes")
     each = spread_join(found, homes, ["name"])
-    routed = each.filter("id > home").groupBy("id", "text_key", "start", "shard").agg(F.first("n_words").alias("n_words"))
-    copies = routed.groupBy("shard").agg(F.ceil(F.sum("n_words") / COPY_WORDS).cast("int").alias("copies"))
+    routed = materialise(each.filter("id > home").groupBy("id", "text_key", "start", "shard").agg(F.first("n_words").alias("n_words")), "routed")
+    size = [F.ceil(F.sum("n_words") / COPY_WORDS).cast("int").alias("copies"), F.count(F.lit(1)).alias("members")]
+    copies = materialise(routed.groupBy("shard").agg(*size), "copies")
+    dealt = spread_join(routed.drop("n_words"), copies, ["shard"]).withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.col("copies")))
+    named = copies.drop("members").join(homes.groupBy("shard").agg(F.count(F.lit(1)).alias("members")), "shard")
+    homes = materialise(spread_join(homes.select("name", "shard"), materialise(named, "named"), ["shard"]), "homes")
     unit = lambda salt: F.concat_ws("/", "shard", salt)
     every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
-    empty = {"id": "long", "text_key": "long", "start": "long", "name": "long", "hash": "long", "hash2": "int", "phrase": "array<int>", "text": "string"}
+    empty = {"id": "long", "text_key": "long", "start": "long", "name": "long", "hash": "long", "hash2": "short", "phrase": "array<int>", "text": "string"}
     shape = lambda df, kind: df.select("unit", F.lit(kind).alias("kind"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
-    seeds = found.groupBy("name").agg(F.first("phrase").alias("phrase")).join(homes, "name").join(copies, "shard").select("*", every).withColumn("unit", unit("salt"))
-    windows = confirmed.join(homes.select("name", "shard"), "name").join(copies, "shard").select("*", every).withColumn("unit", unit("salt")).withColumnRenamed("first", "id").drop("name")
-    hay = pieces.join(routed.drop("n_words"), ["id", "text_key", "start"]).join(copies, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.col("copies"))).withColumn("unit", unit("salt"))
+    seeds = found.groupBy("name").agg(F.first("phrase").alias("phrase")).join(homes, "name").select("*", every).withColumn("unit", unit("salt"))
+    windows = confirmed.join(homes, "name").select("*", every).withColumn("unit", unit("salt")).withColumnRenamed("first", "id").drop("name")
+    hay = pieces.join(dealt.withColumn("unit", unit("salt")), ["id", "text_key", "start"])
     rows = shape(seeds, 0).unionByName(shape(windows, 1)).unionByName(shape(hay, 2)).repartition("unit").sortWithinPartitions("unit", "kind")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
