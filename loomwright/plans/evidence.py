@@ -55,7 +55,8 @@ def label(owner: Column, name: Column) -> Column:
 
 
 def causes(nodes: DataFrame, links: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
-    """(node, depth, label, file): for each function, the changed or affected functions that lead to it, at the least depth.
+    """(node, depth, label, own): for each function, the changed or affected functions that lead to it, at the least depth,
+    and whether one of that label stands in its own file.
 
     ``links`` from ``resolved``; ``changed`` from ``changed_nodes``. A changed or affected function is reached by its node,
     by its name if that is telling, and by its owner and name otherwise, from any file. Functions become affected level by
@@ -65,6 +66,7 @@ def causes(nodes: DataFrame, links: DataFrame, changed: DataFrame, depth: int) -
     level = cut(changed.select("node", F.lit(0).alias("depth"), name, "name", "owner", "file"))
     seen = level
     plain = nodes.filter("NOT is_test").select("node", "name", "owner", "file")
+    links = cut(links.join(nodes.select("node", F.col("file").alias("home")), "node"))
     found = None
     for n in range(max(1, depth) + 1):
         near = cut(_hits(links, level))
@@ -80,22 +82,29 @@ def causes(nodes: DataFrame, links: DataFrame, changed: DataFrame, depth: int) -
 
 
 def _hits(links: DataFrame, level: DataFrame) -> DataFrame:
-    """(node, depth, label, file): what refers to the functions of a level."""
-    reason = ["depth", "label", "file"]
-    local = links.filter("kind = 'local'").join(level.filter("node IS NOT NULL").select(F.col("node").alias("target"), *reason), "target")
-    wide = links.filter("kind = 'global'").join(level.filter(keyable(F.col("name"))).select("name", *reason).distinct(), "name")
-    pairs = level.filter(~keyable(F.col("name")) & F.col("owner").isNotNull()).select("owner", "name", *reason).distinct()
-    owned = links.filter("kind = 'qualified'").join(pairs, ["owner", "name"])
-    return local.select("node", *reason).unionByName(wide.select("node", *reason)).unionByName(owned.select("node", *reason)).distinct()
+    """(node, depth, label, own): what refers to the functions of a level. Names are joined with their labels alone, and
+    once more within files for ``own``, so a name that many files have is not multiplied by them."""
+    level = level.withColumn("telling", keyable(F.col("name")))
+    local = links.filter("kind = 'local'").join(level.filter("node IS NOT NULL").select(F.col("node").alias("target"), "depth", "label"), "target")
+    parts = [local.select("node", "depth", "label", F.lit(True).alias("own"))]
+    for kind, keys, some in (("global", ["name"], level.filter("telling")), ("qualified", ["owner", "name"], level.filter("NOT telling AND owner IS NOT NULL"))):
+        refs = links.filter(F.col("kind") == kind).select("node", "home", *keys)
+        anywhere = refs.join(some.select(*keys, "depth", "label").distinct(), keys)
+        near = refs.join(some.select(*keys, F.col("file").alias("home"), "depth", "label").distinct(), [*keys, "home"])
+        parts += [anywhere.select("node", "depth", "label", F.lit(False).alias("own")), near.select("node", "depth", "label", F.lit(True).alias("own"))]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("node", "depth", "label").agg(F.max("own").alias("own"))
 
 
 def test_evidence(nodes: DataFrame, found: DataFrame, depth: int) -> DataFrame:
     """(node, kind, n, symbols) of tests from ``causes``: Direct (refers to a changed function), Helper (to one of its own
     file that is one level away, and only those count), Transitive (n levels away). Symbols are sorted."""
-    hits = nodes.filter("is_test").select("node", F.col("file").alias("own")).join(found, "node")
+    hits = nodes.filter("is_test").select("node").join(found, "node")
     best = hits.groupBy("node").agg(F.min("depth").alias("best"))
     at = hits.join(best, "node").filter("depth = best")
-    lists = at.groupBy("node", "best").agg(F.array_sort(F.collect_set("label")).alias("all"), F.array_sort(F.collect_set(F.when(F.col("own") == F.col("file"), F.col("label")))).alias("near"))
+    lists = at.groupBy("node", "best").agg(F.array_sort(F.collect_set("label")).alias("all"), F.array_sort(F.collect_set(F.when(F.col("own"), F.col("label")))).alias("near"))
     helper = (F.col("best") == 1) & (F.size("near") > 0)
     kind = F.when(F.col("best") == 0, "Direct").when(helper, "Helper").when(F.col("best") <= depth, "Transitive")
     return lists.select("node", kind.alias("kind"), F.col("best").alias("n"), F.when(helper, F.col("near")).otherwise(F.col("all")).alias("symbols")).filter("kind IS NOT NULL")
