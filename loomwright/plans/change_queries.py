@@ -195,17 +195,17 @@ def k14_map_counts(spark, sf):
     return coverage.map_counts(t(spark, sf, "part").withColumn("file", F.col("p_brand")), t(spark, sf, "orders").select(F.col("o_orderkey").alias("tid"), F.col("o_orderstatus").alias("package")), hits)
 
 
-@query("""SELECT DISTINCT l_orderkey AS tid, fid FROM (SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber = 1) JOIN (SELECT p_size AS symbol, min_by(p_brand, p_partkey) AS file, min_by(p_type, p_partkey) AS name FROM part GROUP BY p_size) AS i ON symbol = l_suppkey % 50
+@query("""SELECT DISTINCT l_orderkey AS tid, fid FROM lineitem JOIN (SELECT p_size AS symbol, min_by(p_brand, p_partkey) AS file, min_by(p_type, p_partkey) AS name FROM part GROUP BY p_size) AS i ON symbol = l_suppkey % 50
 JOIN (SELECT p_brand AS file, p_type AS name, p_partkey AS fid FROM part WHERE p_size < 20) AS f USING (file, name)""")
 def j27_executed_functions(spark, sf):
-    symbols = t(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("tid"), (F.col("l_suppkey") % 50).cast("int").alias("symbol"))
+    symbols = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tid"), (F.col("l_suppkey") % 50).cast("int").alias("symbol"))
     items = t(spark, sf, "part").select(F.col("p_size").alias("symbol"), F.col("p_brand").alias("file"), F.col("p_type").alias("key"), F.col("p_partkey").alias("seq"))
     return coverage.executed_functions(symbols, items, _functions(spark, sf))
 
 
 # A call graph: parts are functions, and a line item is a reference from its part to the part of its supplier's number.
 _NODES = """n AS (SELECT p_partkey AS node, p_brand || '/' || p_size AS file, p_partkey % 2 AS scope, CASE WHEN p_size % 10 = 0 THEN 'new' ELSE replace(p_name, ' ', '_') END AS name, CASE WHEN p_size % 3 = 0 THEN p_type END AS owner, p_partkey % 7 = 0 AS is_test FROM part)"""
-_REFS = f"""{_NODES}, r AS (SELECT DISTINCT l_partkey AS node, CASE l_suppkey % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'method' WHEN 2 THEN 'seg' ELSE 'last' END AS ref_kind, p_type AS qual, n.name FROM lineitem JOIN part ON p_partkey = l_suppkey JOIN n ON n.node = l_suppkey WHERE l_linenumber <= 2),
+_REFS = f"""{_NODES}, r AS (SELECT DISTINCT l_partkey AS node, CASE l_suppkey % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'method' WHEN 2 THEN 'seg' ELSE 'last' END AS ref_kind, p_type AS qual, n.name FROM lineitem JOIN part ON p_partkey = l_suppkey JOIN n ON n.node = l_suppkey),
 o AS (SELECT r.*, n.file, n.scope FROM r JOIN n USING (node)),
 l AS (SELECT o.node, ref_kind, qual, o.name, arg_min(x.node, (CASE WHEN x.scope = o.scope THEN 0 ELSE 1 END, x.node)) AS target FROM o JOIN n AS x ON x.file = o.file AND x.name = o.name AND NOT x.is_test AND x.owner IS NULL AND x.scope IN (o.scope, 0) WHERE ref_kind = 'plain' GROUP BY ALL
   UNION ALL SELECT o.node, ref_kind, qual, o.name, x.node FROM o JOIN n AS x ON x.file = o.file AND x.name = o.name AND NOT x.is_test AND x.owner IS NOT NULL WHERE ref_kind = 'method'
@@ -223,7 +223,7 @@ def _nodes(spark, sf):
 def _links(spark, sf):
     nodes, kind = _nodes(spark, sf), F.col("l_suppkey") % 4
     targets = t(spark, sf, "part").select(F.col("p_partkey").alias("l_suppkey"), F.col("p_type").alias("qual")).join(nodes.select(F.col("node").alias("l_suppkey"), "name"), "l_suppkey")
-    refs = t(spark, sf, "lineitem").filter("l_linenumber <= 2").join(targets, "l_suppkey")
+    refs = t(spark, sf, "lineitem").join(targets, "l_suppkey")
     refs = refs.select(F.col("l_partkey").alias("node"), F.when(kind == 0, "plain").when(kind == 1, "method").when(kind == 2, "seg").otherwise("last").alias("ref_kind"), "qual", "name").distinct()
     scopes = nodes.select("file").distinct().crossJoin(F.broadcast(spark.createDataFrame([(0, 0, 0), (1, 1, 0), (1, 0, 1)], "scope long, ancestor long, hops int")))  # three rows
     return nodes, evidence.resolved(nodes, refs, scopes)
