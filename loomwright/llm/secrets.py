@@ -3,8 +3,9 @@
 Candidates are all runs of key-like characters that are long enough and hold a digit, without the names before = or :
 that lead them; a word can hold many (JSON, CSV, minified code). Features are the candidate's length,
 its character classes and the transitions between them, the share of its letter runs that a dictionary of common words
-covers, the depth and kind of its path, the words around it, and whether it parses as a harmless value or has the form
-of a known kind of secret. The forest is trained on labelled findings.
+covers, the depth and kind of its path, and the words around it. The forest is trained on labelled findings. Whether a
+candidate parses as a harmless value or has the form of a known kind of secret is evidence for labels alone: the forest
+never sees it, so that it has to tell other shapes by how they are built and where they stand.
 
 Defined cases: a null or empty text has no candidates; a null path has depth 0; labelled findings of one class only, or
 none, leave every candidate with probability 1 (nothing is removed); repeated rows give repeated findings; an empty
@@ -48,7 +49,10 @@ HARMLESS = "^(?:" + "|".join((_ADDRESS, _DATE, _MAIL, _URL, _PATH, _NUMBER)) + "
 SHAPED = r"^eyJ[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_=-]{8,}\.|//[^/@:]*:[^/@]{6,}@|^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^xox[abeprs]-[A-Za-z0-9-]{10,}|^[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|^AIza[A-Za-z0-9_-]{35}"
 #: Words that name a secret when they stand before it.
 KEYWORDS = ["token", "key", "secret", "password", "passwd", "apikey", "api_key", "credential", "auth"]
-FEATURES = ["shaped", "harmless", "length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "hex_only", "dictionary", "path_depth", "path_code", "after_keyword", "after_equals", "quoted"]
+FEATURES = [
+    "length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "hex_only", "dictionary",
+    "path_depth", "path_code", "after_keyword", "after_equals", "quoted",
+]
 
 
 def _pieces(run: Column) -> Column:
@@ -113,7 +117,7 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     own = F.regexp_extract(text, ASSIGNED, 1)
     keyword = lambda name: F.arrays_overlap(F.split(F.lower(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z_.-]", ""), "([a-z])([A-Z])", "$1_$2")), "[_.-]+"), F.array(*map(F.lit, KEYWORDS)))
     values = {
-        "shaped": shaped(c), "harmless": harmless(c), "length": n, "digits": kind("0"), "uppers": kind("U"), "lowers": kind("l"), "others": kind("."),
+        "length": n, "digits": kind("0"), "uppers": kind("U"), "lowers": kind("l"), "others": kind("."),
         "transitions": pairs / n, "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "hex_only": c.rlike("^[0-9a-fA-F]+$").cast("double"), "dictionary": covered / n,
         "path_depth": F.size(F.filter(F.split("path", "/"), lambda s: s != "")).cast("double"), "path_code": F.lower("path").rlike(r"\.(py|js|env|ya?ml|json|conf|ini|sh)$").cast("double"),
@@ -155,7 +159,7 @@ def shaped(c: Column) -> Column:
 def weak_label() -> Column:
     """Labels where the tables have none. 0: what parses as ``harmless``. 1: what is ``shaped`` as a secret, or is
     assigned to a keyword, has 16 characters or more, digits and letters, and hardly a word of the dictionary. Else
-    null. The characters of a candidate alone decide nothing."""
+    null. Neither ``harmless`` nor ``shaped`` is a feature."""
     c = F.col("candidate")
     assigned = (F.col("after_keyword") == 1) & (F.col("after_equals") == 1) & (F.col("length") >= 16) & c.rlike("[A-Za-z]") & (F.col("dictionary") < 0.3)
     return F.when(shaped(c), 1).when(harmless(c), 0).when(assigned, 1)

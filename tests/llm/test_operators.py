@@ -279,14 +279,26 @@ def test_recall_of_held_out_shapes(spark):
     rng = random.Random(11)
     truth = {n: x for n, x in enumerate(x for _ in range(120) for x in planted_secrets(rng))}
     words = " ".join(["release summer index report north window example mail share html https"] * 3)
-    docs = spark.createDataFrame([(n, f"{words} {text} {words}") for n, (_, text, _) in truth.items()], "doc_id long, text string")
-    found = secrets.with_features(secrets.candidates(docs), secrets.common_words(docs, share=0.5)).withColumn("label", secrets.weak_label()).persist()
-    model = secrets.fit(secrets.training_rows(found.filter("key % 3 > 0")))
-    said = {(r["key"], r["candidate"]) for r in secrets.score(found.filter("key % 3 = 0"), model).filter("probability >= 0.5").select("key", "candidate").collect()}
-    of = lambda shape: [(n, v) in said for n, (s, _, v) in truth.items() if s == shape and n % 3 == 0]
-    share = {s: sum(of(s)) / len(of(s)) for s in {s for s, _, _ in truth.values()}}
-    print(sorted(share.items()))
+    texts = [(n, shape, f"{words} {text} {words}") for n, (shape, text, _) in truth.items()]
+    docs = spark.createDataFrame(texts, "doc_id long, shape string, text string")
+    features = secrets.with_features(secrets.candidates(docs), secrets.common_words(docs, share=0.5))
+    shapes = docs.select(F.col("doc_id").alias("key"), "shape")
+    found = features.withColumn("label", secrets.weak_label()).join(shapes, "key").persist()
+
+    def called_secret(training):
+        """The share of each shape's held-out values that are called secrets."""
+        scored = secrets.score(found.filter("key % 3 = 0"), secrets.fit(secrets.training_rows(training)))
+        said = {(r["key"], r["candidate"]) for r in scored.filter("probability >= 0.5").select("key", "candidate").collect()}
+        of = lambda shape: [(n, v) in said for n, (s, _, v) in truth.items() if s == shape and n % 3 == 0]
+        return {s: sum(of(s)) / len(of(s)) for s in {s for s, _, _ in truth.values()}}
+
+    training = found.filter("key % 3 > 0")
+    share = called_secret(training)
     assert all(x <= 0.05 if s[0] == "-" else x >= 0.9 for s, x in share.items()), share
+    for left_out in ("hex", "base62", "base64", "prefixed", "jwt", "token:value"):  # no finding of the shape is trained on
+        share = called_secret(training.filter(~F.col("shape").startswith(left_out)))
+        assert all(x <= 0.05 for s, x in share.items() if s[0] == "-"), (left_out, share)
+        assert all(x >= 0.9 for s, x in share.items() if s.startswith(left_out)), (left_out, share)
 
 
 def test_no_label_is_lost_to_sampling(spark):
