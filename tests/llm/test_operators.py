@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
+import functools
 import itertools
 import math
 import random
@@ -476,8 +477,8 @@ def brute_components(texts, shingle=5, percent=75):
     return label
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_components_by_brute_force(spark, seed):
+def similar_texts(seed):
+    """Groups of near copies over few words, so that many groups share tokens, and odd texts."""
     rng = random.Random(seed)
     words = [f"w{n}" for n in range(60)]
     texts = []
@@ -491,9 +492,28 @@ def test_components_by_brute_force(spark, seed):
             texts.append(" ".join(copy))
     texts += [None, "", "a b", "A  b"]
     rng.shuffle(texts)
+    return texts
+
+
+def components_of(spark, texts, **options):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(rows).collect()}
-    assert found == brute_components(dict(enumerate(texts)))
+    return {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(rows, **options).collect()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_by_brute_force(spark, seed):
+    texts = similar_texts(seed)
+    assert components_of(spark, texts) == brute_components(dict(enumerate(texts)))
+
+
+def test_long_runs_and_small_shares_lose_no_link(spark, monkeypatch):
+    texts = similar_texts(2)
+    boilerplate = "all of these pages end with the same few words"
+    texts += [f"{' '.join(f'u{n}x{k}' for k in range(n % 4))} {boilerplate}".strip() for n in range(30)]
+    monkeypatch.setattr(jaccard, "LONG_RUN", 3)
+    monkeypatch.setattr(jaccard, "crossing_pairs", functools.partial(jaccard.crossing_pairs, share_pairs=2))
+    for rounds in (0, jaccard.STAR_ROUNDS):
+        assert components_of(spark, texts, star_rounds=rounds) == brute_components(dict(enumerate(texts)))
 
 
 def test_keep_one_keeps_the_first(spark):
