@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import and_more
-from ..operators.graph import dependents_of
+from ..operators.graph import cut, dependents_of
 from ..operators.joins import snapshot_diff, wildcard_equal
 
 KEY = ["name", "version", "source"]
@@ -66,13 +66,13 @@ def lock_causes(old: DataFrame, new: DataFrame, members: DataFrame, most: int =
     old, new = quiet(old), quiet(new)
     changed = changed_entries(old, new)
     ours = changed.filter(listed).join(mine, "name", "left_semi")
-    theirs = changed.join(ours.select(*KEY).distinct(), KEY, "left_anti")
+    theirs = cut(changed.join(ours.select(*KEY).distinct(), KEY, "left_anti"))  # read by three plans
     keys = mine.select(F.struct("name", F.lit("").alias("version"), F.lit("").alias("source")).alias("node"))
     hits = ours.select(F.col("name").alias("member"), F.lit("its own dependencies").alias("what"))
     names = version_sets(theirs)
     for side, entries in (("old", old), ("new", new)):
         starts = theirs.filter(F.col("side") == side).select(F.struct(*KEY).alias("node"))
-        found = dependents_of(starts, entry_users(entries), keys).select(F.col("node.name").alias("member"), F.col("start.name").alias("name"))
+        found = dependents_of(starts, cut(entry_users(entries)), keys).select(F.col("node.name").alias("member"), F.col("start.name").alias("name"))
         hits = hits.unionByName(found.join(names, "name").select("member", "what"))
     lists = hits.groupBy("member").agg(F.array_sort(F.collect_set("what")).alias("what"))
     return lists.select("member", F.concat(F.lit("lock: "), and_more(F.col("what"), most)).alias("why"))
