@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, substrings, urls
+from . import chat, decontaminate, jaccard, langid, lexical, mixing, quality, secrets, sharding, substrings, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op9_url_filter": urls.op9_url_filter,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_lexical_search": lexical.op11_lexical_search,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op8_poisson_mix": mixing.OP8_SQL,
     "op9_url_filter": urls.OP9_SQL,
     "op10_jaccard_join": jaccard.OP10_SQL,
+    "op11_lexical_search": lexical.OP11_SQL,
 }

@@ -104,6 +104,24 @@ def distinct_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, da
     return all(data[starts[n] : ends[n]] == data[starts[m] : ends[m]] for n, m in zip(left.tolist(), other[left].tolist()))
 
 
+def same_words(data: bytes, starts: np.ndarray, ends: np.ndarray, other: bytes, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each word equals its partner in other bytes."""
+    lengths = ends - starts
+    out = lengths == other_ends - other_starts
+    here, there = _lanes(data), _lanes(other)
+    left = np.flatnonzero(out & (lengths <= 8 * MOST_LANES))
+    for k in range(MOST_LANES):
+        if not len(left):
+            break
+        rest = lengths[left] - 8 * k
+        same = ((here[starts[left] + 8 * k] ^ there[other_starts[left] + 8 * k]) & _MASKS[np.minimum(rest, 8)]) == 0
+        out[left[~same]] = False
+        left = left[same & (rest > 8)]
+    for n in np.flatnonzero(out & (lengths > 8 * MOST_LANES)).tolist():
+        out[n] = data[starts[n] : ends[n]] == other[other_starts[n] : other_ends[n]]
+    return out
+
+
 def exact_ids(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
     """A number for each word, equal for equal words only: its hash, or its rank where two words share a hash."""
     if distinct_hashes(hashes, starts, ends, data):
