@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, langid, lexical, mixing, quality, secrets, sharding, substrings, urls
+from . import chat, decontaminate, factorisation, interaction, jaccard, langid, lexical, mixing, quality, secrets, sharding, substrings, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_url_filter": urls.op9_url_filter,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_quality_classifier": factorisation.op12_quality_classifier,
+    "op13_filter_audit": interaction.op13_filter_audit,
 }
 
 SQL = {
@@ -27,4 +29,5 @@ SQL = {
     "op9_url_filter": urls.OP9_SQL,
     "op10_jaccard_join": jaccard.OP10_SQL,
     "op11_lexical_search": lexical.OP11_SQL,
+    "op13_filter_audit": interaction.OP13_SQL,
 }
