@@ -5,9 +5,9 @@ of its segmentations into pieces, by the forward algorithm; a text's likelihood
 probabilities are fitted by expectation maximisation (expected piece counts over all segmentations) on word counts of
 a bounded sample of labelled rows. The vocabulary's file is a parameter; nothing of it is in the repository.
 
-Words are runs of letters, in lower case; a run of more than ``WORD_LETTERS`` (in a script without spaces, say) goes on as
-a new word, so a text of any kind costs time in proportion to its length. Scoring is one map-only pass over whole texts;
-a task keeps a bounded cache of word likelihoods.
+Words are runs of letters of any length, in lower case. The forward sum of a word looks back over the longest piece only, so
+a text of any kind costs time in proportion to its length. The fit leaves out runs of more than ``FIT_LETTERS``. Scoring is
+one map-only pass over whole texts; a task keeps a bounded cache of the likelihoods of words of up to that length.
 
 A score is the posterior of the language among those learned, times how typical the text is of it: 1 if a letter of the
 text is on average as likely as in the learned rows of that language or up to ``SLACK`` nats less, and falling
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sampling import lowest_hashes
 from .tables import table
 from .wordhash import chunks
 
@@ -45,8 +46,8 @@ SPACE = "▁"
 #: Multiplier of the hashes that pieces are looked up by.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
-WORD_LETTERS = 64
-_LETTERS = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}")
+FIT_LETTERS = 64
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: See the score above.
 SLACK = 0.7
 PRIOR_LETTERS = 50
@@ -103,26 +104,29 @@ class Lattice:
         return out.reshape(len(words), n, width)
 
 
-def forward(edges: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """alpha[begin][word, language], each scaled, and the logarithms of the scales up to each place."""
+def forward(edges: np.ndarray, probability: np.ndarray) -> Iterator[np.ndarray]:
+    """Logarithms of the sums over all segmentations up to each place [word, language], one place after another."""
     count, n, width = edges.shape
-    alpha = [np.ones((count, probability.shape[1]))]
-    logs = [np.zeros((count, probability.shape[1]))]
+    recent = np.full((width, count, probability.shape[1]), -np.inf)  # of the last places, the latest first
+    recent[0] = 0.0
+    yield recent[0].copy()
     for j in range(1, n + 1):
-        total = 0.0
-        for i in range(max(0, j - width), j):
-            total = total + alpha[i] * np.exp(logs[i] - logs[j - 1]) * probability[edges[:, i, j - i - 1]]
-        alpha.append(np.ones_like(total))
-        logs.append(logs[j - 1] + np.log(total))
-    return alpha, logs
+        most = min(j, width)
+        ending = edges[:, np.arange(j - 1, j - most - 1, -1), np.arange(most)]  # pieces of 1, 2, ... letters that end here
+        total = (np.exp(recent[:most] - recent[0]) * probability[ending.T]).sum(axis=0)
+        now = recent[0] + np.log(total)
+        recent[1:] = recent[:-1].copy()
+        recent[0] = now
+        yield now
 
 
 def word_likelihoods(words: list[str], lattice: Lattice, probability: np.ndarray) -> np.ndarray:
     """Log-likelihood of each word in each language."""
     out = np.zeros((len(words), probability.shape[1]))
     for some in _by_length(words):
-        _, logs = forward(lattice.edges([words[n] for n in some]), probability)
-        out[some] = logs[-1]
+        for now in forward(lattice.edges([words[n] for n in some]), probability):
+            pass
+        out[some] = now
     return out
 
 
@@ -131,7 +135,7 @@ def expected_counts(words: list[str], counts: np.ndarray, lattice: Lattice, prob
     out, total = np.zeros(len(probability)), 0.0
     for some in _by_length(words):
         edges = lattice.edges([words[n] for n in some])
-        _, logs = forward(edges, probability)
+        logs = list(forward(edges, probability))
         total += float(logs[-1][:, 0] @ counts[some])
         _, n, width = edges.shape
         back = [None] * n + [np.zeros_like(logs[0])]
@@ -176,16 +180,19 @@ class Model:
             words += ws
         if not n or not words:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        if len(self.cache) > CACHE_WORDS:
+        if self.known and len(self.known[0]) > CACHE_WORDS:
             self.cache.clear()
             self.known.clear()
         fresh = [w for w in dict.fromkeys(words) if w not in self.cache]
         if fresh:
-            base = len(self.cache)
+            base = len(self.known[0]) if self.known else 0
             self.cache.update((w, base + k) for k, w in enumerate(fresh))
             self.known.append(word_likelihoods(fresh, self.lattice, self.probability))
             self.known[:] = [np.concatenate(self.known)]
         each = self.known[0][np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))]
+        for w in fresh:
+            if len(w) > FIT_LETTERS:  # a long run seldom comes again
+                del self.cache[w]
         ends = np.cumsum(counts)
         total = np.concatenate([np.zeros((1, n)), np.cumsum(each, axis=0)])
         likelihood = total[ends] - total[ends - counts]
@@ -206,15 +213,15 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """Fit on about ``fit_rows`` of the rows of each language, chosen by a hash of the key; each language adds a column
     to the model, so they are taken to be few."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    shares = rows.groupBy("lang").agg((F.lit(1_000_000.0) * fit_rows / F.count(F.lit(1))).alias("share"))
-    sample = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share"))
+    sample = lowest_hashes(rows, "lang", ["key"], fit_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[str, str], int] = {}
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
                 for w in words_of(text):
-                    found[lang, w] = found.get((lang, w), 0) + 1
+                    if len(w) <= FIT_LETTERS:
+                        found[lang, w] = found.get((lang, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quality import let
 from .tables import free_name, table
 
 PIECE = 500.0
@@ -74,7 +75,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], key: str = "doc_id",
     else:
         salted = rates.withColumn(own["_salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rated = rows.withColumn(salt, F.pmod(F.hash(keyed), F.lit(SALTS))).join(salted, same & (F.col(salt) == F.col(own["_salt"])))
-    draw = lambda i: F.size(F.filter(own["_table"], lambda c: c <= _uniform(F.lit(seed), i.cast("string"), F.col(keyed))))
+    draw = lambda i: let(_uniform(F.lit(seed), i.cast("string"), F.col(keyed)), lambda u: F.size(F.filter(own["_table"], lambda c: c <= u)))
     drawn = rated.withColumn("n_copies", F.aggregate(F.sequence(F.lit(1), F.col(own["_parts"])), F.lit(0), lambda n, i: n + draw(i)))
     copies = drawn.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     ordered = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(keyed), F.col("copy").cast("string"))))

@@ -18,12 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sampling import lowest_hashes
 from .storage import materialise
 from .tables import free_name, table
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: The fit takes about so many labelled rows, chosen by a hash of the key.
+#: The fit takes about so many labelled rows of each class, those of the lowest hashes of their keys.
 FIT_ROWS = 20_000
 BINS = 32
 MAX_RULES = 8
@@ -184,11 +185,10 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, **options) -> list[Rule]:  # noqa: ANN003
-    """Rules for label 0 from about ``fit_rows`` labelled rows. The sampled labels are bounded, so they are broadcast."""
+    """Rules for label 0 from about ``fit_rows`` labelled rows of each class, so rare ones are learned from as well. The
+    sampled labels are bounded, so they are broadcast."""
     usable = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
-    share = min(1.0, fit_rows / max(1, usable.count()))
-    hashed = F.pmod(F.xxhash64("_key"), F.lit(1_000_000))
-    sample = usable.filter(hashed < int(share * 1_000_000)).withColumn("_fold", (F.pmod(F.xxhash64("_key", F.lit("fold")), F.lit(3))).cast("int"))
+    sample = lowest_hashes(usable, "_label", ["_key"], fit_rows).withColumn("_fold", (F.pmod(F.xxhash64("_key", F.lit("fold")), F.lit(3))).cast("int"))
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("_id") == F.col("_key"))
     fitted = materialise(text_statistics(rows).select("_fold", "_label", *COUNTS), "quality-fit")
     return learn_rules(fitted.coalesce(1), F.col("_label") == 0, **options)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import SPACES, let
+from .sampling import lowest_hashes
 from .storage import materialise
 from .tables import table
 
@@ -37,14 +38,15 @@ FIT_ROWS = 20_000
 #: document on average, divided by the share.
 DICTIONARY_SHARE = 0.005
 TREES, DEPTH = 20, 6
+# The JVM recurses on a repeated group unless it is possessive or bounded, so every such group here is one of these.
 _ADDRESS = r"\d{1,3}(?:\.\d{1,3}){3}(?:[:/]\d{1,5})?|(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}|[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}"
 _DATE = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[T_:-]?\d{1,2}[:.]?\d{2}(?:[:.]?\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
-_MAIL = r"(?:mailto:)?[A-Za-z0-9_.+=-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_MAIL = r"(?:mailto:)?[A-Za-z0-9_.+=-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 _PLAIN = r"(?:[A-Z]?[a-z]{2,20}|[A-Z]{2,12}|\d{1,6}|[A-Za-z](?![A-Za-z]))"
 _NAME = r"[._-]*" + _PLAIN + r"(?:[._@-]*" + _PLAIN + r"){0,7}+"
 _URL = r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[A-Za-z0-9.-]+(?::\d+)?(?:/(?:" + _NAME + r")?)*+"
 _PATH = r"(?:[A-Za-z]:)?[.]{0,2}/?(?:" + _NAME + r")(?:/(?:" + _NAME + r"))++/?"
-_NUMBER = r"[+-]?[\d.-]+(?:[eE][+-]?\d+)?|v?\d+(?:\.\d+)+(?:[-+.][A-Za-z]+[.-]?\d*)?"
+_NUMBER = r"[+-]?[\d.-]+(?:[eE][+-]?\d+)?|v?\d+(?:\.\d+)++(?:[-+.][A-Za-z]+[.-]?\d*)?"
 HARMLESS = "^(?:" + "|".join((_ADDRESS, _DATE, _MAIL, _URL, _PATH, _NUMBER)) + ")$"
 SHAPED = r"^eyJ[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_=-]{8,}\.|//[^/@:]*:[^/@]{6,}@|^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^xox[abeprs]-[A-Za-z0-9-]{10,}|^[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|^AIza[A-Za-z0-9_-]{35}"
 #: Words that name a secret when they stand before it.
@@ -166,12 +168,8 @@ def weak_label() -> Column:
 
 
 def training_rows(labelled: DataFrame, most: int = FIT_ROWS, place: tuple[str, ...] = ("key", "at", "nth")) -> DataFrame:
-    """About ``most`` rows of each label, those of the lowest hashes of their place; all of a label that has no more.
-    The lowest hash of a label is always in, so no label that any row has is lost."""
-    hashed = labelled.filter(F.col("label").isNotNull()).withColumn("_h", F.shiftrightunsigned(F.xxhash64(*place, "candidate"), 1))
-    bounds = hashed.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least"))
-    limit = F.greatest(F.col("_least"), F.when(F.col("_n") <= most, F.lit(2**63 - 1)).otherwise((F.lit(float(2**63 - 1024)) * most / F.col("_n")).cast("long")))
-    return hashed.join(F.broadcast(bounds.select("label", limit.alias("_limit"))), "label").filter("_h <= _limit").drop("_h", "_limit")
+    """About ``most`` rows of each label, those of the lowest hashes of their place and candidate."""
+    return lowest_hashes(labelled, "label", [*place, "candidate"], most)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
