@@ -190,3 +190,57 @@ def truncated(text: Column, most: int) -> Column:
 def either_side(new: Column, old: Column) -> Column:
     """The distinct paths of a change, the new one first."""
     return F.array_distinct(F.array_compact(F.array(new, old)))
+
+
+def _once(value: Column, use) -> Column:  # noqa: ANN001
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def path_segments(symbol: Column) -> Column:
+    """The segments of a path between ``::`` outside of angle brackets; the ``>`` of an arrow closes none. One fold over the
+    characters holds the depth, the segment so far and the character before."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("before"), F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c == "<", 1).when((c == ">") & (s["before"] != "-"), -1).otherwise(0)
+        ends = (s["depth"] == 0) & (c == ":") & (s["before"] == ":")
+        whole = F.substring(s["now"], 1, F.length(s["now"]) - 1)  # without the first of the two colons
+        return F.struct(depth.alias("depth"), F.when(ends, "").otherwise(c).alias("before"), F.when(ends, "").otherwise(F.concat(s["now"], c)).alias("now"), F.when(ends, F.array_append(s["done"], whole)).otherwise(s["done"]).alias("done"))
+
+    return F.aggregate(F.filter(F.split(symbol, ""), lambda c: c != ""), start, step, lambda s: F.array_append(s["done"], s["now"]))
+
+
+def _owner(segment: Column) -> Column:
+    """The type's name in ``<type>`` or ``<type as trait>``."""
+    inner = F.substring_index(F.substring(segment, 2, F.length(segment) - 2), " as ", 1)
+    return F.substring_index(F.substring_index(F.regexp_replace(inner, "^&*(?:mut )*(?:dyn )*", ""), "<", 1), "::", -1)
+
+
+def symbol_item(symbol: Column) -> Column:
+    """The item ``Type::method`` or ``name`` of a readable symbol: what a closure stands in, without generic arguments.
+    A ``file;`` in front is dropped; a symbol without any name stays as it is."""
+    readable = F.substring_index(symbol, ";", -1)
+    bracketed = lambda s: s.startswith("<") & s.endswith(">") & (F.length(s) >= 2)
+
+    def of(z: Column) -> Column:
+        first, path = F.get(z["segments"], F.lit(0)), F.filter(z["segments"], lambda s: ~bracketed(s))
+        owner = F.when(bracketed(first), _owner(first))
+
+        def named(p: Column) -> Column:
+            name, above = F.get(p, F.size(p) - 1), F.get(p, F.size(p) - 2)
+            typed = F.when(owner.isNotNull() & (F.size(p) == 1), owner).when((F.size(p) >= 2) & above.rlike("^[A-Z]"), above)
+            return F.when(F.size(p) == 0, z["readable"]).otherwise(F.concat_ws("::", typed, name))
+
+        return _once(path, named)
+
+    def outer(segments: Column) -> Column:
+        closure = F.array_position(F.transform(segments, lambda s: s.startswith("{")), True)
+        return F.when(closure > 0, F.slice(segments, 1, (closure - 1).cast("int"))).otherwise(segments)
+
+    return _once(path_segments(readable), lambda g: _once(F.struct(outer(g).alias("segments"), readable.alias("readable")), of))
+
+
+def clean_owner(path: Column) -> Column:
+    """The name of a type as an owner: its last ``::`` segment, without references, generics and ``r#``."""
+    bare = F.regexp_replace(F.trim(path), r"^(?:&\s*(?:'\w+\s+)?|mut\s+|dyn\s+)*", "")
+    return F.regexp_replace(F.trim(F.substring_index(F.substring_index(bare, "<", 1), "::", -1)), "^r#", "")

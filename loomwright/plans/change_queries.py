@@ -163,27 +163,31 @@ def d8_blind_changes(spark, sf):
     return coverage.changed_functions(items, both, packages)[1].select("pkg", "why")
 
 
-_COVERED = """WITH h AS (SELECT l_orderkey, count(DISTINCT CASE WHEN p_size = 7 THEN l_partkey END) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
-c AS (SELECT o_orderkey AS test_id, o_custkey % 40 AS pkg, CASE WHEN o_orderkey % 9 = 0 THEN 'changed' END AS must, CASE WHEN o_orderkey % 4 = 0 THEN 'Dependency' END AS kind, n FROM orders LEFT JOIN h ON l_orderkey = o_orderkey)"""
+_COVERED = """WITH f AS (SELECT DISTINCT l_orderkey, p_partkey, 'n' || p_size AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size IN (7, 8, 9)),
+g AS (SELECT l_orderkey, p_partkey, name, lag(name) OVER (PARTITION BY l_orderkey ORDER BY p_partkey) AS before FROM f),
+s AS (SELECT l_orderkey, count(*) AS n, string_agg(name, ',' ORDER BY p_partkey) AS names FROM g WHERE before IS DISTINCT FROM name GROUP BY l_orderkey),
+h AS (SELECT DISTINCT l.l_orderkey, coalesce(n, 0)::INTEGER AS n, coalesce(names, '') AS names FROM lineitem AS l LEFT JOIN s ON s.l_orderkey = l.l_orderkey),
+c AS (SELECT names, o_orderkey AS test_id, o_custkey % 40 AS pkg, CASE WHEN o_orderkey % 9 = 0 THEN 'changed' END AS must, CASE WHEN o_orderkey % 4 = 0 THEN 'Dependency' END AS kind, n FROM orders LEFT JOIN h ON l_orderkey = o_orderkey)"""
 
 
 def _covered(spark, sf, used):
     key = F.col("o_orderkey")
-    rows = t(spark, sf, "orders").select(key.alias("test_id"), (F.col("o_custkey") % 40).alias("pkg"), F.when(key % 9 == 0, "changed").alias("must"), F.when(key % 4 == 0, "Dependency").alias("evidence_kind"), F.lit(None).cast("int").alias("evidence_n"))
+    rows = t(spark, sf, "orders").select(key.alias("test_id"), (F.col("o_custkey") % 40).alias("pkg"), F.when(key % 9 == 0, "changed").alias("must"), F.when(key % 4 == 0, "Dependency").alias("evidence_kind"), F.lit(None).cast("int").alias("evidence_n"), F.lit(None).cast("array<string>").alias("symbols"))
     lines = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tid"), F.col("l_partkey").alias("fid"))
-    changed = t(spark, sf, "part").filter("p_size = 7").select(F.col("p_partkey").alias("fid"))
+    functions = t(spark, sf, "part").select(F.col("p_partkey").alias("fid"), F.concat(F.lit("n"), F.col("p_size").cast("string")).alias("name"), "p_size")
+    changed = functions.filter("p_size IN (7, 8, 9)").select("fid")
     exempt = spark.createDataFrame([(3,), (5,)], "pkg long")
-    return coverage.apply_coverage(rows, lines.select(F.col("tid").alias("test_id"), "tid").distinct(), lines, changed, exempt, used).select("test_id", "n_hit", "gated", "must", "evidence_kind", "evidence_n")
+    return coverage.apply_coverage(rows, lines.select(F.col("tid").alias("test_id"), "tid").distinct(), lines, changed, functions, exempt, used).select("test_id", F.array_join("covered", ",").alias("covered"), "n_hit", "gated", "must", "evidence_kind", "evidence_n", F.array_join("symbols", ",").alias("symbols"))
 
 
-@query(f"""{_COVERED} SELECT test_id, n AS n_hit, coalesce(n = 0, false) AND must IS NULL AND kind IS NULL AND pkg NOT IN (3, 5) AS gated, must, CASE WHEN n > 0 AND must IS NULL THEN coalesce(kind, 'Covered') ELSE kind END AS evidence_kind,
-CASE WHEN n > 0 AND must IS NULL AND kind IS NULL THEN n::INTEGER END AS evidence_n FROM c""")
+@query(f"""{_COVERED} SELECT test_id, names AS covered, n AS n_hit, coalesce(n = 0, false) AND must IS NULL AND kind IS NULL AND pkg NOT IN (3, 5) AS gated, must, CASE WHEN n > 0 AND must IS NULL THEN coalesce(kind, 'Covered') ELSE kind END AS evidence_kind,
+CASE WHEN n > 0 AND must IS NULL AND kind IS NULL THEN n END AS evidence_n, CASE WHEN n > 0 AND must IS NULL AND kind IS NULL THEN names END AS symbols FROM c""")
 def d8_full_gate(spark, sf):
     return _covered(spark, sf, "gate")
 
 
-@query(f"""{_COVERED} SELECT test_id, n AS n_hit, false AS gated, CASE WHEN n > 0 THEN coalesce(must, 'covered') ELSE must END AS must, CASE WHEN n > 0 AND must IS NULL THEN coalesce(kind, 'Covered') ELSE kind END AS evidence_kind,
-CASE WHEN n > 0 AND must IS NULL AND kind IS NULL THEN n::INTEGER END AS evidence_n FROM c""")
+@query(f"""{_COVERED} SELECT test_id, names AS covered, n AS n_hit, false AS gated, CASE WHEN n > 0 THEN coalesce(must, 'covered') ELSE must END AS must, CASE WHEN n > 0 AND must IS NULL THEN coalesce(kind, 'Covered') ELSE kind END AS evidence_kind,
+CASE WHEN n > 0 AND must IS NULL AND kind IS NULL THEN n END AS evidence_n, CASE WHEN n > 0 AND must IS NULL AND kind IS NULL THEN names END AS symbols FROM c""")
 def d8_must_boost(spark, sf):
     return _covered(spark, sf, coverage.policy_used("must", 3, 200))
 
@@ -196,7 +200,7 @@ def k14_map_counts(spark, sf):
 
 
 @query("""SELECT DISTINCT l_orderkey AS tid, fid FROM lineitem JOIN (SELECT p_size AS symbol, min_by(p_brand, p_partkey) AS file, min_by(p_type, p_partkey) AS name FROM part GROUP BY p_size) AS i ON symbol = l_suppkey % 50
-JOIN (SELECT p_brand AS file, p_type AS name, p_partkey AS fid FROM part WHERE p_size < 20) AS f USING (file, name)""")
+JOIN (SELECT p_brand AS file, p_type AS name, min(p_partkey) AS fid FROM part WHERE p_size < 20 GROUP BY p_brand, p_type) AS f USING (file, name)""")
 def j27_executed_functions(spark, sf):
     symbols = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tid"), (F.col("l_suppkey") % 50).cast("int").alias("symbol"))
     items = t(spark, sf, "part").select(F.col("p_size").alias("symbol"), F.col("p_brand").alias("file"), F.col("p_type").alias("key"), F.col("p_partkey").alias("seq"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import reach
-from ..operators.incidence import hit_functions
+from .loose import judge_loose, whole_blind
 
 #: Sources that are not of the workspace (fixed values).
 FOREIGN = r"/rustc/|/\.cargo/registry/|/\.cargo/git/|/\.rustup/|/lib/rustlib/"
@@ -27,7 +27,7 @@ def changed_functions(items: DataFrame, functions: DataFrame, packages: DataFram
     packages(pkg, proc_macro). The header of an impl stands for all of its methods; one that the map doesn't have makes it
     blind.
     """
-    own = items.join(packages.select("pkg", "proc_macro"), "pkg").filter("kind NOT IN ('test', 'mod')").withColumn("item", F.monotonically_increasing_id())
+    own = items.join(packages.select("pkg", "proc_macro"), "pkg").filter("kind NOT IN ('test', 'mod')").withColumn("item", F.struct("pkg", "path", "old_path", "owner", "name", "kind", "methods"))
     key = F.concat_ws("::", "owner", "name")
     keys = F.when(F.col("kind") == "fn", F.array(key)).when(F.col("kind") == "impl", F.transform("methods", lambda m: F.concat_ws("::", F.col("name"), m)))
     label = F.concat(F.col("path"), F.lit(": "), key)
@@ -41,6 +41,15 @@ def changed_functions(items: DataFrame, functions: DataFrame, packages: DataFram
     return known.filter("lost = 0").select(F.explode("fids").alias("fid")).distinct(), blind
 
 
+def blind_spots(items: DataFrame, loose: DataFrame, escalations: DataFrame, functions: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(functions (fid), blind (pkg, item, why)) of a whole change: its items, its loose lines and the packages that run
+    whole. See ``changed_functions``, ``loose.judge_loose`` and ``loose.whole_blind``."""
+    by_item, unseen = changed_functions(items, functions, packages)
+    by_import, outside = judge_loose(loose, packages, functions)
+    blind = unseen.unionByName(outside).unionByName(whole_blind(escalations))
+    return by_item.unionByName(by_import).distinct(), blind
+
+
 def exempt_packages(blind: DataFrame, users: DataFrame) -> DataFrame:
     """(pkg): packages in which nothing is gated: those with blind changes and all that use them."""
     starts = blind.select(F.lit(0).alias("start"), F.col("pkg").alias("node")).distinct()
@@ -53,27 +62,42 @@ def policy_used(requested: str, age: int | None, max_age: int) -> str:
     return "boost" if stale and requested in ("gate", "must") else requested
 
 
-def apply_coverage(candidates: DataFrame, runs: DataFrame, hits: DataFrame, changed: DataFrame, exempt: DataFrame, used: str) -> DataFrame:
-    """``candidates`` (test_id, pkg, must, evidence_kind, evidence_n) with n_hit and gated, and must and evidence changed by
-    coverage.
+def covered_names(runs: DataFrame, hits: DataFrame, changed: DataFrame, functions: DataFrame) -> DataFrame:
+    """(test_id, covered): the names of the changed functions that each test touches, in the order of the functions, without
+    those equal to the one before them. Tests that touch none are absent.
+
+    The changed functions bound a test's list; they meet the hits before anything is grouped.
+    """
+    named = changed.select("fid").distinct().join(functions.select("fid", "name"), "fid")
+    touched = runs.select("test_id", "tid").distinct().join(hits.select("tid", "fid").join(named, "fid"), "tid")
+    lists = touched.groupBy("test_id").agg(F.array_sort(F.collect_set(F.struct("fid", "name"))).alias("x"))
+    return lists.select("test_id", F.transform(F.filter("x", lambda x, i: (i == 0) | (x["name"] != F.get("x", i - 1)["name"])), lambda x: x["name"]).alias("covered"))
+
+
+def apply_coverage(candidates: DataFrame, runs: DataFrame, hits: DataFrame, changed: DataFrame, functions: DataFrame, exempt: DataFrame, used: str) -> DataFrame:
+    """``candidates`` (test_id, pkg, must, evidence_kind, evidence_n, symbols) with covered, n_hit and gated, and must and
+    evidence changed by coverage.
 
     runs(test_id, tid): tests of the map that a candidate stands for, none if coverage is unknown; hits(tid, fid);
-    changed(fid). ``used``: gate leaves out tests that are known to touch nothing, unless something forces them, they have
+    changed(fid); functions(fid, name). covered: the names that ``covered_names`` lists, n_hit how many; null if coverage is
+    unknown, none if the test is known to touch nothing. Evidence by coverage has them as its symbols. ``used``: gate leaves out tests that are known to touch nothing, unless something forces them, they have
     any evidence or their package is exempt; must forces tests that touch something; under all policies touching is evidence
     where there is none.
     """
-    by_test = runs.join(hits, "tid").select("test_id", "fid")
-    touched = hit_functions(by_test, changed, "test_id", "fid")
-    known = runs.select("test_id").distinct().withColumn("_known", F.lit(0).cast("long"))
-    rows = candidates.join(known, "test_id", "left").join(touched, "test_id", "left").withColumn("n_hit", F.coalesce("n_hit", "_known")).drop("_known")
+    touched = covered_names(runs, hits, changed, functions)
+    known = runs.select("test_id").distinct().withColumn("_known", F.array().cast("array<string>"))
+    rows = candidates.join(known, "test_id", "left").join(touched, "test_id", "left").withColumn("covered", F.coalesce("covered", "_known")).drop("_known")
+    rows = rows.withColumn("n_hit", F.when(F.col("covered").isNotNull(), F.size("covered")))
     rows = rows.join(exempt.select("pkg").distinct().withColumn("_exempt", F.lit(True)), "pkg", "left")
     free = F.col("must").isNull() & F.col("evidence_kind").isNull()
     gated = F.lit(used == "gate") & (F.col("n_hit") == 0) & free & F.col("_exempt").isNull()
     covers = (F.col("n_hit") > 0) & F.col("must").isNull()
-    kind = F.when(F.col("evidence_kind").isNull() & covers, "Covered").otherwise(F.col("evidence_kind"))
-    number = F.when(F.col("evidence_kind").isNull() & covers, F.col("n_hit").cast("int")).otherwise(F.col("evidence_n"))
+    fresh = F.col("evidence_kind").isNull() & covers
+    kind = F.when(fresh, "Covered").otherwise(F.col("evidence_kind"))
+    number = F.when(fresh, F.col("n_hit")).otherwise(F.col("evidence_n"))
+    symbols = F.when(fresh, F.col("covered")).otherwise(F.col("symbols"))
     must = F.when(F.lit(used == "must") & covers, "covered").otherwise(F.col("must"))
-    return rows.select(*(c for c in candidates.columns if c not in ("must", "evidence_kind", "evidence_n")), "n_hit", F.coalesce(gated, F.lit(False)).alias("gated"), must.alias("must"), kind.alias("evidence_kind"), number.alias("evidence_n"))
+    return rows.select(*(c for c in candidates.columns if c not in ("must", "evidence_kind", "evidence_n", "symbols")), "covered", "n_hit", F.coalesce(gated, F.lit(False)).alias("gated"), must.alias("must"), kind.alias("evidence_kind"), number.alias("evidence_n"), symbols.alias("symbols"))
 
 
 def map_counts(functions: DataFrame, tests: DataFrame, hits: DataFrame) -> DataFrame:
@@ -91,6 +115,8 @@ def own_source(file: Column) -> Column:
 
 def executed_functions(symbols: DataFrame, items: DataFrame, functions: DataFrame) -> DataFrame:
     """(tid, fid): what tests executed. symbols(tid, symbol); items(symbol, file, key, seq), of which the first counts for
-    each symbol; functions(fid, file, name)."""
+    each symbol; functions(fid, file, name), of which one counts for each file and name: the one of the lowest fid."""
     first = items.groupBy("symbol").agg(F.min_by(F.struct("file", "key"), "seq").alias("x")).select("symbol", "x.file", F.col("x.key").alias("name"))
-    return symbols.join(first, "symbol").join(functions.select("fid", "file", "name"), ["file", "name"]).select("tid", "fid").distinct()
+    one = functions.groupBy("file", "name").agg(F.min("fid").alias("fid"))
+    table = first.join(one, ["file", "name"]).select("symbol", "fid")
+    return symbols.select("tid", "symbol").distinct().join(table, "symbol").select("tid", "fid").distinct()

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -92,17 +92,46 @@ def coverage_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return functions, tests.select("tid", "t.package", "t.binary_id", "t.name"), tests.select("tid", F.explode("t.functions").alias("fid"))
 
 
-def executed_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol) of profile text whose entry counter is above 0.
+def executed_records(records: DataFrame, *keep: str) -> DataFrame:
+    """(keep, symbol): the distinct symbols of profile records (value) whose entry counter is above 0.
 
-    Records stand between blank lines. One that begins with a comment is left out; the first counter stands on the line
-    behind the marker. Lines that begin with a colon don't count.
+    A record that begins with a comment is left out; the first counter stands on the line behind the marker. Lines that
+    begin with a colon don't count.
     """
-    rows = spark.read.text(path, lineSep="\n\n").select(F.filter(F.split("value", "\n"), lambda s: ~s.startswith(":") & (s != "")).alias("l"))
+    rows = records.select(*keep, F.filter(F.split("value", "\n"), lambda s: ~s.startswith(":") & (s != "")).alias("l"))
     marker = F.array_position("l", "# Counter Values:").cast("int")  # from 1; 0 is none
     counter = F.when(marker > 0, F.get("l", marker).try_cast("bigint"))
     first = F.get("l", F.lit(0))
-    return rows.filter(~first.startswith("#") & (counter > 0)).select(first.alias("symbol")).distinct()
+    return rows.filter(~first.startswith("#") & (counter > 0)).select(*keep, first.alias("symbol")).distinct()
+
+
+def executed_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol) of profile text whose entry counter is above 0; records stand between blank lines."""
+    return executed_records(spark.read.text(path, lineSep="\n\n"))
+
+
+def folder_of(path: Column) -> Column:
+    """The name of the folder that a file lies in."""
+    return F.element_at(F.split(path, "/"), -2)
+
+
+#: How a test's folder names it, and the profiles beside it.
+META, PROFILES = "meta.json", "*.proftext"
+
+
+def profile_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(tests (key, package, binary_id, name), executed (key, symbol)) of a folder with one folder for each test that ran.
+
+    A test's folder, named by its key, holds ``meta.json`` and the texts of its profiles; a symbol is executed if any of
+    them has it. A test without profiles, or whose names can't be read, is in neither table. Profiles are cut at blank
+    lines, so a large one is read by several tasks.
+    """
+    deep = spark.read.option("recursiveFileLookup", True)
+    named = deep.option("pathGlobFilter", META).option("multiLine", True).schema("package string, binary_id string, name string").json(path)
+    tests = named.select(folder_of(F.col("_metadata.file_path")).alias("key"), "package", "binary_id", "name").filter("binary_id IS NOT NULL AND name IS NOT NULL")
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", PROFILES).text(path, lineSep="\n\n")
+    records = texts.select(folder_of(F.col("_metadata.file_path")).alias("key"), "value")
+    return tests.join(records.select("key").distinct(), "key", "left_semi"), executed_records(records, "key").join(tests.select("key"), "key", "left_semi")
 
 
 def region_spans(functions: DataFrame) -> DataFrame:
