@@ -51,3 +51,11 @@ def _same(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
     for c in on:
         out = out & (left[c] == right[c])
     return out
+
+
+def meeting(rows: DataFrame, ranges: DataFrame, on: list[str], key: list[str], start: str, end: str, a: str = "a", b: str = "b", size: int = STRETCH) -> DataFrame:
+    """(on, key): the rows whose [start, end] meets a range of the same ``on``, which with ``key`` names a row. They meet by
+    stretch, so a key with most of the ranges is many tasks'."""
+    parts = rows.select(*on, *key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(stretches(F.col(start), F.col(end), size)).alias("_k"))
+    other = ranges.select(*on, F.col(a).alias("_a"), F.col(b).alias("_b"), F.explode(stretches(F.col(a), F.col(b), size)).alias("_k")).distinct()
+    return parts.join(other, (F.col("_a") <= F.col("_e")) & (F.col("_s") <= F.col("_b")) & (parts["_k"] == other["_k"]) & _same(parts, other, on), "left_semi").select(*on, *key).distinct()

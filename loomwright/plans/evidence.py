@@ -40,6 +40,16 @@ def resolved(nodes: DataFrame, refs: DataFrame, scopes: DataFrame) -> DataFrame:
     return local.select("node", F.lit("local").alias("kind"), F.col("target").cast("long").alias("target"), none.alias("owner"), none.alias("name")).unionByName(named).distinct()
 
 
+def unshadowed(refs: DataFrame, bound: DataFrame) -> DataFrame:
+    """``refs`` (node, ref_kind, qual, name, called) without local variables: plain names that are not called where a pattern of
+    the same function, bound(node, name), binds them. Only names in lower case or with _ in front are variables. The
+    result, without ``called`` and repetitions, is what ``resolved`` takes."""
+    local = bound.filter(F.col("name").rlike("^[a-z_]")).select("node", "name").distinct()
+    variable = (F.col("ref_kind") == "plain") & ~F.coalesce(F.col("called"), F.lit(False))
+    kept = refs.filter(variable).join(local, ["node", "name"], "left_anti").select(*refs.columns)
+    return refs.filter(~variable).unionByName(kept).drop("called").distinct()
+
+
 def changed_nodes(items: DataFrame, nodes: DataFrame) -> DataFrame:
     """(file, name, owner, node): changed items with their function in the graph; node is null where the graph has none.
 

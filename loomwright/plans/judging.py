@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -93,15 +94,62 @@ def halved(batch: list, ask_batch: Callable[[list], list | None]) -> list:
     return out
 
 
-def batched_judge(ask_batch: Callable[[list[str]], list[float] | None], batch: int = Settings.judge_batch) -> Judge:
-    """A judge that asks so many questions at a time inside its tasks."""
+class Unavailable(Exception):
+    """A judge that can't answer now, with the status that it gave."""
+
+    def __init__(self, status: int):
+        super().__init__(status)
+        self.status = status
+
+
+#: Statuses that pass: another attempt is worth its while (fixed values).
+PASSING = (429, 503, 529)
+
+
+def retried(ask_batch: Callable[[list], list | None], attempts: int = 3, pause: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> Callable[[list], list | None]:
+    """``ask_batch`` with so many attempts in all while it is ``Unavailable`` for a passing status, the pause between them
+    doubling each time."""
+
+    def asked(batch: list) -> list | None:
+        for n in range(attempts):
+            try:
+                return ask_batch(batch)
+            except Unavailable as refusal:
+                if refusal.status not in PASSING or n + 1 == attempts:
+                    raise
+            sleep(pause * 2**n)
+        return []
+
+    return asked
+
+
+def breaking(ask_batch: Callable[[list], list | None]) -> Callable[[list], list | None]:
+    """``ask_batch`` until it fails once; that batch and all later ones have no answers, and nothing more is asked."""
+    broken = False
+
+    def asked(batch: list) -> list | None:
+        nonlocal broken
+        if not broken:
+            try:
+                return ask_batch(batch)
+            except Exception:  # noqa: BLE001  any failure opens the circuit
+                broken = True
+        return []
+
+    return asked
+
+
+def batched_judge(ask_batch: Callable[[list[str]], list[float] | None], batch: int = Settings.judge_batch, attempts: int = 1, pause: float = 0.5) -> Judge:
+    """A judge that asks so many questions at a time inside its tasks, with so many attempts. After a failure a task asks no
+    more: each has a circuit breaker of its own, and what it leaves has no answer."""
     import pandas as pd
 
     def answer(frames):  # noqa: ANN001, ANN202
+        asked = breaking(retried(ask_batch, attempts, pause))
         for frame in frames:
             for n in range(0, len(frame), batch):
                 part = frame.iloc[n : n + batch]
-                yield pd.DataFrame({"qkey": part["qkey"], "score": pd.array(halved(part["question"].tolist(), ask_batch), dtype="Float64")}).dropna()
+                yield pd.DataFrame({"qkey": part["qkey"], "score": pd.array(halved(part["question"].tolist(), asked), dtype="Float64")}).dropna()
 
     return lambda questions: questions.select("qkey", "question").mapInPandas(answer, "qkey string, score double")
 
@@ -112,3 +160,25 @@ def group_questions(groups: DataFrame, names: DataFrame, most_chars: int = 600)
     own = names.groupBy("file", "module").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("tests"))
     fields = F.struct("file", "module", F.substring("tests", 1, most_chars).alias("tests"))
     return groups.select("file", "module").join(own, ["file", "module"]).select("file", "module", F.to_json(fields).alias("question"))
+
+
+RESPONSE = "answers map<string, struct<noul:double>>, usage struct<input_tokens:bigint,output_tokens:bigint>"
+
+
+def parse_answers(responses: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers (qkey, score), batches (batch, asked, input_tokens, output_tokens, failure)) of responses(batch, text) to
+    questions(batch, place, qkey), places from 0 on.
+
+    A response names its answers by place (t0, t1, ...). A batch counts as a whole: if its response is missing, is no JSON or
+    lacks one of its answers, none of it is taken, failure says why, and its usage is 0.
+    """
+    read = responses.select("batch", F.from_json("text", RESPONSE).alias("r")).select("batch", "r.answers", "r.usage")
+    asked = questions.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("place", "qkey"))).alias("q"))
+    score = lambda x: F.when(~F.isnan(F.col("answers")[F.concat(F.lit("t"), x["place"].cast("string"))]["noul"]), F.col("answers")[F.concat(F.lit("t"), x["place"].cast("string"))]["noul"])
+    rows = asked.join(read.withColumn("_r", F.lit(True)), "batch", "left").withColumn("s", F.transform("q", lambda x: F.struct(x["qkey"].alias("qkey"), score(x).alias("score"))))
+    lacking = F.exists("s", lambda x: x["score"].isNull())
+    failure = F.when(F.col("_r").isNull(), "no response").when(F.col("answers").isNull(), "response without answers").when(lacking, "answers missing")
+    told = rows.withColumn("failure", failure)
+    tokens = lambda k: F.when(F.col("failure").isNull(), F.coalesce(F.col(f"usage.{k}"), F.lit(0))).otherwise(0).cast("long").alias(k)
+    taken = told.filter("failure IS NULL").select(F.explode("s").alias("x")).select("x.qkey", "x.score")
+    return taken, told.select("batch", F.size("q").alias("asked"), tokens("input_tokens"), tokens("output_tokens"), "failure")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import symbol_item
 from ..sources import metadata, readers
-from . import history, loose, mapping
+from . import discovery, evidence, history, judging, loose, manifests, mapping, references
 from .queries import query, t
 
 # Changed ranges and item spans of 40 files, by number of line.
@@ -183,3 +183,96 @@ def s7_package_users(spark, sf):
 SELECT r.w AS workspace, 'crates/c' || start AS dir, coalesce(string_agg('c' || node, ',' ORDER BY 'c' || node) FILTER (node <> start AND c.member), '') AS dependents FROM r JOIN c ON k = node GROUP BY r.w, start""")
 def s8_path_dependencies(spark, sf):
     return metadata.path_dependencies(_metadata(spark, sf)).withColumn("dependents", F.array_join("dependents", ","))
+
+
+# Manifests: one in nine is a root, every kind of change to them, by key.
+_VERDICTS = """SELECT 'm' || p_partkey AS manifest, CASE WHEN p_partkey % 9 = 0 AND p_partkey % 2 = 0 THEN NULL ELSE p_partkey % 40 END AS pkg, p_partkey % 8 AS k,
+CASE WHEN p_partkey % 9 = 0 THEN 'full' ELSE 'whole' END AS harsh, p_partkey % 9 = 0 AND p_partkey % 2 = 0 AS plain FROM part"""
+
+
+@query(f"""WITH v AS ({_VERDICTS}) SELECT manifest, pkg, CASE WHEN k IN (0, 1) THEN 'ignore' WHEN k IN (2, 3) AND NOT plain THEN 'changed' ELSE harsh END AS verdict,
+CASE k WHEN 0 THEN 'only versions of members changed' WHEN 1 THEN 'only versions of members changed' WHEN 2 THEN CASE WHEN plain THEN 'manifest changed: [dependencies.serde]' ELSE 'dependencies changed: [dependencies.serde]' END
+WHEN 3 THEN CASE WHEN plain THEN 'manifest changed: [target.cfg(unix)]' ELSE 'dependencies changed: [target.cfg(unix).dev-dependencies.nix]' END WHEN 4 THEN 'manifest changed: [features.f], [profile.release]'
+WHEN 5 THEN 'manifest added or deleted' WHEN 6 THEN 'manifest does not parse' ELSE 'manifest changed: [edition]' END AS why FROM v""")
+def x20_manifest_verdicts(spark, sf):
+    key = F.col("p_partkey")
+    form = '{"package":{"name":"x","version":"%s"},"workspace":{"dependencies":{"own":{"path":"../own","version":"%s"}}},"dependencies":{"serde":{"version":"%s"},"alias":{"package":"own","path":"../own","version":"%s"}},"target":{"cfg(unix)":{"dev-dependencies":{"nix":"%s"}}},"profile":{"release":{"lto":%s}},"features":{"f":%s},"edition":%s}'
+    old = F.format_string(form, *map(F.lit, ("1", "1", "1", "1", "1", "true", "[]", "2021")))
+    k = key % 8
+    if_ = lambda n, then, other: F.when(k == n, then).otherwise(other)
+    new = F.format_string(form, if_(0, "2", "1"), if_(1, "3", "1"), if_(2, "4", "1"), if_(1, "5", "1"), if_(3, "6", "1"), if_(4, '{"deep":{"er":1}}', "true"), if_(4, '["a"]', "[]"), if_(7, "2024", "2021"))
+    rows = t(spark, sf, "part").select(F.format_string("m%d", key).alias("manifest"), (key % 9 == 0).alias("root"), F.when((key % 9 != 0) | (key % 2 != 0), key % 40).alias("pkg"), old.alias("old"), F.when(k == 6, "{oops").when(k != 5, new).alias("new"))
+    return manifests.manifest_verdicts(rows, spark.createDataFrame([("own",), ("x",)], "name string"))
+
+
+_BATCHES = """SELECT l_orderkey AS batch, count(*) AS n, CASE WHEN l_orderkey % 7 = 0 THEN 'no response' WHEN l_orderkey % 7 = 1 OR (l_orderkey % 7 = 2 AND count(*) > 2) THEN 'answers missing' WHEN l_orderkey % 7 = 3 THEN 'response without answers' END AS failure FROM lineitem GROUP BY l_orderkey"""
+
+
+def _responses(spark, sf):
+    order, place = F.col("l_orderkey"), F.col("place")
+    placed = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("q"))
+    questions = placed.select(order.alias("batch"), F.posexplode("q").alias("place", "x")).select("batch", "place", F.concat_ws("-", F.col("batch").cast("string"), place.cast("string")).alias("qkey"))
+    answer = lambda x, i: F.format_string('"t%d":{"noul":%s}', F.when((order % 7 == 2) & (i == 2), 99).otherwise(i), F.when((order % 7 == 1) & (i == 0), '"high"').otherwise(F.format_string("0.%d5", i)))
+    body = F.array_join(F.transform("q", answer), ",")
+    text = F.when(order % 7 == 3, "{oops").otherwise(F.format_string('{"answers":{%s},"usage":{"input_tokens":%d,"output_tokens":3}}', body, F.size("q")))
+    return placed.filter(order % 7 != 0).select(order.alias("batch"), text.alias("text")), questions
+
+
+@query(f"WITH b AS ({_BATCHES}), q AS (SELECT l_orderkey AS batch, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS place FROM lineitem) SELECT batch || '-' || place AS qkey, CAST('0.' || place || '5' AS DOUBLE) AS score FROM q JOIN b USING (batch) WHERE failure IS NULL")
+def x23_answers(spark, sf):
+    return judging.parse_answers(*_responses(spark, sf))[0]
+
+
+@query(f"WITH b AS ({_BATCHES}) SELECT batch, n::INTEGER AS asked, CASE WHEN failure IS NULL THEN n ELSE 0 END::BIGINT AS input_tokens, CASE WHEN failure IS NULL THEN 3 ELSE 0 END::BIGINT AS output_tokens, failure FROM b")
+def x23_batches(spark, sf):
+    return judging.parse_answers(*_responses(spark, sf))[1]
+
+
+@query("""WITH r AS (SELECT l_orderkey AS node, CASE l_partkey % 3 WHEN 0 THEN 'method' ELSE 'plain' END AS ref_kind, CASE WHEN l_suppkey % 2 = 0 THEN 'v' ELSE 'V' END || (l_suppkey % 6) AS name, l_linenumber = 1 AS called FROM lineitem),
+b AS (SELECT o_orderkey AS node, CASE WHEN o_custkey % 2 = 0 THEN 'v' ELSE 'V' END || (o_custkey % 6) AS name FROM orders)
+SELECT DISTINCT node, ref_kind, name FROM r WHERE ref_kind = 'method' OR called OR NOT (prefix(name, 'v') AND EXISTS (SELECT 1 FROM b WHERE b.node = r.node AND b.name = r.name))""")
+def f12_unshadowed(spark, sf):
+    name = lambda c: F.concat(F.when(F.col(c) % 2 == 0, "v").otherwise("V"), (F.col(c) % 6).cast("string"))
+    refs = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node"), F.when(F.col("l_partkey") % 3 == 0, "method").otherwise("plain").alias("ref_kind"), F.lit(None).cast("string").alias("qual"), name("l_suppkey").alias("name"), (F.col("l_linenumber") == 1).alias("called"))
+    return evidence.unshadowed(refs, t(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), name("o_custkey").alias("name"))).select("node", "ref_kind", "name")
+
+
+@query(f"""WITH f AS (SELECT doc_id, source AS pkg, {_FILE} AS path FROM documents), s AS (SELECT f.*, CAST(substr(pkg, 4) AS INTEGER) % 3 AS depth FROM f WHERE CAST(substr(pkg, 4) AS INTEGER) % 4 <> 0),
+u AS (SELECT DISTINCT pkg FROM s WHERE doc_id % 97 = 0), e AS (SELECT s.*, unnest(range(0, 1 + doc_id % 3)) AS seq FROM s WHERE doc_id % 97 <> 0)
+SELECT row_number() OVER (ORDER BY depth, pkg, path, seq) AS position, pkg, depth, path AS file, seq, 't' || seq AS name, CASE WHEN doc_id % 5 = 0 AND seq * 5000 <= 7000 AND seq * 5000 + 3000 >= 5500 THEN 'changed' WHEN pkg = 'src5' OR pkg IN (FROM u) THEN 'package' END AS must FROM e""")
+def d6_candidates(spark, sf):
+    files, key = _files(spark, sf), F.col("doc_id")
+    packages = files.select("pkg", F.col("pkg").alias("name"), F.col("pkg").alias("dir")).distinct()
+    number = F.substring("pkg", 4, 9).cast("int")
+    tests = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), key % 3)).alias("seq")).select("path", "seq", (F.col("seq") * 5_000).alias("start"), (F.col("seq") * 5_000 + 3_000).alias("end"), F.lit("m").alias("module"), F.format_string("t%d", "seq").alias("name"))
+    ranges = files.filter(key % 5 == 0).select("path", F.lit(5_500).alias("a"), F.lit(7_000).alias("b"))
+    whole = packages.filter("pkg = 'src5'").select("pkg")
+    found, _ = discovery.candidate_tests(files, packages, packages.filter(number % 4 != 0).select("pkg", (number % 3).alias("hops")), tests, ranges, whole, files.filter(key % 97 == 0).select("path"))
+    return found.select("position", "pkg", "depth", "file", "seq", "name", "must")
+
+
+@query("""WITH k AS (SELECT 'f/p' || p_partkey || '.rs' AS path, CASE WHEN p_size % 5 <> 0 THEN p_size % 4 END AS lines, p_partkey % 3 = 0 AS changed, regexp_matches('f/p' || p_partkey || '.rs', '^f/p(4.*|1|2|3|5)\\.rs$') AS asked, p_partkey IN (1, 2, 3, 5) AS named FROM part)
+SELECT path, CASE WHEN changed THEN 'added' ELSE 'modified' END AS status, CASE WHEN changed THEN '7-9' WHEN lines IS NULL THEN '' ELSE '1-' || greatest(lines, 1) END AS ranges FROM k WHERE (changed AND asked) OR (named AND NOT changed)
+UNION ALL SELECT 'g/d/' || s_suppkey, 'added', '7-9' FROM supplier""")
+def f3_restricted(spark, sf):
+    place = lambda name, key: F.format_string(name, key)
+    files = t(spark, sf, "part").select("p_partkey", place("f/p%d.rs", F.col("p_partkey")).alias("path"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 4).alias("lines"))
+    paths = files.filter("p_partkey % 3 = 0").select("path").union(t(spark, sf, "supplier").select(place("g/d/%d", F.col("s_suppkey")))).union(t(spark, sf, "supplier").select(place("h/d/%d", F.col("s_suppkey"))))
+    ranges = F.array(F.struct(F.lit(7).alias("a"), F.lit(9).alias("b")))
+    changes = paths.select(F.lit(None).cast("string").alias("old_path"), F.col("path").alias("new_path"), F.lit("added").alias("status"), ranges.alias("old_ranges"), ranges.alias("new_ranges"))
+    found = discovery.restrict(changes, ["./f/p1.rs", "f/p2.rs/", "f/p3.rs", "f/p4*.rs", "f/p5.rs", "g", "nowhere.rs", "f/p1.rs"], files)
+    return found.select(F.col("new_path").alias("path"), "status", F.array_join(F.transform("new_ranges", lambda r: F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string"))), ",").alias("ranges"))
+
+
+@query("""WITH o AS (SELECT 'data/d' || (p_partkey % 300) || '/f' || p_size AS file, p_partkey % 300 AS d, p_size FROM part WHERE p_size % 5 = 0), f AS (SELECT DISTINCT * FROM o),
+n AS (SELECT DISTINCT file, s_suppkey % 10 AS pkg FROM f JOIN supplier ON s_suppkey % 300 = d AND p_size = 25)
+SELECT 'full' AS mode, file, 'full' AS kind, CAST(NULL AS BIGINT) AS pkg FROM f UNION ALL SELECT 'ignore', file, 'ignored', NULL FROM f UNION ALL SELECT 'referenced', file, 'whole', pkg FROM n UNION ALL SELECT 'referenced', file, 'ignored', NULL FROM f WHERE file NOT IN (SELECT file FROM n)""")
+def d3_outside_modes(spark, sf):
+    files = t(spark, sf, "part").filter("p_size % 5 = 0").select(F.format_string("data/d%d/f%d", F.col("p_partkey") % 300, "p_size").alias("file"), F.lit(False).alias("gitlink")).distinct()
+    literals = t(spark, sf, "supplier").select((F.col("s_suppkey") % 10).alias("pkg"), F.lit("a.rs").alias("path"), F.lit(3).alias("line"), F.format_string("see ../d%d/f25 here", F.col("s_suppkey") % 300).alias("text"))
+    found = None
+    for mode in ("full", "ignore", "referenced"):
+        escalations, ignored = references.outside_paths(files, mode, literals)
+        rows = escalations.select(F.lit(mode).alias("mode"), "file", "kind", "pkg").unionByName(ignored.select(F.lit(mode).alias("mode"), "file", F.lit("ignored").alias("kind"), F.lit(None).cast("long").alias("pkg")))
+        found = rows if found is None else found.unionByName(rows)
+    return found

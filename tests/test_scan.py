@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import scalars as X
 from loomwright.operators import graph, intervals
-from loomwright.plans import coverage, history, loose, mapping
+from loomwright.plans import coverage, discovery, evidence, history, judging, loose, manifests, mapping, references
 from loomwright.sources import metadata, readers
 
 
@@ -195,3 +195,129 @@ def test_ages_of_maps(spark):
     assert listed(found, "map_id", "age", "used") == [("a", 2, "gate"), ("b", 2, "boost"), ("c", None, "boost"), ("d", 0, "gate"), ("e", 3, "boost"), ("f", 1, "boost")]
     why = dict(listed(found, "map_id", "reason"))
     assert why["a"] is None and why["e"] is None and why["b"] == "stale map (2 commits behind, at most 1 allowed): must → boost" and why["f"].startswith("stale map (1 commit behind") and "not in the head's history" in why["c"]
+
+
+# manifests
+
+
+def test_leaves_of_variants(spark):
+    text = '{"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}, "x": [1, {"y": 2}], "n": null, "s": "t", "o": {}}'
+    found = manifests.leaves(spark.createDataFrame([(1, text), (2, "[1]"), (3, "{oops"), (4, None), (5, "{}")], "id int, text string"), ["id"])
+    assert listed(found, "id", "keys", "value") == sorted([(1, ["a", "b", "c", "d", "e"], '{"f":1}'), (1, ["x"], '[1,{"y":2}]'), (1, ["n"], "null"), (1, ["s"], '"t"'), (1, ["o"], "{}")], key=repr)
+
+
+def test_verdicts_of_manifests(spark):
+    base = {"package": {"name": "p", "version": "1"}, "dependencies": {"lib": {"version": "1", "path": "../lib"}, "alias": {"package": "lib", "version": "1", "path": "../lib"}, "far": {"version": "1"}}, "target": {"cfg(unix)": {"dependencies": {"lib": {"version": "1", "path": "x"}}}}}
+
+    def changed(*path, to=None):
+        doc = json.loads(json.dumps(base))
+        at = doc
+        for k in path[:-1]:
+            at = at.setdefault(k, {})
+        if to is None:
+            at.pop(path[-1])
+        else:
+            at[path[-1]] = to
+        return json.dumps(doc)
+
+    old = json.dumps(base)
+    cases = {
+        "same": (False, 1, old, old, "ignore", None), "bump": (False, 1, old, changed("package", "version", to="2"), "ignore", None), "member": (False, 1, old, changed("dependencies", "alias", "version", to="2"), "ignore", None),
+        "target": (False, 1, old, changed("target", "cfg(unix)", "dependencies", "lib", "version"), "ignore", None), "moved": (False, 1, old, changed("dependencies", "lib", "path", to="../l"), "changed", "[dependencies.lib]"),
+        "dep": (False, 1, old, changed("dependencies", "far", "version", to="2"), "changed", "[dependencies.far]"), "gone": (False, 1, old, changed("target"), "changed", "[target.cfg(unix).dependencies]"), "both": (False, 1, old, changed("edition", to="x"), "whole", "[edition]"),
+        "pure": (True, None, old, changed("dependencies", "far", "version", to="2"), "full", "[dependencies.far]"), "rooted": (True, 3, old, changed("dependencies", "far", "version", to="2"), "changed", "[dependencies.far]"), "new": (True, 3, None, old, "full", "added"), "bad": (False, 1, old, "[", "whole", "parse"), "list": (False, 1, old, "[1]", "whole", "parse"),
+    }
+    rows = spark.createDataFrame([(k, *v[:4]) for k, v in cases.items()], "manifest string, root boolean, pkg int, old string, new string")
+    found = {r["manifest"]: (r["verdict"], r["why"]) for r in manifests.manifest_verdicts(rows, spark.createDataFrame([("lib",), ("p",)], "name string")).collect()}
+    assert {k: v[0] for k, v in found.items()} == {k: v[4] for k, v in cases.items()}
+    assert all(v[5] is None or v[5] in found[k][1] for k, v in cases.items()), found
+
+
+# answers, judges, shadowing, discovery, path arguments
+
+
+def test_a_batch_answers_as_a_whole(spark):
+    questions = spark.createDataFrame([(b, p, f"{b}{p}") for b in "abcdefg" for p in (0, 1)], "batch string, place int, qkey string")
+    texts = [("a", '{"answers":{"t1":{"noul":0.25},"t0":{"noul":1}},"usage":{"input_tokens":7}}'), ("b", '{"answers":{"t0":{"noul":0.5}},"usage":{"input_tokens":7}}'), ("c", "{oops"), ("d", '{"answers":{"t0":{"noul":"0.5"},"t1":{"noul":0.5}}}'), ("e", '{"answers":{"t0":{"noul":0.5},"t1":{"noul":0.5},"t2":{"noul":9}}}'), ("f", "{}")]
+    answers, batches = judging.parse_answers(spark.createDataFrame(texts, "batch string, text string"), questions)
+    assert listed(answers, "qkey", "score") == [("a0", 1.0), ("a1", 0.25), ("e0", 0.5), ("e1", 0.5)]
+    assert listed(batches, "batch", "asked", "input_tokens", "failure")[:4] == [("a", 2, 7, None), ("b", 2, 0, "answers missing"), ("c", 2, 0, "response without answers"), ("d", 2, 0, batches.filter("batch = 'd'").first()["failure"])]
+    assert all(f for b, f in listed(batches, "batch", "failure") if b in "bcdfg")
+
+
+def test_attempts_and_the_circuit_breaker():
+    pauses, calls = [], []
+
+    def judge(answers):
+        def ask(batch):
+            calls.append(list(batch))
+            found = answers.pop(0)
+            if isinstance(found, int):
+                raise judging.Unavailable(found)
+            return found
+
+        return ask
+
+    assert judging.retried(judge([503, 429, [1.0]]), sleep=pauses.append)(["q"]) == [1.0] and pauses == [0.5, 1.0]
+    for statuses, n in (([503, 503, 503, [1.0]], 3), ([400, [1.0]], 1)):
+        calls.clear()
+        with pytest.raises(judging.Unavailable):
+            judging.retried(judge(statuses), sleep=lambda s: None)(["q"])
+        assert len(calls) == n
+    calls.clear()
+    asked = judging.breaking(judge([[0.5], 500, [0.7]]))
+    assert [asked([k]) for k in "abc"] == [[0.5], [], []] and calls == [["a"], ["b"]]
+
+
+def test_a_failing_judge_is_asked_once_a_task(spark):
+    def ask(batch):
+        if "q3" in batch:
+            raise judging.Unavailable(500)
+        return [0.5] * len(batch)
+
+    questions = spark.createDataFrame([(f"k{n}", f"q{n}") for n in range(6)], "qkey string, question string").coalesce(1)
+    assert listed(judging.batched_judge(ask, batch=2)(questions), "qkey") == [("k0",), ("k1",)]
+
+
+def test_shadowed_names_fall_before_resolution(spark):
+    refs = [(1, "plain", None, "len", False), (1, "plain", None, "len", False), (1, "plain", None, "call", True), (1, "plain", None, "call", False), (1, "plain", None, "Type", False), (1, "method", None, "len", False), (2, "plain", None, "len", None), (2, "plain", None, "free", False)]
+    bound = spark.createDataFrame([(1, "len"), (1, "call"), (1, "Type"), (2, "other")], "node long, name string")
+    kept = evidence.unshadowed(spark.createDataFrame(refs, "node long, ref_kind string, qual string, name string, called boolean"), bound)
+    assert listed(kept, "node", "ref_kind", "name") == [(1, "method", "len"), (1, "plain", "Type"), (1, "plain", "call"), (2, "plain", "free"), (2, "plain", "len")]
+    nodes = spark.createDataFrame([(1, "a", 0, "f", None, False), (2, "a", 0, "g", None, False), (3, "a", 0, "len", None, False), (4, "a", 0, "call", None, False)], "node long, file string, scope int, name string, owner string, is_test boolean")
+    scopes = spark.createDataFrame([("a", 0, 0, 0)], "file string, scope int, ancestor int, hops int")
+    assert listed(evidence.resolved(nodes, kept, scopes).filter("kind = 'local'"), "node", "target") == [(1, 4), (2, 3)]
+
+
+def test_from_tests_and_reach_to_candidates(spark):
+    files = spark.createDataFrame([(p,) for p in ("a/src/lib.rs", "a/src/bad.rs", "b/tests/t.rs", "b/benches/x.rs", "b/target/y.rs", "c/src/lib.rs", "d/src/lib.rs", "d/README.md")], "path string")
+    packages = spark.createDataFrame([(1, "zeta", "a"), (2, "beta", "b"), (3, "gamma", "c"), (4, "delta", "d")], "pkg int, name string, dir string")
+    tests = spark.createDataFrame([("d/src/lib.rs", 0, 1, 9000, "", "d0"), ("a/src/lib.rs", 0, 1, 5, "m", "a0"), ("a/src/lib.rs", 1, 6, 9, "m", "a1"), ("a/src/bad.rs", 0, 1, 2, "", "lost"), ("b/tests/t.rs", 0, 1, 2, "", "b0"), ("b/benches/x.rs", 0, 1, 2, "", "x"), ("c/src/lib.rs", 0, 1, 2, "", "c0")], "path string, seq int, start int, end int, module string, name string")
+    ranges = spark.createDataFrame([("a/src/lib.rs", 9, 20), ("d/src/lib.rs", 8_500, 8_600), ("b/tests/t.rs", 3, 3)], "path string, a int, b int")
+    reached = spark.createDataFrame([(1, 0), (2, 1), (4, 1)], "pkg int, hops int")
+    whole, broken = spark.createDataFrame([(4,)], "pkg int"), spark.createDataFrame([("a/src/bad.rs",), ("c/src/lib.rs",)], "path string")
+    found, more = discovery.candidate_tests(files, packages, reached, tests, ranges, whole, broken)
+    assert listed(found, "position", "depth", "name", "must") == [(1, 0, "a0", "package"), (2, 0, "a1", "changed"), (3, 1, "b0", None), (4, 1, "d0", "changed")]
+    assert listed(more, "pkg", "file") == [(1, "a/src/bad.rs")]
+
+
+def test_path_arguments(spark):
+    kind = "array<struct<a:int,b:int>>"
+    changes = spark.createDataFrame([("x.rs", "x.rs", "modified", [(1, 2)], [(3, 4)], 5), ("old/y.rs", "new/y.rs", "renamed", [], [], 6), ("z.rs", None, "deleted", [(1, 1)], [], 7)], f"old_path string, new_path string, status string, old_ranges {kind}, new_ranges {kind}, extra int")
+    files = spark.createDataFrame([("x.rs", 9), ("one.rs", 12), ("empty.rs", 0), ("pic.png", None), ("dir/f.rs", 3)], "path string, lines int")
+    of = lambda *patterns: listed(discovery.restrict(changes, list(patterns), files).withColumn("r", F.col("new_ranges").cast("string")), "old_path", "new_path", "status", "r", "extra")
+    assert of("x.rs", "./one.rs", "empty.rs", "pic.png", "none.rs", "dir") == [("empty.rs", "empty.rs", "modified", "[{1, 1}]", None), ("one.rs", "one.rs", "modified", "[{1, 12}]", None), ("pic.png", "pic.png", "modified", "[]", None), ("x.rs", "x.rs", "modified", "[{3, 4}]", 5)]
+    assert [r[1] for r in of("old/")] == ["new/y.rs"] and [r[1] for r in of("*.rs")] == ["new/y.rs", "x.rs", None]
+    assert of("dir/*.rs") == []
+
+
+def test_outside_paths_by_mode(spark):
+    files = spark.createDataFrame([("data/model.json", False), ("data/lost.json", False)], "file string, gitlink boolean")
+    literals = spark.createDataFrame([(1, "b.rs", 3, "../data/model.json"), (1, "a.rs", 9, "model.json"), (2, "c.rs", 1, "x")], "pkg int, path string, line int, text string")
+    modes = {m: references.outside_paths(files, m, literals) for m in ("full", "ignore", "referenced")}
+    assert listed(modes["full"][0], "file", "kind", "pkg") == [("data/lost.json", "full", None), ("data/model.json", "full", None)] and modes["full"][1].count() == 0
+    assert modes["ignore"][0].count() == 0 and listed(modes["ignore"][1], "file") == [("data/lost.json",), ("data/model.json",)]
+    assert listed(modes["referenced"][0], "file", "kind", "pkg", "why") == [("data/model.json", "whole", 1, 'reads data/model.json ("model.json" at a.rs:9)')]
+    assert listed(modes["referenced"][1], "file") == [("data/lost.json",)]
+    with pytest.raises(ValueError):
+        references.outside_paths(files, "some", literals)
