@@ -24,8 +24,8 @@ def capped_top(rows: DataFrame, view: str, score: Column, position: str, top_n:
 
 
 def within_budget(rows: DataFrame, position: str, cost: int, budget: int) -> DataFrame:
-    """The first rows whose equal costs fit the budget; a row is taken whole or not."""
-    return rows.orderBy(position).limit(budget // cost)
+    """The first rows whose equal costs fit the budget; a row is taken whole or not. A budget of any size is dealt by ranges."""
+    return numbered(rows, position).filter(F.col("number") <= budget // cost).drop("number")
 
 
 def numbered(rows: DataFrame, *order: str | Column, within: str | None = None) -> DataFrame:
@@ -53,8 +53,8 @@ def max_cap(rows: DataFrame, selected: str, forced: str, key: str, position: str
     return _first(rows, open_, over, "capped", F.col(key), F.col(position).desc()).withColumn(selected, F.col(selected) & ~F.col("capped"))
 
 
-def min_pad(rows: DataFrame, selected: str, key: str, position: str, least: int) -> DataFrame:
-    """``rows`` with selected filled up to ``least``: highest keys first, of equal keys earlier positions."""
+def min_pad(rows: DataFrame, selected: str, key: str, position: str, least: int | Column) -> DataFrame:
+    """``rows`` with selected filled up to ``least`` (a number, or an aggregate of the rows): highest keys first, of equal keys earlier positions."""
     short = rows.agg((least - F.count_if(selected)).alias("_over"))  # one row
     return _first(rows, ~F.col(selected), short, "padded", F.col(key).desc(), F.col(position)).withColumn(selected, F.col(selected) | F.col("padded"))
 

@@ -70,9 +70,11 @@ def lock_causes(old: DataFrame, new: DataFrame, members: DataFrame, most: int =
     keys = mine.select(F.struct("name", F.lit("").alias("version"), F.lit("").alias("source")).alias("node"))
     hits = ours.select(F.col("name").alias("member"), F.lit("its own dependencies").alias("what"))
     names = version_sets(theirs)
-    for side, entries in (("old", old), ("new", new)):
-        starts = theirs.filter(F.col("side") == side).select(F.struct(*KEY).alias("node"))
-        found = dependents_of(starts, cut(entry_users(entries)), keys).select(F.col("node.name").alias("member"), F.col("start.name").alias("name"))
-        hits = hits.unionByName(found.join(names, "name").select("member", "what"))
+    sided = lambda side, key: F.struct(side.alias("side"), key.alias("key"))
+    users = [entry_users(e).select(sided(F.lit(s), F.col("src")).alias("src"), sided(F.lit(s), F.col("dst")).alias("dst")) for s, e in (("old", old), ("new", new))]
+    starts = theirs.select(sided(F.col("side"), F.struct(*KEY)).alias("node"))
+    ends = keys.select(F.explode(F.array(*(sided(F.lit(s), F.col("node")) for s in ("old", "new")))).alias("node"))
+    found = dependents_of(starts, cut(users[0].unionByName(users[1])), ends)  # both sides in one walk
+    hits = hits.unionByName(found.select(F.col("node.key.name").alias("member"), F.col("start.key.name").alias("name")).join(names, "name").select("member", "what"))
     lists = hits.groupBy("member").agg(F.array_sort(F.collect_set("what")).alias("what"))
     return lists.select("member", F.concat(F.lit("lock: "), and_more(F.col("what"), most)).alias("why"))

@@ -45,12 +45,12 @@ def bonus(settings: Settings, boosting: bool) -> Column:
 def rank_views(candidates: DataFrame, settings: Settings) -> DataFrame:
     """Candidates with score, rank_names, rank_body and the caps of both views, which count what the view ranked."""
     rows = candidates.withColumn("score", view_score(F.col("names"), F.col("body"), F.col("bonus")))
-    for view in ("names", "body"):
-        seen = F.col(view).isNotNull()
-        ranked = numbered(rows.filter(seen), F.least(F.col(view) + F.col("bonus"), F.lit(1.0)).desc(), F.col("test_id")).withColumnRenamed("number", f"rank_{view}")
-        cap = rows.agg(F.least(F.lit(settings.top_n), F.ceil(F.lit(settings.top_fraction) * F.count(view))).alias(f"cap_{view}"))
-        rows = ranked.unionByName(rows.filter(~seen).withColumn(f"rank_{view}", F.lit(None).cast("long"))).crossJoin(F.broadcast(cap))  # the cap is one row
-    return rows
+    views = ("names", "body")
+    each = rows.select("test_id", F.inline(F.array(*(F.struct(F.lit(v).alias("view"), F.least(F.when(F.col(v).isNotNull(), F.col(v) + F.col("bonus")), F.when(F.col(v).isNotNull(), F.lit(1.0))).alias("s")) for v in views))))
+    placed = numbered(each.filter("s IS NOT NULL"), F.col("s").desc(), F.col("test_id"), within="view")  # both views at once
+    ranks = placed.groupBy("test_id").agg(*(F.max(F.when(F.col("view") == v, F.col("number"))).alias(f"rank_{v}") for v in views))
+    caps = rows.agg(*(F.least(F.lit(settings.top_n), F.ceil(F.lit(settings.top_fraction) * F.count(v))).alias(f"cap_{v}") for v in views))
+    return rows.join(ranks, "test_id", "left").crossJoin(F.broadcast(caps))  # the caps are one row
 
 
 def reasons(settings: Settings, judge_on: bool, judge_failed: bool) -> Column:

@@ -75,7 +75,7 @@ def w4_max_cap(spark, sf):
 SELECT s.s_suppkey, sel OR coalesce(r <= n, false) AS sel, coalesce(r <= n, false) AS padded FROM s CROSS JOIN n LEFT JOIN r USING (s_suppkey)""")
 def w5_min_pad(spark, sf):
     rows = _suppliers(spark, sf)
-    return ranking.min_pad(rows, "sel", "s_acctbal", "s_suppkey", rows.filter("sel").count() + 5).select("s_suppkey", "sel", "padded")
+    return ranking.min_pad(rows, "sel", "s_acctbal", "s_suppkey", F.count_if("sel") + 5).select("s_suppkey", "sel", "padded")
 
 
 @query("SELECT CAST(floor((r - 1) / 100) AS BIGINT) AS batch, count(*) AS n, min(conv_id) AS first_conv FROM (SELECT conv_id, row_number() OVER (ORDER BY conv_id, turn) AS r FROM conversations) GROUP BY 1")

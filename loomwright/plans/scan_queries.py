@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import symbol_item
+from ..functions.scalars import clean_owner, symbol_item
 from ..sources import metadata, readers
-from . import discovery, evidence, history, judging, loose, manifests, mapping, references
+from . import discovery, emission, evidence, history, judging, loose, manifests, mapping, references
 from .queries import query, t
 
 # Changed ranges and item spans of 40 files, by number of line.
@@ -276,3 +276,63 @@ def d3_outside_modes(spark, sf):
         rows = escalations.select(F.lit(mode).alias("mode"), "file", "kind", "pkg").unionByName(ignored.select(F.lit(mode).alias("mode"), "file", F.lit("ignored").alias("kind"), F.lit(None).cast("long").alias("pkg")))
         found = rows if found is None else found.unionByName(rows)
     return found
+
+
+_EMISSION = """c AS (SELECT c_nationkey AS pkg, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'm' || (c_custkey % 2) END AS module, 't' || (c_custkey % 20) AS name, c_custkey % 11 = 0 AS fresh, c_custkey % 5 = 0 OR c_custkey % 11 = 0 AS selected FROM customer),
+r AS (SELECT n_nationkey AS pkg, n_name AS name, n_regionkey AS hops, n_nationkey % 6 = 0 AS whole FROM nation WHERE n_nationkey % 4 <> 1),
+n AS (SELECT pkg, string_agg(DISTINCT c.name, '|' ORDER BY c.name) FILTER (selected) AS names, string_agg(DISTINCT c.name, '|' ORDER BY c.name) FILTER (fresh) AS changed FROM c GROUP BY pkg),
+s AS (SELECT hops, r.name, CASE WHEN whole THEN 'package(=' || r.name || ')' ELSE 'package(=' || r.name || ') & test(/(^|::)(' || names || ')($|::)/)' END AS term, CASE WHEN NOT whole THEN 'package(=' || r.name || ') & test(/(^|::)(' || changed || ')($|::)/)' END AS changed
+  FROM r LEFT JOIN n ON n.pkg = r.pkg WHERE whole OR names IS NOT NULL)"""
+
+
+def _emission(spark, sf):
+    key = F.col("c_custkey")
+    candidates = t(spark, sf, "customer").select(F.col("c_nationkey").alias("pkg"), F.when(key % 3 == 0, "").otherwise(F.format_string("m%d", key % 2)).alias("module"), F.format_string("t%d", key % 20).alias("name"), F.when(key % 11 == 0, "changed").alias("must"), ((key % 5 == 0) | (key % 11 == 0)).alias("selected"))
+    nation = t(spark, sf, "nation").select(F.col("n_nationkey").alias("pkg"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("hops"))
+    return candidates, nation.filter("pkg % 4 <> 1").select("pkg", "hops"), nation.select("pkg", "name"), nation.filter("pkg % 6 = 0").select("pkg")
+
+
+@query(f"WITH {_EMISSION} SELECT hops, name, term, changed FROM s")
+def d14_package_terms(spark, sf):
+    return emission.package_terms(*_emission(spark, sf))
+
+
+@query(f"""WITH {_EMISSION}, a AS (SELECT string_agg('(' || term || ')', ' | ' ORDER BY hops, name) AS chosen, string_agg('(' || changed || ')', ' | ' ORDER BY hops, name) AS fresh, string_agg('-p ' || name, ' ' ORDER BY hops, name) AS ps FROM s)
+SELECT '((' || chosen || ') & not (test(slow) | test(flaky)))' || coalesce(' | ' || fresh, '') || ' | (package(=extra) & test(x))' AS filter, 'cargo nextest run ' || ps || ' -p extra -E' AS command FROM a""")
+def d14_filter_plan(spark, sf):
+    plan = emission.filter_plan(emission.package_terms(*_emission(spark, sf)), ("test(slow)", "test(flaky)"), ("package(=extra) & test(x)",))
+    return plan.select("filter", F.array_join(F.slice("command", 1, F.size("command") - 1), " ").alias("command"))
+
+
+@query(f"""WITH {_EMISSION}, f AS (SELECT pkg, string_agg(DISTINCT CASE WHEN module = '' THEN name ELSE module || '::' || name END, ' ' ORDER BY CASE WHEN module = '' THEN name ELSE module || '::' || name END) AS tests FROM c WHERE selected GROUP BY pkg)
+SELECT hops, r.name, 'cargo test -p ' || r.name || ' --quiet' || CASE WHEN whole OR r.name = 'NATION_3' THEN '' ELSE ' -- ' || tests END AS command FROM r LEFT JOIN f ON f.pkg = r.pkg WHERE whole OR r.name = 'NATION_3' OR tests IS NOT NULL
+UNION ALL SELECT NULL, 'a b', 'cargo test -p ''a b'' --quiet'""")
+def d14_package_commands(spark, sf):
+    candidates, reached, packages, whole = _emission(spark, sf)
+    commands = emission.package_commands(candidates, reached, packages, whole, ("package(=NATION_3)", "package(=a b) | package(=NATION_3)"), more=("--quiet",))
+    return commands.select("hops", "name", emission.command_line(F.col("command")).alias("command"))
+
+
+@query("SELECT o_orderkey, regexp_replace(regexp_replace(o_orderpriority, '^[0-9]-', ''), ' ', '_', 'g') AS owner FROM orders")
+def x4_clean_owner(spark, sf):
+    bare = F.regexp_replace(F.regexp_replace("o_orderpriority", "^[0-9]-", ""), " ", "_")
+    forms = F.element_at(F.array(F.concat(F.lit("&'a mut x::"), bare), F.concat(F.lit("r#"), bare), F.concat(F.lit("dyn a::"), bare, F.lit("<b::c>"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return t(spark, sf, "orders").select("o_orderkey", clean_owner(forms).alias("owner"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS diff_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey % 6, l_suppkey % 4 = 0) - 1 AS place, l_partkey AS p, l_suppkey % 6 AS k, l_suppkey % 4 = 0 AS sub FROM lineitem)
+SELECT diff_id, place::INTEGER AS place, CASE WHEN k IN (0, 1) THEN NULL WHEN k = 3 THEN 'old/o' || p || '.rs' ELSE 'n/é' || place || '.rs' END AS old_path, CASE WHEN k <> 2 THEN 'n/é' || place || '.rs' END AS new_path,
+  CASE k WHEN 0 THEN 'added' WHEN 1 THEN 'added' WHEN 2 THEN 'deleted' WHEN 3 THEN 'renamed' ELSE 'modified' END AS status, CASE WHEN k = 5 THEN '' ELSE '3-4' END AS old_ranges, CASE WHEN k = 5 THEN '' ELSE (p % 50 + 1) || '-' || (p % 50 + 2) || ',90-90' END AS new_ranges, sub AS gitlink FROM l
+UNION ALL SELECT o_orderkey, NULL, NULL, 'u/x' || o_custkey || '.rs', 'untracked', '', '1-' || greatest(o_custkey % 9, 1), false FROM orders WHERE o_orderkey % 5 = 0""")
+def s3_changed_files(spark, sf):
+    lines = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("p"), (F.col("l_suppkey") % 6).alias("k"), (F.col("l_suppkey") % 4 == 0).alias("sub")))).alias("q"))
+    name = lambda i: F.format_string("n/\\303\\251%d.rs", i)  # noqa: E731  quoted as a diff quotes it
+    code = lambda k: F.element_at(F.array(*map(F.lit, ("A", "C75", "D", "R090", "M", "T"))), (k + 1).cast("int"))
+    raw = lambda x, i: F.concat(F.lit(":100644 "), F.when(x["sub"], "160000").otherwise("100644"), F.lit(" aaa bbb "), code(x["k"]), F.when(x["k"].isin(1, 3), F.format_string("\told/o%d.rs", x["p"])).otherwise(""), F.lit('\t"'), name(i), F.lit('"\n'))
+    hunks = lambda x: F.when(x["k"] == 5, "").otherwise(F.format_string("@@ -3,2 +%d,2 @@ fn\n+--- a/x\n+++ b/y\n@@ -8,0 +90 @@\n", x["p"] % 50 + 1))
+    heads = lambda x, i: F.concat(F.when(x["k"] == 3, F.format_string("--- a/old/o%d.rs", x["p"])).otherwise(F.concat(F.lit('--- "a/'), name(i), F.lit('"'))), F.when(x["k"] == 2, "\n+++ /dev/null\n").otherwise(F.concat(F.lit('\n+++ "b/'), name(i), F.lit('"\n'))))
+    patch = lambda x, i: F.concat(F.lit("diff --git a/q b/q\n"), F.when(x["k"] == 5, "").otherwise(heads(x, i)), hunks(x))
+    text = F.concat(F.array_join(F.transform("q", raw), ""), F.lit("\n"), F.array_join(F.transform("q", patch), ""))
+    untracked = t(spark, sf, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("diff_id"), F.explode(F.array(F.format_string("u/x%d.rs", "o_custkey"), F.lit("u/y.txt"))).alias("path"), (F.col("o_custkey") % 9).cast("int").alias("lines"))
+    show = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string"))), ",").alias(c)
+    return readers.changed_files(lines.select(F.col("l_orderkey").alias("diff_id"), text.alias("text")), untracked).select("diff_id", "place", "old_path", "new_path", "status", show("old_ranges"), show("new_ranges"), "gitlink")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unquote(path: str) -> str:
@@ -61,15 +62,57 @@ def change_ranges(diffs: DataFrame, key: str = "diff_id", text: str = "text") ->
     return diffs.select(key, text).mapInPandas(parse, f"{key} {kind}, path string, side string, a int, b int")
 
 
+RAW = r"^:(\d+) (\d+) \S+ \S+ ([A-Z])\d*\t([^\t]+)(?:\t([^\t]+))?$"
+SUBMODULE = "160000"
+RANGES = "array<struct<a:int,b:int>>"
+
+
+@F.pandas_udf(T.StringType())
+def _unquoted(paths: pd.Series) -> pd.Series:
+    return paths.map(unquote, na_action="ignore")
+
+
+def changed_files(diffs: DataFrame, untracked: DataFrame | None = None, key: str = "diff_id", text: str = "text") -> DataFrame:
+    """(key, place, old_path, new_path, status, old_ranges, new_ranges, gitlink): the files of diffs that begin with raw lines
+    and go on with a zero-context patch, place numbering a diff's files from 0.
+
+    Status is added (copies too), deleted, renamed or modified; a file that the patch says nothing of (binary, or only its
+    mode) has no ranges. A raw line that can't be read fails the job. ``untracked`` (key, path, lines) are source files that the
+    history doesn't know: they come behind the others, without a place, changed over all of their lines, one at least.
+    """
+    raw = F.filter(F.split(F.element_at(F.split(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), "\ndiff --git ", 2), 1), "\n"), lambda s: s.startswith(":"))
+    lines = diffs.select(key, F.posexplode(raw).alias("place", "line"))
+    part = lambda n: F.nullif(F.regexp_extract("line", RAW, n), F.lit(""))
+    bare = lambda n: F.when(part(n).startswith('"'), _unquoted(part(n))).otherwise(part(n))
+    wrong = F.raise_error(F.concat(F.lit("raw line of a diff can't be read: "), F.col("line"))).cast("string")
+    needs = F.col("line").rlike(RAW) & (~part(3).isin("R", "C") | part(5).isNotNull())
+    fields = lines.select(key, "place", F.when(needs, part(3)).otherwise(wrong).alias("code"), bare(4).alias("first"), bare(5).alias("second"), ((part(1) == SUBMODULE) | (part(2) == SUBMODULE)).alias("gitlink"))
+    code = F.col("code")
+    old = F.when(code.isin("A", "C"), None).otherwise(F.col("first"))
+    new = F.when(code == "D", None).when(code.isin("R", "C"), F.col("second")).otherwise(F.col("first"))
+    status = F.when(code.isin("A", "C"), "added").when(code == "D", "deleted").when(code == "R", "renamed").otherwise("modified")
+    files = fields.select(key, "place", old.alias("old_path"), new.alias("new_path"), status.alias("status"), "gitlink").withColumn("path", F.coalesce("new_path", "old_path"))
+    side_of = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("a", "b")))).cast(RANGES)
+    ranges = change_ranges(diffs, key, text).groupBy(key, "path").agg(side_of("old").alias("old_ranges"), side_of("new").alias("new_ranges"))
+    none = F.array().cast(RANGES)
+    out = files.join(ranges, [key, "path"], "left").select(key, "place", "old_path", "new_path", "status", F.coalesce("old_ranges", none).alias("old_ranges"), F.coalesce("new_ranges", none).alias("new_ranges"), "gitlink")
+    if untracked is None:
+        return out
+    whole = F.array(F.struct(F.lit(1).alias("a"), F.greatest("lines", F.lit(1)).alias("b"))).cast(RANGES)
+    own = untracked.filter(F.col("path").endswith(".rs")).select(key, F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("old_path"), F.col("path").alias("new_path"), F.lit("untracked").alias("status"), none.alias("old_ranges"), whole.alias("new_ranges"), F.lit(False).alias("gitlink"))
+    return out.unionByName(own)
+
+
 def change_size(ranges: DataFrame) -> DataFrame:
     """(files, lines) of a change: lines of both sides."""
     return ranges.agg(F.count_distinct("path").alias("files"), F.coalesce(F.sum(F.col("b") - F.col("a") + 1), F.lit(0)).alias("lines"))
 
 
 def answer_log(spark: SparkSession, path: str) -> DataFrame:
-    """(qkey, score): ``key score`` lines; malformed lines are skipped, of equal keys the last line holds."""
-    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
-    files = spark.read.text(path).select("value", place.alias("line_no"))  # files by name, and a file's blocks in order
+    """(qkey, score): ``key score`` lines; malformed lines are skipped, of equal keys the last line holds: that of the file
+    that was written last (of files of one moment, the last by name), and in it the last."""
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    files = spark.read.text(path).select("value", place.alias("line_no"))
     parts = files.select(F.split("value", " ", 2).alias("p"), "line_no").filter(F.size("p") == 2)
     rows = parts.select(F.col("p")[0].alias("qkey"), F.expr("try_cast(p[1] AS double)").alias("score"), "line_no").filter("score IS NOT NULL")
     return rows.groupBy("qkey").agg(F.max_by("score", "line_no").alias("score"))

@@ -321,3 +321,26 @@ def test_outside_paths_by_mode(spark):
     assert listed(modes["referenced"][1], "file") == [("data/lost.json",)]
     with pytest.raises(ValueError):
         references.outside_paths(files, "some", literals)
+
+
+# diffs
+
+
+def test_files_of_a_diff(spark):
+    text = "\n".join([
+        ":100644 100644 a b M\tsrc/a.rs", ":000000 100644 0 b A\tnew.rs", ":100644 000000 a 0 D\tgone.rs", ":100644 100644 a b R093\told name.rs\tb\\t.rs", ':100644 100644 a b C75\tsrc/a.rs\t"q\\303\\251\\".rs"', ":160000 160000 a b M\tsub", ":100644 100644 a b M\tpic.png", "",
+        "diff --git a/src/a.rs b/src/a.rs", "--- a/src/a.rs", "+++ b/src/a.rs", "@@ -1 +1,2 @@", "-x", "+--- a/no", ":100644 100644 a b M\tnot a raw line", "@@ -9,2 +0,0 @@", "diff --git a/gone.rs b/gone.rs", "--- a/gone.rs", "+++ /dev/null", "@@ -1,3 +0,0 @@",
+        'diff --git "a/x" "b/x"', "--- a/src/a.rs", '+++ "b/q\\303\\251\\".rs"', "@@ -0,0 +5 @@",
+    ])
+    untracked = spark.createDataFrame([(1, "u.rs", 0), (1, "u.txt", 4), (2, "w.rs", 7)], "diff_id int, path string, lines int")
+    found = readers.changed_files(spark.createDataFrame([(1, text), (2, ""), (3, None)], "diff_id int, text string"), untracked)
+    show = lambda rs: [(r["a"], r["b"]) for r in rs]
+    rows = {(r["diff_id"], r["place"], r["new_path"]): (r["old_path"], r["status"], show(r["old_ranges"]), show(r["new_ranges"]), r["gitlink"]) for r in found.collect()}
+    assert rows == {
+        (1, 0, "src/a.rs"): ("src/a.rs", "modified", [(1, 1), (9, 10)], [(1, 1), (1, 2)], False), (1, 1, "new.rs"): (None, "added", [], [], False), (1, 2, None): ("gone.rs", "deleted", [(1, 3)], [(1, 1)], False),
+        (1, 3, "b\\t.rs"): ("old name.rs", "renamed", [], [], False), (1, 4, 'qé".rs'): (None, "added", [], [(5, 5)], False), (1, 5, "sub"): ("sub", "modified", [], [], True), (1, 6, "pic.png"): ("pic.png", "modified", [], [], False),
+        (1, None, "u.rs"): (None, "untracked", [], [(1, 1)], False), (2, None, "w.rs"): (None, "untracked", [], [(1, 7)], False),
+    }
+    for broken in (":100644 100644 a b M", ":100644 100644 a b R100\tonly.rs"):
+        with pytest.raises(Exception, match="can't be read"):
+            readers.changed_files(spark.createDataFrame([(1, broken)], "diff_id int, text string")).collect()
