@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions and Spark ML only.
 
 Candidates are all runs of key-like characters that are long enough and hold a digit, without the names before = or :
-that lead them; a word can hold many (JSON, CSV, minified code). Features are the candidate's length,
+that lead them; a word can hold many (JSON, CSV, minified code). Values that a keyword is assigned are candidates too where
+they have no digit or hold punctuation. Features are the candidate's length,
 its character classes and the transitions between them, the share of its letter runs that a dictionary of common words
 covers, the depth and kind of its path, and the words around it. The forest is trained on labelled findings. Whether a
 candidate parses as a harmless value or has the form of a known kind of secret is evidence for labels alone: the forest
@@ -31,6 +32,9 @@ CANDIDATE = r"[A-Za-z0-9+/_=.:@-]{12,}"
 HEAD = r"^(?:(?![0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{0,4}:)(?:[A-Za-z_][A-Za-z0-9_.-]*+|[A-Za-z0-9]{16,}+)[=:]++(?!//)(?=.{12}))++"
 #: The features look at so many characters before a candidate, for a name that it is assigned to.
 LEAD = 80
+#: A value that a name in the same word is assigned, of 8 characters or more that neither quote nor separate.
+VALUE = r"[^\"'`\\\s,;<>]{8,}+"
+PAIR = r"(?:^|[^A-Za-z0-9_.-])(([A-Za-z0-9_.-]{1,64}+)[\"'`\\]*+[=:]++>?[\"'`\\]*+)(" + VALUE + ")"
 ASSIGNED = r"([A-Za-z0-9_.-]+)[\"'`\\]*\s*[=:]+>?\s*[\"'`\\]*$"
 #: The forest is fitted on about so many labelled findings of each class, chosen among those of all documents by a hash.
 FIT_ROWS = 20_000
@@ -96,6 +100,34 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     return found.select("key", "at", F.col("nth").cast("long").alias("nth"), "p.*", "path")
 
 
+def _keyword(name: Column) -> Column:
+    """Whether a part of a name, between _ . - or a change of case, is one of ``KEYWORDS``."""
+    return F.arrays_overlap(F.split(F.lower(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z_.-]", ""), "([a-z])([A-Z])", "$1_$2")), "[_.-]+"), F.array(*map(F.lit, KEYWORDS)))
+
+
+def assigned_values(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """More candidates, with the columns of ``candidates`` and nth from -1 down: values that a name with a keyword is assigned
+    and that hold no candidate, since they have no digit or are cut by punctuation. The name stands in the same word, or in
+    the one or two words before it (of at most 64 characters each)."""
+    where = F.lit("") if path is None else F.coalesce(F.col(path).cast("string"), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), "").alias("w"), where.alias("path"))
+    around = lambda w: F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("word"), F.get(w, i - 1).alias("before"), F.get(w, i - 2).alias("before2"), F.get(w, i + 1).alias("after")))
+    assigns = lambda c: c.rlike("[=:]>?[\"'`\\\\]*$")
+    some = lambda s: (F.length(s["word"]) >= 8) & (s["word"].rlike("[=:]") | assigns(F.coalesce(F.right(s["before"], F.lit(8)), F.lit(""))))
+    words = rows.select("key", "path", F.explode(F.filter(around(F.col("w")), some)).alias("s")).select("key", "path", "s.*")
+    named = F.regexp_extract(F.concat_ws(" ", F.right("before2", F.lit(64)), F.right("before", F.lit(64))), ASSIGNED, 1)
+    near = lambda c: F.coalesce(F.right(c, F.lit(LEAD)), F.lit("")).alias(c)
+    pair = lambda n: F.regexp_extract_all("word", F.lit(PAIR), F.lit(n))
+    none = [F.lit("").alias(c) for c in ("before", "before2")]
+    inside = F.transform(F.arrays_zip(pair(1).alias("lead"), pair(2).alias("name"), pair(3).alias("value")), lambda p: F.struct(p["lead"].alias("lead"), p["name"].alias("name"), p["value"].alias("value"), *none))
+    value = lambda n: F.regexp_extract("word", "^([\"'`\\\\]*+)(" + VALUE + ")", n)
+    behind = F.array(F.struct(value(1).alias("lead"), named.alias("name"), value(2).alias("value"), near("before"), near("before2")))
+    fresh = lambda p: (p["value"] != "") & _keyword(p["name"]) & ~(p["value"].rlike(CANDIDATE) & p["value"].rlike("[0-9]"))
+    pairs = words.select("key", "path", F.col("at").cast("long").alias("at"), F.filter(F.concat(inside, behind), fresh).alias("pairs"))  # a long word isn't copied for each
+    found = pairs.select("key", "path", "at", F.posexplode("pairs").alias("n", "p"))
+    return found.select("key", "at", (-1 - F.col("n")).cast("long").alias("nth"), F.col("p.value").alias("candidate"), F.right("p.lead", F.lit(LEAD)).alias("lead"), "p.before", "p.before2", F.lit("").alias("after"), "path")
+
+
 def common_words(docs: DataFrame, text: str = "text", share: float = DICTIONARY_SHARE) -> list[str]:
     """The words of 3 letters or more that a share of the documents have, in order."""
     least = max(1.0, share * docs.count())
@@ -117,13 +149,12 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     covered = F.aggregate(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: x.isin(dictionary)), F.lit(0), lambda a, x: a + F.length(x))
     text = F.concat_ws(" ", F.right("before2", F.lit(LEAD)), F.right("before", F.lit(LEAD)), "lead")
     own = F.regexp_extract(text, ASSIGNED, 1)
-    keyword = lambda name: F.arrays_overlap(F.split(F.lower(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z_.-]", ""), "([a-z])([A-Z])", "$1_$2")), "[_.-]+"), F.array(*map(F.lit, KEYWORDS)))
     values = {
         "length": n, "digits": kind("0"), "uppers": kind("U"), "lowers": kind("l"), "others": kind("."),
         "transitions": pairs / n, "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "hex_only": c.rlike("^[0-9a-fA-F]+$").cast("double"), "dictionary": covered / n,
         "path_depth": F.size(F.filter(F.split("path", "/"), lambda s: s != "")).cast("double"), "path_code": F.lower("path").rlike(r"\.(py|js|env|ya?ml|json|conf|ini|sh)$").cast("double"),
-        "after_keyword": (keyword(F.col("before2")) | keyword(F.col("before")) | keyword(own)).cast("double"), "after_equals": text.rlike(ASSIGNED).cast("double"), "quoted": F.col("lead").rlike("[\"'`]$").cast("double"),
+        "after_keyword": (_keyword(F.col("before2")) | _keyword(F.col("before")) | _keyword(own)).cast("double"), "after_equals": text.rlike(ASSIGNED).cast("double"), "quoted": F.col("lead").rlike("[\"'`]$").cast("double"),
     }
     return found.withColumn("kinds", _classes(c)).withColumns({k: v.cast("double") for k, v in values.items()}).drop("kinds")
 
@@ -174,6 +205,7 @@ def training_rows(labelled: DataFrame, most: int = FIT_ROWS, place: tuple[str, .
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = materialise(with_features(candidates(docs, path="source"), common_words(docs)).select("key", "at", "nth", "candidate", *FEATURES), "secrets-found")
+    every = candidates(docs, path="source").unionByName(assigned_values(docs, path="source"))
+    found = materialise(with_features(every, common_words(docs)).select("key", "at", "nth", "candidate", *FEATURES), "secrets-found")
     scored = score(found, fit(training_rows(found.withColumn("label", weak_label()))))
     return scored.select(F.col("key").alias("doc_id"), "at", "nth", "candidate", F.round("probability", 6).alias("probability"), (F.col("probability") >= 0.5).alias("secret"))

@@ -1,6 +1,8 @@
 """Very long runs of letters and of key-like characters, and rare classes in samples."""
 
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -82,3 +84,38 @@ def test_rare_bad_labels_are_sampled(spark):
     rules = quality.fit(docs, labels, fit_rows=30, min_cover=0.0, min_precision=0.5)
     kept = docs.transform(quality.text_statistics).filter(quality.verdict(rules)[0])
     assert kept.count() == 2_990 and kept.filter(F.col("doc_id") % 300 == 0).count() == 0
+
+
+def plain_values(text):
+    """Assigned values by Python's own regular expressions."""
+    words, out = re.findall(r"[^\x20\x09-\x0D]+", text), []
+    key = lambda name: bool(set(re.split(r"[_.-]+", re.sub("([a-z])([A-Z])", r"\1_\2", re.sub("[^A-Za-z_.-]", "", name)).lower())) & set(secrets.KEYWORDS))
+    for at, w in enumerate(words):
+        before = " ".join(x[-64:] for x in words[max(0, at - 2) : at])
+        pairs = [(m[2], m[3]) for m in re.finditer(secrets.PAIR, w)]
+        name, value = re.search(secrets.ASSIGNED, before), re.match("[\"'`\\\\]*+(" + secrets.VALUE + ")", w)
+        if at and re.search("[=:]>?[\"'`\\\\]*$", words[at - 1][-8:]) and value or re.search("[=:]", w) and value and name:
+            pairs.append((name[1] if name else "", value[1]))
+        out += [(at, v) for n, v in pairs if len(w) >= 8 and key(n) and not (re.search(secrets.CANDIDATE, v) and re.search("[0-9]", v))]
+    return sorted(out)
+
+
+def test_values_of_keywords_are_candidates(spark):
+    texts = ["password = correcthorsebatterystaple", "api_key = AbCdEfGhIjKlMnOpQrStUvWx", "password = p@ss!w0rd#Zz$19xQ", 'x {"clientSecret":"no-digits!here"} y', "DB_PASSWORD='semi#colon%value'; next", "key: tiny", "monkey = notasecretvalue", "passwordless = alsonotone", "token=0123456789abcdef", "password :\n\"quoted~value~~\"", "auth", ""]
+    found = secrets.assigned_values(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = sorted((r["key"], r["candidate"]) for r in found.collect())
+    assert got == [(0, "correcthorsebatterystaple"), (1, "AbCdEfGhIjKlMnOpQrStUvWx"), (2, "p@ss!w0rd#Zz$19xQ"), (3, "no-digits!here"), (4, "semi#colon%value"), (9, "quoted~value~~")]
+    features = {r["key"]: (r["after_keyword"], r["after_equals"]) for r in secrets.with_features(found, []).collect()}
+    assert set(features.values()) == {(1.0, 1.0)}
+    rng = random.Random(9)
+    bits = ["password", "api_key", "x", "=", ":", '"', " ", ",", "abcdefgh", "p@ss!w0rd#", "Token", "0123456789ab", "'", "longlettersvalue", ";"]
+    rows = [(n, "".join(rng.choices(bits, k=rng.randrange(14)))) for n in range(500)]
+    found = sorted((r["key"], r["at"], r["candidate"]) for r in secrets.assigned_values(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == sorted((n, *x) for n, t in rows for x in plain_values(t)) and found
+
+
+@pytest.mark.parametrize("kind", ["a_", "a=", "key=", "k:'", "password=aaaaaaaa,", "=", "a.b-"])
+def test_a_megabyte_of_assignments(spark, kind):
+    long = F.repeat(F.lit(kind), 1_000_000 // len(kind))
+    texts = spark.range(1).select(F.lit(1).alias("doc_id"), F.concat(long, F.lit(" password = correcthorsebatterystaple")).alias("text"))
+    assert secrets.assigned_values(texts).filter("candidate = 'correcthorsebatterystaple'").count() >= 1
