@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
 from .locks import differing_keys
 
 #: Tables of dependencies in a manifest (fixed values).
@@ -59,12 +60,13 @@ def manifest_verdicts(manifests: DataFrame, members: DataFrame) -> DataFrame:
     """
     sides = manifests.select("manifest", "root", "pkg", F.inline(F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("text")), F.struct(F.lit("new").alias("side"), F.col("new").alias("text")))))
     split = ~F.col("root") | F.col("pkg").isNotNull()
-    rows = without_member_versions(leaves(sides.withColumn("split", split), ["manifest", "side", "split"]), ["manifest", "side", "split"], members)
+    taken_apart = cut(leaves(sides.withColumn("split", split), ["manifest", "side", "split"]))  # read twice, and dear
+    rows = without_member_versions(taken_apart, ["manifest", "side", "split"], members)
     place = F.when(F.col("split"), _table_at(False))
     placed = rows.withColumn("_at", F.coalesce(place, F.lit(0))).withColumn("dependency", place.isNotNull())
     first = F.when(F.col("dependency") & (F.col("_at") == 2), F.concat_ws(".", F.slice("keys", 1, 3))).otherwise(_key(0))
     cells = placed.select("manifest", "side", "dependency", first.alias("k1"), _key(F.col("_at") + 1).alias("k2"), F.struct(F.slice("keys", F.col("_at") + 3, F.greatest(F.size("keys") - F.col("_at") - 2, F.lit(0))).alias("rest"), "value").alias("leaf"))
-    packed = cells.groupBy("manifest", "side", "dependency", "k1", "k2").agg(F.to_json(F.array_sort(F.collect_list("leaf"))).alias("value"))
+    packed = cut(cells.groupBy("manifest", "side", "dependency", "k1", "k2").agg(F.to_json(F.array_sort(F.collect_list("leaf"))).alias("value")))
     side = lambda name: packed.filter(F.col("side") == name).drop("side")
     found = differing_keys(side("old"), side("new"), ["manifest", "dependency"])
     told = found.groupBy("manifest").agg(F.max(F.when(F.col("dependency"), F.col("keys"))).alias("deps"), F.max(F.when(~F.col("dependency"), F.col("keys"))).alias("rest"))
