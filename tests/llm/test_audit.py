@@ -57,3 +57,12 @@ def test_each_state_is_visited_once(spark, monkeypatch):
     kept = {(r["state"], r["filter"]): r["kept"] for r in edges.filter("part = '0'").collect()}
     assert kept["pq", "r"] == kept["pr", "q"] == kept["qr", "p"] == len([n for n in range(0, 40, 2) if n % 3 and n <= 30 and n >= 5])
     assert not spark.sparkContext._jsc.sc().getPersistentRDDs().nonEmpty()
+
+
+def test_very_long_texts_and_one_hot_key(spark):
+    docs = spark.createDataFrame([(1, "a b " * 400_000, "s"), (2, "X" * 1_500_000, "s"), (3, "X" * 1_500_000, "s")], "doc_id long, text string, source string")
+    hot = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") + 10).alias("doc_id"), F.when(F.col("id") % 2 == 0, "").otherwise("same text").alias("text"), F.lit("hot").alias("source"))
+    labels = spark.createDataFrame([(7, 1, 1), (7, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = {r["part"]: r for r in interaction.by_order(interaction.walk(interaction.measured(docs.union(hot), labels), interaction.production_filters()), list("ABCDE")).filter("filter_order = 'EDCBA' AND step = 1").collect()}
+    assert (rows["s"]["removed"], rows["s"]["kept"], rows["s"]["good_lost"]) == (1, 2, 0)
+    assert rows["hot"]["removed"] == 10_000 and rows["hot"]["good_lost"] == 0  # the smallest id has both texts, and all its rows stay

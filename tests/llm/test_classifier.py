@@ -106,3 +106,10 @@ def test_op12_shape(spark):
     found = fm.op12_quality_classifier(spark, SMALL)
     assert found.columns == ["doc_id", "held_out", "score", "predicted"]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in found.collect())
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "a b " * 400_000), (2, "x" * 1_500_000), (3, "\n" * 1_000_000), (4, "é# " * 300_000), (5, " ")], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(1, 6)], "doc_id long, quality int")
+    scored = fm.score(docs, fm.fit(docs, labels, metadata=()))
+    assert [0 <= r["score"] <= 1 for r in scored.collect()] == [True] * 5

@@ -104,3 +104,10 @@ def test_string_ids_of_items_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 3), (2, "b", "y", 4)], "doc_id long, text string, item string, score int")
     items = spark.createDataFrame([("i", "b", 0), (None, "a", 1)], "item_id string, text string, rank int")
     assert rows_of(lexical.rank(docs, items).select("item_id", "rank", "doc_id"))[1] == [("1", "None", "1"), ("1", "i", "2"), ("2", "i", "1")]
+
+
+def test_very_long_texts_and_words(spark):
+    docs = [(1, "word " * 300_000 + "rare"), (2, "x" * 1_500_000), (3, "rare \x00 rare"), (4, "RARE-rare_rare"), (5, "é" * 700_000)]
+    items = [(1, "rare"), (2, "x" * 1_500_000), (3, "word " * 50_000), (4, "é" * 700_000)]
+    found = lexical.rank(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    assert sorted(map(repr, map(tuple, found.collect()))) == brute_force(docs, items)
