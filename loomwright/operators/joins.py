@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import STRETCH, stretches
+
 
 def ancestors(path: Column) -> Column:
     """All directories above a path, from the root (an empty name) down."""
@@ -30,8 +32,11 @@ def interval_semi(rows: DataFrame, ranges: DataFrame, on: str, start: str, end:
 
 
 def innermost(points: DataFrame, items: DataFrame, on: str, point: str, start: str, end: str, seq: str, item: str) -> DataFrame:
-    """(on, point, item): the smallest item of the same key around each point; of equal spans the last listed."""
-    around = points.select(on, point).distinct().join(items.select(F.col(on).alias("_on"), start, end, seq, item), (F.col(on) == F.col("_on")) & F.col(point).between(F.col(start), F.col(end)))
+    """(on, point, item): the smallest item of the same key around each point; of equal spans the last listed. Points meet
+    items by stretch, so a key with most of them is many tasks'."""
+    spans = items.select(F.col(on).alias("_on"), start, end, seq, item, F.explode(stretches(F.col(start), F.col(end))).alias("_stretch"))
+    placed = points.select(on, point).distinct().withColumn("_k", F.floor(F.col(point) / STRETCH))
+    around = placed.join(spans, (F.col(on) == F.col("_on")) & (F.col("_k") == F.col("_stretch")) & F.col(point).between(F.col(start), F.col(end)))
     return around.groupBy(on, point).agg(F.min_by(item, F.struct(F.col(end) - F.col(start), -F.col(seq))).alias(item))
 
 
