@@ -162,19 +162,18 @@ def group_questions(groups: DataFrame, names: DataFrame, most_chars: int = 600)
     return groups.select("file", "module").join(own, ["file", "module"]).select("file", "module", F.to_json(fields).alias("question"))
 
 
-RESPONSE = "answers map<string, struct<noul:double>>, usage struct<input_tokens:bigint,output_tokens:bigint>"
-
-
-def parse_answers(responses: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_answers(responses: DataFrame, questions: DataFrame, field: str = "score") -> tuple[DataFrame, DataFrame]:
     """(answers (qkey, score), batches (batch, asked, input_tokens, output_tokens, failure)) of responses(batch, text) to
     questions(batch, place, qkey), places from 0 on.
 
-    A response names its answers by place (t0, t1, ...). A batch counts as a whole: if its response is missing, is no JSON or
+    A response names its answers by place (t0, t1, ...); ``field`` is the name of the number in an answer. A batch counts as a whole: if its response is missing, is no JSON or
     lacks one of its answers, none of it is taken, failure says why, and its usage is 0.
     """
-    read = responses.select("batch", F.from_json("text", RESPONSE).alias("r")).select("batch", "r.answers", "r.usage")
+    shape = f"answers map<string, struct<`{field}`:double>>, usage struct<input_tokens:bigint,output_tokens:bigint>"
+    read = responses.select("batch", F.from_json("text", shape).alias("r")).select("batch", "r.answers", "r.usage")
     asked = questions.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("place", "qkey"))).alias("q"))
-    score = lambda x: F.when(~F.isnan(F.col("answers")[F.concat(F.lit("t"), x["place"].cast("string"))]["noul"]), F.col("answers")[F.concat(F.lit("t"), x["place"].cast("string"))]["noul"])
+    given = lambda x: F.col("answers")[F.concat(F.lit("t"), x["place"].cast("string"))][field]
+    score = lambda x: F.when(~F.isnan(given(x)), given(x))
     rows = asked.join(read.withColumn("_r", F.lit(True)), "batch", "left").withColumn("s", F.transform("q", lambda x: F.struct(x["qkey"].alias("qkey"), score(x).alias("score"))))
     lacking = F.exists("s", lambda x: x["score"].isNull())
     failure = F.when(F.col("_r").isNull(), "no response").when(F.col("answers").isNull(), "response without answers").when(lacking, "answers missing")

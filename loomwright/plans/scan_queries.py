@@ -212,7 +212,7 @@ def _responses(spark, sf):
     order, place = F.col("l_orderkey"), F.col("place")
     placed = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("q"))
     questions = placed.select(order.alias("batch"), F.posexplode("q").alias("place", "x")).select("batch", "place", F.concat_ws("-", F.col("batch").cast("string"), place.cast("string")).alias("qkey"))
-    answer = lambda x, i: F.format_string('"t%d":{"noul":%s}', F.when((order % 7 == 2) & (i == 2), 99).otherwise(i), F.when((order % 7 == 1) & (i == 0), '"high"').otherwise(F.format_string("0.%d5", i)))
+    answer = lambda x, i: F.format_string('"t%d":{"score":%s}', F.when((order % 7 == 2) & (i == 2), 99).otherwise(i), F.when((order % 7 == 1) & (i == 0), '"high"').otherwise(F.format_string("0.%d5", i)))
     body = F.array_join(F.transform("q", answer), ",")
     text = F.when(order % 7 == 3, "{oops").otherwise(F.format_string('{"answers":{%s},"usage":{"input_tokens":%d,"output_tokens":3}}', body, F.size("q")))
     return placed.filter(order % 7 != 0).select(order.alias("batch"), text.alias("text")), questions

@@ -238,7 +238,7 @@ def test_verdicts_of_manifests(spark):
 
 def test_a_batch_answers_as_a_whole(spark):
     questions = spark.createDataFrame([(b, p, f"{b}{p}") for b in "abcdefg" for p in (0, 1)], "batch string, place int, qkey string")
-    texts = [("a", '{"answers":{"t1":{"noul":0.25},"t0":{"noul":1}},"usage":{"input_tokens":7}}'), ("b", '{"answers":{"t0":{"noul":0.5}},"usage":{"input_tokens":7}}'), ("c", "{oops"), ("d", '{"answers":{"t0":{"noul":"0.5"},"t1":{"noul":0.5}}}'), ("e", '{"answers":{"t0":{"noul":0.5},"t1":{"noul":0.5},"t2":{"noul":9}}}'), ("f", "{}")]
+    texts = [("a", '{"answers":{"t1":{"score":0.25},"t0":{"score":1}},"usage":{"input_tokens":7}}'), ("b", '{"answers":{"t0":{"score":0.5}},"usage":{"input_tokens":7}}'), ("c", "{oops"), ("d", '{"answers":{"t0":{"score":"0.5"},"t1":{"score":0.5}}}'), ("e", '{"answers":{"t0":{"score":0.5},"t1":{"score":0.5},"t2":{"score":9}}}'), ("f", "{}")]
     answers, batches = judging.parse_answers(spark.createDataFrame(texts, "batch string, text string"), questions)
     assert listed(answers, "qkey", "score") == [("a0", 1.0), ("a1", 0.25), ("e0", 0.5), ("e1", 0.5)]
     assert listed(batches, "batch", "asked", "input_tokens", "failure")[:4] == [("a", 2, 7, None), ("b", 2, 0, "answers missing"), ("c", 2, 0, "response without answers"), ("d", 2, 0, batches.filter("batch = 'd'").first()["failure"])]
