@@ -91,18 +91,3 @@ def affected_by_level(nodes: DataFrame, refs: DataFrame, changed: DataFrame, dep
             break
         found = found.unionByName(new)
     return found
-
-
-def test_evidence(nodes: DataFrame, refs: DataFrame, affected: DataFrame, depth: int) -> DataFrame:
-    """(node, kind, n, symbols) of tests: Direct, Helper (same file, one level) or Transitive(n).
-
-    nodes(node, file, label, is_test). Helper keeps only the test's own file; labels are sorted.
-    """
-    reasons = affected.join(nodes.select("node", F.col("file").alias("r_file"), "label"), "node").withColumnRenamed("node", "target")
-    hits = nodes.filter("is_test").select("node", "file").join(refs, "node").join(reasons, "target")
-    best = hits.groupBy("node").agg(F.min("depth").alias("best"))
-    at = hits.join(best, "node").filter("depth = best").withColumn("own", F.col("file") == F.col("r_file"))
-    per = at.groupBy("node", "best").agg(F.array_sort(F.collect_set("label")).alias("all"), F.array_sort(F.collect_set(F.when(F.col("own"), F.col("label")))).alias("own"))
-    helper = (F.col("best") == 1) & (F.size("own") > 0)
-    kind = F.when(F.col("best") == 0, "Direct").when(helper, "Helper").when(F.col("best") <= depth, "Transitive")
-    return per.select("node", kind.alias("kind"), F.col("best").alias("n"), F.when(helper, F.col("own")).otherwise(F.col("all")).alias("symbols")).filter("kind IS NOT NULL")

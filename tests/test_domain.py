@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import scalars as X
 from loomwright.operators import graph, incidence, joins, ranking
-from loomwright.plans import policy
+from loomwright.plans import evidence, policy
 from loomwright.sources import readers
 from loomwright.streaming import answers
 
@@ -57,7 +57,9 @@ def test_evidence_kinds(spark):
     changed = spark.createDataFrame([(1,)], "node int")
     affected = graph.affected_by_level(nodes, refs, changed, 2)
     assert listed(affected, "node", "depth") == [(1, 0), (2, 1)]
-    found = {r["node"]: (r["kind"], r["symbols"]) for r in graph.test_evidence(nodes, refs, affected, 2).collect()}
+    at = affected.join(nodes.select("node", "label", F.col("file").alias("there")), "node").withColumnRenamed("node", "target")
+    hits = refs.join(at, "target").join(nodes.select("node", "file"), "node").select("node", "depth", "label", (F.col("file") == F.col("there")).alias("own"))
+    found = {r["node"]: (r["kind"], r["symbols"]) for r in evidence.test_evidence(nodes, hits, 2).collect()}
     assert found == {3: ("Direct", ["f1"]), 4: ("Transitive", ["f2"]), 5: ("Helper", ["f2"])}
 
 
