@@ -57,7 +57,7 @@ def reach_far(starts: DataFrame, edges: DataFrame) -> DataFrame:
         fresh = cut(far.join(seen, ["start", "node"], "left_anti"))
         if fresh.isEmpty():
             return seen
-        seen = cut(seen.unionByName(fresh))
+        seen = seen.unionByName(fresh)  # a part for each round, each written once
         longer = steps.select("src", F.col("dst").alias("_via")).join(steps.select(F.col("src").alias("_via"), "dst"), "_via")
         steps = cut(longer.select("src", "dst").distinct())
 
