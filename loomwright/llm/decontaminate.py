@@ -5,9 +5,10 @@ the windows are ordered by rarity, counted over all documents; since a window mu
 prefix is its single rarest shingle. Document shingles are joined with these prefixes; the length and position bounds
 leave only windows that fit into the document where the shingle stands, and the words are then compared exactly.
 
-Windows are few next to documents: they are compiled in blocks of about ``MAX_BLOCK`` windows, dealt by hash, each
-broadcast, and the documents stream through each block in two map-only passes, so no document is shuffled and no passage
-is hot. Each further block costs two more passes over all texts.
+Up to ``MAX_BLOCK`` windows are compiled to one block that is broadcast, and the documents stream through it in two map-only
+passes, so no document is shuffled and no passage is hot. Of more windows, those that can occur are found in one pass
+(``prefixjoin``). If they fit into a block, one more pass searches them; else places and windows are joined by shuffle, and
+the documents with what stands in equal texts. Hot prefixes and hot texts are dealt to shares.
 
 Defined cases: a null or empty text has no words; a null item id counts as the empty string; item rows with the same
 id are one item; equal windows of several items count for all of them; rows that repeat a key are judged each by
@@ -16,7 +17,6 @@ its own text; empty tables give no hits or no rows. Other columns are kept if as
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .prefixjoin import occurring, prefixes, shares_of
+from .storage import materialise
 from .tables import free_name, table
 from .wordhash import chunks
 
@@ -154,17 +156,23 @@ def item_windows(benchmark: DataFrame, item: str, text: str, size: int) -> DataF
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_block: int = MAX_BLOCK, into: str = "contamination") -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, spans (merged word ranges that are hit: start, end, start,
     ...) and items (ids of items with occurring windows, sorted as strings)."""
-    spark = docs.sparkSession
-    windows = item_windows(benchmark, item, item_text, window)
-    blocks = max(1, math.ceil(windows.count() / max_block))
-    numbered = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    out = docs.withColumn(into, F.lit(None).cast(RESULT))
-    for b in range(blocks):
-        rows = numbered.filter(F.col("block") == b).orderBy("window").collect()
-        block = Block([bytes(r["window"]) for r in rows], [r["items"] for r in rows])
-        block.choose(_rarity(docs.select(F.col(text).alias("text")), block))
-        out = _search(out, text, into, spark.sparkContext.broadcast(block))
-    return out
+    windows = materialise(item_windows(benchmark, item, item_text, window), "windows")
+    texts = docs.select(F.col(text).alias("text"))
+    if windows.count() <= max_block:
+        block = _compiled(windows.orderBy("window").collect())
+        block.choose(_rarity(texts, block))
+        return _search(docs, text, into, block)
+    found = prefixes(texts, "text", windows, SHINGLE, lambda t: t.translate(_WORD_BYTES))
+    if found.count() <= max_block:
+        rows = found.orderBy("window").collect()
+        block = _compiled(rows)
+        block.choose({(k, c): -1 for k, v in block.places.items() for c, n, o in v.tolist() if o == rows[n]["at"]})
+        return _search(docs, text, into, block)
+    return _joined(docs, text, into, found, window)
+
+
+def _compiled(rows: list) -> Block:
+    return Block([bytes(r["window"]) for r in rows], [r["items"] for r in rows])
 
 
 def _rarity(texts: DataFrame, block: Block) -> dict[tuple[int, int], int]:
@@ -187,8 +195,14 @@ def _rarity(texts: DataFrame, block: Block) -> dict[tuple[int, int], int]:
     return {(r["k"], r["code"]): r["n"] for r in sums.collect()}
 
 
-def _search(docs: DataFrame, text: str, into: str, shared) -> DataFrame:  # noqa: ANN001
-    """One pass over the documents with one block; spans and items of earlier blocks are merged."""
+def _result(n_words: list[int], spans: dict[int, list[tuple[int, int]]], items: dict[int, set[str]]) -> pa.Array:
+    rows = [{"n_words": c, "spans": _merged(spans[n]) if n in spans else [], "items": sorted(items[n]) if n in items else []} for n, c in enumerate(n_words)]
+    return pa.array(rows, _RESULT)
+
+
+def _search(docs: DataFrame, text: str, into: str, block: Block) -> DataFrame:
+    """One pass over the documents with a block."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
@@ -197,18 +211,40 @@ def _search(docs: DataFrame, text: str, into: str, shared) -> DataFrame:  # noqa
                 counts, found = block.find(texts)
                 spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 items: dict[int, set[str]] = defaultdict(set)
-                column = part.schema.get_field_index(into)
-                for n, x in enumerate(part.column(column).to_pylist()):
-                    if x:
-                        spans[n] += zip(x["spans"][::2], x["spans"][1::2])
-                        items[n].update(x["items"])
                 for n, w, start, end in found:
                     spans[n].append((start, end))
                     items[n].update(block.items[w])
-                result = [{"n_words": int(c), "spans": _merged(spans[n]) if n in spans else [], "items": sorted(items[n]) if n in items else []} for n, c in enumerate(counts)]
-                yield part.set_column(column, pa.field(into, _RESULT), pa.array(result, _RESULT))
+                yield part.append_column(pa.field(into, _RESULT), _result(counts.tolist(), spans, items))
+
+    return docs.mapInArrow(search, T.StructType([*docs.schema.fields, T.StructField(into, RESULT)]))
+
+
+def _joined(docs: DataFrame, text: str, into: str, found: DataFrame, window: int) -> DataFrame:
+    """The documents joined with what stands in their texts; equal texts are one key, dealt to shares by their other
+    columns if many rows have them."""
+    key, share, spans, items = (free_name(docs.withColumn(into, F.lit(None)), x) for x in ("text_key", "text_share", "text_spans", "text_items"))
+    keyed = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    hits = materialise(occurring(keyed, key, text, found, SHINGLE, window, lambda t: t.translate(_WORD_BYTES)), "occurrences")
+    copies = keyed.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    hot = materialise(copies.select("key", shares_of("n", docs.count()).alias("shares")).filter("shares > 1"), "hot-texts")
+    where = hits.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias(spans))
+    named = hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.collect_set("item").alias(items))
+    each = where.join(named, "key").join(F.broadcast(hot), "key", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+    each = each.select(F.col("key").alias(key), F.col("share").alias(share), spans, items)
+    few = F.broadcast(hot.select(F.col("key").alias(key), F.col("shares").alias(share)))
+    spread = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, T.AtomicType)))
+    dealt = keyed.join(few, key, "left").withColumn(share, F.coalesce(F.pmod(spread, F.col(share)), F.lit(0)).cast("int"))
+    rows = dealt.join(each, [key, share], "left").select(*(F.col(f"`{c}`") for c in docs.columns), spans, items)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch, text):
+                spans = {n: [(x["start"], x["end"]) for x in v] for n, v in enumerate(part.column(part.num_columns - 2).to_pylist()) if v}
+                items = {n: set(v) for n, v in enumerate(part.column(part.num_columns - 1).to_pylist()) if v}
+                found = _result([len(words_of(t)) for t in texts], spans, items)
+                yield part.select(list(range(part.num_columns - 2))).append_column(pa.field(into, _RESULT), found)
 
-    return docs.mapInArrow(search, docs.schema)
+    return rows.mapInArrow(finish, T.StructType([*docs.schema.fields, T.StructField(into, RESULT)]))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[int]:

@@ -122,13 +122,51 @@ def test_statistics_keep_clashing_columns(spark):
 # 3: decontamination
 
 
-def test_blocks_do_not_change_the_result(spark, docs):
+@pytest.mark.parametrize("max_block", [150, 1])
+def test_large_benchmarks_give_the_same_result(spark, docs, max_block):
     bench = table(spark, SMALL, "benchmark")
     one = decontaminate.contamination(docs.select("doc_id", "text"), bench, into="x").selectExpr("doc_id", "to_json(x) AS x")
-    many = decontaminate.contamination(docs.select("doc_id", "text"), bench, into="x", max_block=150).selectExpr("doc_id", "to_json(x) AS x")
+    many = decontaminate.contamination(docs.select("doc_id", "text"), bench, into="x", max_block=max_block).selectExpr("doc_id", "to_json(x) AS x")
     assert rows_of(one) == rows_of(many)
 
 
+def plain_contamination(docs, bench, size):
+    """(words, hit words, items) of each text, window by window."""
+    split = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    windows = {(i, tuple(ws[n : n + size])) for i, t in bench for ws in [split(t)] if ws for n in range(max(1, len(ws) - size + 1))}
+    out = []
+    for t in docs:
+        ws = split(t)
+        found = [(i, n, n + len(w)) for i, w in windows for n in range(len(ws) - len(w) + 1) if tuple(ws[n : n + len(w)]) == w]
+        out.append((len(ws), len({p for _, a, b in found for p in range(a, b)}), sorted({i for i, *_ in found})))
+    return out
+
+
+@pytest.mark.parametrize("max_block", [10_000, 60, 0])
+def test_contamination_equals_brute_force(spark, max_block):
+    rng = random.Random(5)
+    word = lambda: rng.choice("a b c D \u00e9 1".split())
+    texts = [" ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 5, 40, 300]))) for _ in range(80)]
+    texts += [None, "", "-- ?", "hot copy of one text a b c"] + ["hot copy of one text a b c"] * 60
+    bench = [(str(i), " ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6])))) for i in range(60)]
+    bench += [("9", "copy OF one, text"), ("10", "never seen here"), ("10", None), ("x", "text a b c")]
+    docs = spark.createDataFrame([(n, t, "mine", 1, {"m": 1}) for n, t in enumerate(texts)], "doc_id long, text string, text_key string, text_share int, other map<string,int>").repartition(5)
+    found = decontaminate.contamination(docs, spark.createDataFrame(bench, "item_id string, text string"), window=4, max_block=max_block, into="x")
+    rows = {r["doc_id"]: r for r in found.withColumn("hit", decontaminate.n_hit("x")).collect()}
+    assert len(rows) == len(texts) and all(r["text_key"] == "mine" and r["text_share"] == 1 and r["other"] == {"m": 1} for r in rows.values())
+    assert [(r["x"]["n_words"], r["hit"], r["x"]["items"]) for _, r in sorted(rows.items())] == plain_contamination(texts, bench, 4)
+
+
+@pytest.mark.parametrize("max_block", [10, 0])
+def test_empty_tables_of_decontamination(spark, max_block):
+    none = spark.createDataFrame([], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "c d e f")], "item_id long, text string")
+    for b in (none, bench):
+        assert decontaminate.decontaminate(docs, b, max_block=max_block).collect() == docs.collect()
+        assert decontaminate.decontaminate(docs.limit(0), b, max_block=max_block).collect() == []
+
+
 def test_clashing_columns_stay(spark):
     rows = spark.createDataFrame([(1, "a b", "mine"), (2, "c", None)], "doc_id long, text string, contamination string")
     bench = spark.createDataFrame([(1, "A b")], "item_id long, text string")
