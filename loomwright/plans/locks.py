@@ -16,15 +16,17 @@ def differing_keys(old: DataFrame, new: DataFrame, of: list[str], most: int = 6)
     """(of, keys): the keys whose values differ between two documents, as ``[k1]`` or ``[k1.k2]``, so many at most.
 
     old and new(of, k1, k2, value): k2 is null for a value that is no table. A key that is a table on one side only
-    differs as a whole.
+    differs as a whole. Both sides are grouped, never joined, so nothing of them can be broadcast.
     """
-    tables = lambda df: df.groupBy(*of, "k1").agg(F.max(F.col("k2").isNotNull()).alias("table"))
-    both = tables(old).join(tables(new).withColumnRenamed("table", "other"), [*of, "k1"], "full_outer")
-    deep = both.select(*of, "k1", (F.coalesce("table", F.lit(False)) & F.coalesce("other", F.lit(False))).alias("deep"))
-    mark = lambda df: df.withColumn("k2", F.coalesce("k2", F.lit("")))
-    changed = snapshot_diff(mark(old), mark(new), [*of, "k1", "k2"], ["value"]).join(deep, [*of, "k1"])
-    label = F.when(F.col("deep"), F.concat(F.lit("["), "k1", F.lit("."), "k2", F.lit("]"))).otherwise(F.concat(F.lit("["), "k1", F.lit("]")))
-    lists = changed.select(*of, label.alias("label")).groupBy(*of).agg(F.array_sort(F.collect_set("label")).alias("keys"))
+    sided = lambda df, side: df.select(*of, "k1", F.coalesce("k2", F.lit("")).alias("k2"), F.col("k2").isNotNull().alias("table"), F.lit(side).alias("side"), F.struct("value").alias("v"))
+    rows = sided(old, "old").unionByName(sided(new, "new")).na.drop(subset=[*of, "k1"])
+    on = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    each = rows.groupBy(*of, "k1", "k2").agg(on("old", "v").alias("old"), on("new", "v").alias("new"), on("old", "table").alias("a"), on("new", "table").alias("b"))
+    changed = F.array_sort(F.collect_set(F.when(~F.col("old").eqNullSafe(F.col("new")), F.col("k2"))))
+    keys = each.groupBy(*of, "k1").agg((F.max("a") & F.max("b")).alias("deep"), changed.alias("changed")).filter(F.size("changed") > 0)
+    deep = F.transform("changed", lambda k2: F.concat(F.lit("["), F.col("k1"), F.lit("."), k2, F.lit("]")))
+    labels = F.when(F.col("deep"), deep).otherwise(F.array(F.concat(F.lit("["), F.col("k1"), F.lit("]"))))
+    lists = keys.select(*of, labels.alias("labels")).groupBy(*of).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("keys"))
     return lists.select(*of, and_more(F.col("keys"), most).alias("keys"))
 
 

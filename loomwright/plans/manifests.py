@@ -46,7 +46,7 @@ def without_member_versions(rows: DataFrame, of: list[str], members: DataFrame)
     deps = placed.filter("_dep IS NOT NULL").groupBy(*of, "_dep").agg(F.max(field == "path").alias("_path"), F.max(named).alias("_real"))
     real = deps.filter("_path").select(*of, "_dep", F.coalesce("_real", F.element_at("_dep", -1)).alias("name"))
     ours = real.join(members.select("name").distinct(), "name", "left_semi").select(*of, "_dep", F.lit(True).alias("_ours"))
-    joined = placed.join(ours, [*of, "_dep"], "left")
+    joined = placed.join(ours.hint("merge"), [*of, "_dep"], "left")  # as many as the manifests, however small their files seem
     version = F.col("_ours") & (field == "version") & (F.size("keys") == F.col("_at") + 3)
     return joined.filter(~F.coalesce(version, F.lit(False))).select(*rows.columns)
 
@@ -59,6 +59,7 @@ def manifest_verdicts(manifests: DataFrame, members: DataFrame) -> DataFrame:
     (pkg); where it isn't one its dependency tables are like any other.
     """
     sides = manifests.select("manifest", "root", "pkg", F.inline(F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("text")), F.struct(F.lit("new").alias("side"), F.col("new").alias("text")))))
+    sides = sides.repartition("manifest")  # a small file of many manifests is parsed by many tasks
     split = ~F.col("root") | F.col("pkg").isNotNull()
     taken_apart = cut(leaves(sides.withColumn("split", split), ["manifest", "side", "split"]))  # read twice, and dear
     rows = without_member_versions(taken_apart, ["manifest", "side", "split"], members)
@@ -71,7 +72,7 @@ def manifest_verdicts(manifests: DataFrame, members: DataFrame) -> DataFrame:
     found = differing_keys(side("old"), side("new"), ["manifest", "dependency"])
     told = found.groupBy("manifest").agg(F.max(F.when(F.col("dependency"), F.col("keys"))).alias("deps"), F.max(F.when(~F.col("dependency"), F.col("keys"))).alias("rest"))
     read = lambda c: F.expr(f"try_cast(try_parse_json({c}) AS MAP<STRING, VARIANT>)").isNotNull()
-    rows = manifests.join(told, "manifest", "left")
+    rows = manifests.join(told.hint("merge"), "manifest", "left")
     harsh = F.when(F.col("root"), "full").otherwise("whole")
     verdict = F.when(F.col("old").isNull() | F.col("new").isNull(), F.struct(harsh.alias("verdict"), F.lit("manifest added or deleted").alias("why")))
     verdict = verdict.when(~read("old") | ~read("new"), F.struct(harsh.alias("verdict"), F.lit("manifest does not parse").alias("why")))
