@@ -36,7 +36,7 @@ def reach(starts: DataFrame, edges: DataFrame, limit: int = 0) -> DataFrame:
     while not limit or hops < limit:
         hops += 1
         far = level.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        level = cut(far.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        level = cut(far.join(seen.hint("merge"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
@@ -74,7 +74,7 @@ def dependents_of(starts: DataFrame, users: DataFrame, members: DataFrame) -> Da
     starts(node); users(src, dst): dst uses src; members(node).
     """
     found = reach(starts.select(F.col("node").alias("start"), "node"), users).filter("start != node").select("start", "node")
-    return found.join(members.select("node").distinct(), "node", "left_semi")
+    return found.join(members.select("node").distinct().hint("merge"), "node", "left_semi")
 
 
 def affected_by_level(nodes: DataFrame, refs: DataFrame, changed: DataFrame, depth: int) -> DataFrame:

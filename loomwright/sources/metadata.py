@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import dependents_of
+from ..operators.graph import cut, dependents_of
 
 DOCUMENT = """packages array<struct<id:string,name:string,manifest_path:string,source:string,targets:array<struct<name:string,kind:array<string>>>,
 dependencies:array<struct<name:string,path:string>>>>, workspace_members array<string>, workspace_root string, target_directory string, resolve struct<nodes:array<struct<id:string,dependencies:array<string>>>>"""
@@ -49,13 +49,13 @@ def package_users(documents: DataFrame) -> DataFrame:
 def path_dependencies(documents: DataFrame) -> DataFrame:
     """(workspace, dir, dependents): packages of the workspace's folder that are no members, with the names of the members that
     use them directly or through any package, sorted; from documents whose resolve part is filled."""
-    packages = _packages(documents)
+    packages = cut(_packages(documents).select("workspace", "id", "name", "member", "source", "dir"))  # the documents are parsed once
     node = F.struct("workspace", F.col("id").alias("id"))
     named = packages.select(node.alias("node"), "name", "member")
     loose = packages.filter("source IS NULL AND NOT member AND dir IS NOT NULL").select(node.alias("node"), "dir")
     each = documents.select("workspace", F.explode("resolve.nodes").alias("n")).select("workspace", F.col("n.id").alias("user"), F.explode("n.dependencies").alias("used"))
     at = lambda name: F.struct("workspace", F.col(name).alias("id"))
-    edges = each.select(at("used").alias("src"), at("user").alias("dst")).distinct()
-    found = dependents_of(loose.select("node"), edges, named.filter("member").select("node")).join(named.select("node", "name"), "node")
+    edges = cut(each.select(at("used").alias("src"), at("user").alias("dst")).distinct())  # every level reads them
+    found = dependents_of(loose.select("node"), edges.hint("merge"), named.filter("member").select("node")).join(named.select("node", "name").hint("merge"), "node")
     lists = found.groupBy(F.col("start").alias("node")).agg(F.array_sort(F.collect_set("name")).alias("dependents"))
-    return loose.join(lists, "node", "left").select("node.workspace", "dir", F.coalesce("dependents", F.array().cast("array<string>")).alias("dependents"))
+    return loose.join(lists.hint("merge"), "node", "left").select("node.workspace", "dir", F.coalesce("dependents", F.array().cast("array<string>")).alias("dependents"))

@@ -1,6 +1,7 @@
 """What must not grow with the input: broadcasts, pairs and walks that are more than the rows."""
 
 from loomwright.plans import evidence, locks, manifests
+from loomwright.sources import metadata
 
 
 def plan_of(df):
@@ -32,3 +33,12 @@ def test_a_method_is_one_link_however_many_have_its_name(spark):
     for of in (None, nodes.filter("is_test")):
         found = evidence.causes(nodes, links, changed, 1, of)
         assert sorted((r["node"], r["depth"], r["label"], r["own"]) for r in found.collect() if r["node"] > 56) == [(59, 0, "T1::run", True)]
+
+
+def test_dependents_of_many_packages_are_never_broadcast(spark):
+    package = lambda i: f"named_struct('id', '{i}', 'name', 'n{i}', 'manifest_path', '/w/{i}/Cargo.toml', 'source', string(null), 'targets', array(named_struct('name', 't', 'kind', array('lib'))), 'dependencies', array(named_struct('name', 'x', 'path', 'p')))"
+    users = "array(named_struct('id', 'b', 'dependencies', array('a')), named_struct('id', 'c', 'dependencies', array('b')))"
+    docs = spark.sql(f"SELECT 1 AS workspace, array({package('a')}, {package('b')}, {package('c')}) AS packages, array('c') AS workspace_members, '/w' AS workspace_root, named_struct('nodes', {users}) AS resolve")
+    found = metadata.path_dependencies(docs)
+    assert "Broadcast" not in plan_of(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", ["nc"]), (1, "b", ["nc"])]
