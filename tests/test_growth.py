@@ -1,6 +1,9 @@
 """What must not grow with the input: broadcasts, pairs and walks that are more than the rows."""
 
-from loomwright.plans import evidence, locks, manifests
+import random
+
+from loomwright.operators import graph
+from loomwright.plans import evidence, history, locks, manifests
 from loomwright.sources import metadata
 
 
@@ -42,3 +45,36 @@ def test_dependents_of_many_packages_are_never_broadcast(spark):
     found = metadata.path_dependencies(docs)
     assert "Broadcast" not in plan_of(found)
     assert sorted(tuple(r) for r in found.collect()) == [(1, "a", ["nc"]), (1, "b", ["nc"])]
+
+
+def test_steps_of_a_history_are_no_more_than_its_commits(spark, monkeypatch):
+    written = []
+
+    def counted_cut(df, cut=graph.cut):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted_cut)
+    monkeypatch.setattr(history, "cut", counted_cut, raising=False)
+    monkeypatch.setattr(graph, "BLOCK", 16, raising=False)
+    history_of = [(n, n - 1) for n in range(1, 300)] + [(n, n - 5) for n in range(7, 300, 3)]
+    parents = spark.createDataFrame(history_of, "commit int, parent int")
+    maps = spark.createDataFrame([(1, 100, 290, 299, "gate", 5), (2, 299, 100, 290, "must", 5)], "map_id int, commit int, base int, head int, requested string, max_age int")
+    found = history.map_ages(maps, parents)
+    assert [(r["map_id"], r["age"]) for r in found.orderBy("map_id").collect()] == [(1, 190), (2, None)]
+    assert max(written) <= len(history_of)
+
+
+def test_chains_and_rings_lead_where_levels_lead(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 4, raising=False)
+    draw = random.Random(3)
+    sparse = [(draw.randrange(40), draw.randrange(40)) for _ in range(45)]  # with cycles
+    merged = [(100 + n, 100 + n - 1) for n in range(1, 30)] + [(100 + n, 100 + draw.randrange(n)) for n in range(1, 30, 3)]
+    rings = [(200, 201), (201, 202), (202, 200), (202, 203), (203, 204), (204, 203), (210, 210), (220, 221)]
+    edges = spark.createDataFrame(sparse + merged + rings, "src int, dst int")
+    starts = spark.createDataFrame([(f"s{n % 50}", n) for n in (*range(40), 129, 115, 200, 203, 210, 220, 221, 999)], "start string, node int")
+    rows = lambda df: sorted((r["start"], r["node"]) for r in df.collect())
+    assert rows(graph.reach_far(starts, edges)) == rows(graph.reach(starts, edges).select("start", "node").distinct())
+    one = spark.createDataFrame([(1, 2)], "src int, dst int")
+    assert sorted(tuple(r) for r in graph.chains(one).collect()) == [(1, 2, 1), (2, 2, 0)]
