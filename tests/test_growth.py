@@ -3,7 +3,7 @@
 import random
 
 from loomwright.operators import graph
-from loomwright.plans import evidence, history, locks, manifests
+from loomwright.plans import evidence, history, locks, manifests, references
 from loomwright.sources import metadata
 
 
@@ -78,3 +78,14 @@ def test_chains_and_rings_lead_where_levels_lead(spark, monkeypatch):
     assert rows(graph.reach_far(starts, edges)) == rows(graph.reach(starts, edges).select("start", "node").distinct())
     one = spark.createDataFrame([(1, 2)], "src int, dst int")
     assert sorted(tuple(r) for r in graph.chains(one).collect()) == [(1, 2, 1), (2, 2, 0)]
+
+
+def test_pairs_of_one_blob_are_made_by_many_tasks(spark):
+    sources = spark.createDataFrame([(d, "b" if d < 190 else None if d < 195 else "gone") for d in range(200)], "doc_id int, blob string")
+    index = spark.createDataFrame([("b", n, f"t{n}") for n in range(30)], "blob string, line int, text string")
+    known, missing = references.indexed_literals(sources, index)
+    assert "Broadcast" not in plan_of(known)
+    found = known.selectExpr("doc_id", "line", "spark_partition_id() AS task").collect()
+    assert sorted((r["doc_id"], r["line"]) for r in found) == [(d, n) for d in range(190) for n in range(30)]
+    assert len({r["task"] for r in found}) > 1
+    assert sorted(r["doc_id"] for r in missing.collect()) == list(range(190, 200))
