@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +15,6 @@ ESCAPE = re.compile(rb"\\([0-3][0-7]{2}|.)", re.S)
 ESCAPED = {b"n": b"\n", b"t": b"\t"} | {b"%03o" % code: bytes([code]) for code in range(256)}
 
 
-@lru_cache(maxsize=4096)  # a diff names a file three times
 def unescape(bare: str) -> str:
     """The text of a quoted path without its quotes."""
     if "\\" not in bare:
@@ -42,32 +40,60 @@ def side(text: str, prefix: str) -> str | None:
     return unescape(bare.removeprefix(prefix)) if bare.startswith(prefix) else unescape(bare).removeprefix(prefix)
 
 
-def header_path(header: str) -> str | None:
-    """The path that a file's header names: the new one, or else the old one; the last line of a side holds."""
-    for mark, prefix in (("\n+++ ", "b/"), ("\n--- ", "a/")):
-        at = header.rfind(mark)
-        if at >= 0 and (path := side(header[at + 5 :].partition("\n")[0], prefix)):
-            return path
-    return None
+HUNK = re.compile(r"\n@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", re.ASCII)
+HUNK_REST = r"^(?P<a>\d+)(?:,(?P<b>\d+))? \+(?P<c>\d+)(?:,(?P<d>\d+))? @@"
+PIECE_BYTES = 8 << 20
 
 
-HUNK = re.compile(r"\n@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(keys, texts), each text behind a line break, of some megabytes of text or one text."""
+    for batch in batches:
+        texts = batch.column(1).fill_null("")
+        part = pc.binary_length(texts).to_numpy().cumsum(dtype="int64") // PIECE_BYTES
+        starts = np.unique(part, return_index=True)[1]
+        for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.column(0)[start:end], pc.binary_join_element_wise("", texts[start:end], "\n")
 
 
-def patch_ranges(diff: str) -> Iterator[tuple[str, list[tuple[int, int]], list[tuple[int, int]]]]:
-    """(path, old ranges, new ranges) of each file in a diff's patch. A file's section goes up to the next, its header up to
-    its first hunk; a section without a hunk or a path has none.
+def _split(texts: pa.Array, mark: str) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """What stands before the first mark, the parts behind each, and of which text these are."""
+    parts = pc.split_pattern(texts, mark)
+    offsets = parts.offsets.to_numpy()
+    behind = np.ones(len(parts.values), bool)
+    behind[offsets[:-1]] = False
+    return parts.values.take(pa.array(offsets[:-1])), parts.values.filter(pa.array(behind)), np.repeat(np.arange(len(texts)), np.diff(offsets) - 1)
+
+
+def _each(texts: pa.Array, change: Callable[[str], str | None]) -> pa.Array:
+    """The texts changed by a function, which sees equal ones once."""
+    found = texts.dictionary_encode()
+    return pa.array([change(x) for x in found.dictionary.to_pylist()], pa.string()).take(found.indices)
+
+
+def _numbers(texts: pa.Array) -> np.ndarray:
+    return pc.if_else(pc.equal(texts, ""), "1", texts).cast(pa.int64()).to_numpy(zero_copy_only=False)
+
+
+def _patch_ranges(sections: pa.Array) -> tuple[np.ndarray, pa.Array, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(section, path, old ranges, new ranges) of each hunk of files' sections; an old range without lines ends before it begins.
+
+    A section's header goes up to its first hunk; the last line of a side holds. A section without a path has no hunks.
     """
-    for section in f"\n{diff}".split("\ndiff --git ")[1:]:
-        parts = HUNK.split(section)  # the header, then of each hunk four numbers and what follows
-        if len(parts) > 1 and (path := header_path(parts[0])):
-            old, new = [], []
-            for a, b, c, d in zip(parts[1::5], parts[2::5], parts[3::5], parts[4::5]):
-                a, b, c, d = int(a), int(b or 1), int(c), int(d or 1)
-                if b:
-                    old.append((a, a + b - 1))
-                new.append((c, c + d - 1) if d else (max(c, 1), max(c, 1)))
-            yield path, old, new
+    headers, rests, section = _split(sections, "\n@@ -")
+    hunks = pc.extract_regex(rests, HUNK_REST)
+    known = hunks.is_valid().to_numpy(zero_copy_only=False)
+    if not known.all():  # no hunk, so the header can go on behind it
+        headers = headers.to_pylist()
+        for at in np.unique(section[~known]):
+            headers[at] = HUNK.split(sections[int(at)].as_py(), 1)[0]
+        headers = pa.array(headers, pa.string())
+    named = lambda mark, prefix: _each(pc.struct_field(pc.extract_regex(headers, rf"(?s)^.*\n{mark} (?P<path>[^\n]*)"), 0), lambda x: None if x is None else side(x, prefix) or None)
+    paths = pc.coalesce(named(r"\+\+\+", "b/"), named("---", "a/"))
+    known &= paths.is_valid().to_numpy(zero_copy_only=False)[section]
+    section, hunks = section[known], hunks.filter(pa.array(known))
+    a, b, c, d = (_numbers(pc.struct_field(hunks, i)) for i in range(4))
+    first = np.where(d == 0, np.maximum(c, 1), c)
+    return section, paths.take(pa.array(section)), (a, a + b - 1), (first, first + np.maximum(d, 1) - 1)
 
 
 def change_ranges(diffs: DataFrame, key: str = "diff_id", text: str = "text") -> DataFrame:
@@ -76,38 +102,50 @@ def change_ranges(diffs: DataFrame, key: str = "diff_id", text: str = "text") ->
     A pure deletion marks one line on the new side, line 1 at least. A diff's files are found by its headers only.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, path, of, a, b) for k, diff in zip(batch[key], batch[text]) for path, *both in patch_ranges(diff or "") for of, ranges in zip(("old", "new"), both) for a, b in ranges]
-            yield pd.DataFrame(rows, columns=[key, "path", "side", "a", "b"])
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in _pieces(batches):
+            _, sections, row = _split(texts, "\ndiff --git ")
+            section, paths, *both = _patch_ranges(sections)
+            for of, (a, b) in zip(("old", "new"), both):
+                own = pa.array(np.flatnonzero(a <= b))
+                ends = [pa.array(x, pa.int64()).take(own).cast(pa.int32()) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[section])).take(own), paths.take(own), pa.array([of] * len(own), pa.string()), *ends], [key, "path", "side", "a", "b"])
 
     kind = diffs.schema[key].dataType.simpleString()
-    return diffs.select(key, text).mapInPandas(parse, f"{key} {kind}, path string, side string, a int, b int")
+    return diffs.select(key, text).mapInArrow(parse, f"{key} {kind}, path string, side string, a int, b int")
 
 
-RAW = re.compile(r"\n:(\d+) (\d+) \S+ \S+ ([A-Z])\d*\t([^\t\n]+)(?:\t([^\t\n]+))?(?=\n|\Z)", re.ASCII)
+RAW = r"^:(?P<old_mode>\d+) (?P<new_mode>\d+) \S+ \S+ (?P<code>[A-Z])\d*\t(?P<first>[^\t]+)(?:\t(?P<second>[^\t]+))?$"
 STATUS = {"A": "added", "C": "added", "D": "deleted", "R": "renamed"}
 SUBMODULE = "160000"
 RANGES = "array<struct<a:int,b:int>>"
 FLUSH_ROWS = 20_000
 
 
-def raw_files(diff: str) -> Iterator[tuple[str | None, str | None, str, bool]]:
-    """(old path, new path, status, gitlink) of the raw lines that a diff begins with."""
-    head = f"\n{diff}".partition("\ndiff --git ")[0]
-    found = RAW.findall(head)
-    if len(found) < head.count("\n:") or any(code in "RC" and not second for _, _, code, _, second in found):
-        wrong = [line for line in head.split("\n") if line.startswith(":") and not ((m := RAW.fullmatch("\n" + line)) and (m[3] not in "RC" or m[5]))]
+def _raw_files(heads: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array, pa.Array]:
+    """(head, old path, new path, status, gitlink) of the raw lines that diffs begin with."""
+    _, lines, row = _split(heads, "\n")
+    raw = pc.starts_with(lines, ":")
+    lines, row = lines.filter(raw), row[raw.to_numpy(zero_copy_only=False)]
+    old_mode, new_mode, code, first, second = pc.extract_regex(lines, RAW).flatten()
+    two = pc.is_in(code, pa.array(["R", "C"]))
+    wrong = lines.filter(pc.or_(code.is_null(), pc.and_(two, pc.equal(second, "")).fill_null(True)))
+    if len(wrong):
         raise ValueError(f"raw line of a diff can't be read: {wrong[0]}")
-    for old_mode, new_mode, code, first, second in found:
-        old = None if code in "AC" else unquote(first)
-        new = None if code == "D" else unquote(second if code in "RC" else first)
-        yield old, new, STATUS.get(code, "modified"), SUBMODULE in (old_mode, new_mode)
+    none = pa.scalar(None, pa.string())
+    old = pc.if_else(pc.is_in(code, pa.array(["A", "C"])), none, _each(first, unquote))
+    new = pc.if_else(pc.equal(code, "D"), none, _each(pc.if_else(two, second, first), unquote))
+    return row, old, new, _each(code, lambda x: STATUS.get(x, "modified")), pc.or_(pc.equal(old_mode, SUBMODULE), pc.equal(new_mode, SUBMODULE))
 
 
-def _ranges_array(ranges: list[list[tuple[int, int]]]) -> pa.Array:
-    ends = pa.array([0, *accumulate(map(len, ranges))], pa.int32())
-    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array([r[i] for rs in ranges for r in rs], pa.int32()) for i in (0, 1)], ["a", "b"]))
+def _ranges_of(wanted: np.ndarray, owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The ranges of each wanted owner, in order."""
+    order = np.lexsort((b, a, owner))
+    order = order[a[order] <= b[order]]
+    from_, to = (np.searchsorted(owner[order], wanted, of) for of in ("left", "right"))
+    ends = np.concatenate([[0], np.cumsum(to - from_)])
+    at = order[np.repeat(from_ - ends[:-1], to - from_) + np.arange(ends[-1])]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x[at], pa.int64()).cast(pa.int32()) for x in (a, b)], ["a", "b"]))
 
 
 def changed_files(diffs: DataFrame, untracked: DataFrame | None = None, key: str = "diff_id", text: str = "text") -> DataFrame:
@@ -122,26 +160,17 @@ def changed_files(diffs: DataFrame, untracked: DataFrame | None = None, key: str
     names = [key, "place", "old_path", "new_path", "status", "old_ranges", "new_ranges", "gitlink"]
     kinds = [diffs.schema[key].dataType.simpleString(), "int", "string", "string", "string", RANGES, RANGES, "boolean"]
 
-    def batch_of(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-        at, place, old_path, new_path, status, old, new, gitlink = zip(*rows)
-        texts = [pa.array(c, pa.string()) for c in (old_path, new_path, status)]
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(place, pa.int32()), *texts, _ranges_array(old), _ranges_array(new), pa.array(gitlink, pa.bool_())], names)
-
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rows = batch.column(0), []
-            for at, diff in enumerate(batch.column(1)):
-                diff, ranges = diff.as_py() or "", {}
-                for path, *both in patch_ranges(diff):
-                    ranges[path] = [a + b for a, b in zip(ranges[path], both)] if path in ranges else both
-                for place, (old, new, status, gitlink) in enumerate(raw_files(diff)):
-                    own = ranges.get(new or old, ((), ()))
-                    rows.append((at, place, old, new, status, sorted(own[0]), sorted(own[1]), gitlink))
-                    if len(rows) == FLUSH_ROWS:
-                        yield batch_of(keys, rows)
-                        rows = []
-            if rows:
-                yield batch_of(keys, rows)
+        for keys, texts in _pieces(batches):
+            heads, sections, section_row = _split(texts, "\ndiff --git ")
+            row, old, new, status, gitlink = _raw_files(heads)
+            section, paths, *both = _patch_ranges(sections)
+            found = pa.concat_arrays([pc.coalesce(new, old), paths]).dictionary_encode()
+            owner = np.concatenate([row, section_row[section]]) * len(found.dictionary) + found.indices.to_numpy()
+            ranges = [_ranges_of(owner[: len(row)], owner[len(row) :], *one) for one in both]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            files = pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(place, pa.int32()), old, new, status, *ranges, gitlink], names)
+            yield from (files.slice(at, FLUSH_ROWS) for at in range(0, len(row), FLUSH_ROWS))
 
     out = diffs.select(key, text).mapInArrow(parse, ", ".join(map(" ".join, zip(names, kinds))))
     if untracked is None:

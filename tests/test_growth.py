@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from loomwright.operators import graph
 from loomwright.plans import evidence, history, locks, manifests, references
 from loomwright.sources import metadata, readers
@@ -104,3 +106,12 @@ def test_a_diff_is_read_once_and_its_files_are_not_shuffled(spark):
     many = spark.range(1, 2).selectExpr("id AS diff_id", "concat(array_join(transform(sequence(0, 44999), i -> concat(':100644 100644 a b M\\t', i, '.rs\\n')), ''), '\\ndiff --git a/q b/q\\n--- a/44998.rs\\n+++ b/44998.rs\\n@@ -3 +3 @@\\n') AS text")
     files = readers.changed_files(many)
     assert files.selectExpr("count(*)", "count(DISTINCT place, new_path)", "max(place)", "sum(IF(size(new_ranges) > 0, place, 0))").first() == (45_000, 45_000, 44_999, 44_998)
+
+
+def test_texts_are_read_in_pieces_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(readers, "PIECE_BYTES", 10)
+    texts = ["abc", None, "defghij", "k" * 40, "", "l"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts, pa.string())], ["key", "text"])
+    found = [list(zip(keys.to_pylist(), part.to_pylist())) for keys, part in readers._pieces(iter([batch, batch.slice(6)]))]
+    assert [x for piece in found for x in piece] == [(i, "\n" + (x or "")) for i, x in enumerate(texts)]
+    assert len(found) == 3 and all(sum(len(x) for _, x in piece[1:]) <= 20 for piece in found)
