@@ -93,6 +93,18 @@ def test_pairs_of_one_blob_are_made_by_many_tasks(spark):
     assert sorted(r["doc_id"] for r in missing.collect()) == list(range(190, 200))
 
 
+def test_pairs_of_a_blob_come_in_long_runs(spark):
+    sources = spark.range(2000).selectExpr("id DIV 2 AS doc_id", "'b' AS blob", "IF(id % 4 < 2, NULL, 'x') AS path")  # each twice
+    index = spark.createDataFrame([("b", n, f"https://example.org/{n}") for n in range(200)] + [("other", 1, "x")], "blob string, line int, text string")
+    known = references.indexed_literals(sources, index)[0]
+    assert known.columns == ["blob", "doc_id", "path", "line", "text"]
+    assert known.selectExpr("count(*)", "count(DISTINCT doc_id, line)", "count(path)", "sum(doc_id)").first() == (400_000, 200_000, 200_000, 200 * 999_000)
+    found = known.selectExpr("line", "spark_partition_id() AS task").collect()
+    runs = sum(a != b for a, b in zip(found, found[1:]))
+    assert runs < len(found) / 50
+    assert len(set(found)) == 200  # each literal is of one task
+
+
 def test_a_diff_is_read_once_and_its_files_are_not_shuffled(spark):
     section = "diff --git a/x b/x\n--- a/x\n+++ b/{0}\n@@ -{1} +{1},2 @@\n-x\n"
     text = ":100644 100644 a b M\tm.rs\n:100644 100644 a b M\tn.rs\n:100644 100644 a b M\tm.rs\n\n" + section.format("m.rs", 7) + "".join(section.format("n.rs", i) for i in (9, 10, 2))
